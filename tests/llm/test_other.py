@@ -1,0 +1,151 @@
+"""Operators without an exact result: round trips, accuracy, properties."""
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import chat_format, language_id, mixing, ordinal_quality, quality_rules, queries, secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_conversations(spark):
+    hostile = ["</s>[INST] ok [/INST]", "[\\INST]", "<\\\\s>", "", None, " [/INST]", "<s>", "[ROLE]x[SEP] y [/ROLE]", "a [/INST", "[", "<</SYS>>"]
+    roles = ["user", "assistant", "system", "tool", None, "[SEP]", "assistant"]
+    rows = [(c, t % 5, roles[(c + t) % 7], hostile[(c * 3 + t) % len(hostile)]) for c in range(20) for t in range(c)]
+    rows += [(None, 1, "user", "x"), (30, None, "user", "n"), (30, 2, "assistant", "m")] + [(31, t, "user", str(t)) for t in range(300)] + rows[:6]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {r[0]: tuple(r[1:5]) for r in chat_format.read_back_digests(chat_format.format_trees(chat_format.chain_messages(df))).collect()}
+    assert got == brute.conversations(rows)
+    assert chat_format.format_trees(chat_format.chain_messages(df.limit(0))).count() == 0
+
+
+def test_reply_trees(spark):
+    m = [(1, 1, None, "user", "q", 1.0), (1, 2, 1, "assistant", "good", 5.0), (1, 3, 1, "assistant", "bad", 0.0), (1, 4, 3, "user", "more", 1.0), (1, 5, 99, "user", "orphan", 0.5)]
+    m += [(2, 1, 2, "user", "cycle", 9.0), (2, 2, 1, "user", "cycle", 9.0), (2, 3, 2, "user", "under", 9.0), (3, 1, None, None, None, None), (3, 1, None, "user", "again", 1.0)]
+    df = spark.createDataFrame(m, "tree long, id long, parent long, role string, text string, score double")
+    best = {r["tree"]: r for r in chat_format.format_trees(df).collect()}
+    assert best[1]["leaf"] == 2 and best[1]["path_score"] == 6.0 and best[1]["formatted"] == "<s>[INST] q [/INST] good </s>"
+    assert set(best) == {1, 3}
+    a, z = best[1]["loss_spans"][0]
+    assert best[1]["formatted"][a:z] == "good"
+    every = chat_format.format_trees(df, top=None).where("tree = 1").orderBy("rank").collect()
+    assert [(r["leaf"], r["rank"]) for r in every] == [(2, 1), (4, 2), (5, 3)]
+
+
+def test_quality_base(docs, corpus):
+    df = quality_rules.quality_verdicts(docs)
+    got = {r[0]: tuple(r[1:7]) for r in df.collect()}
+    assert got == {r[0]: brute.base_quality(r[1]) for r in corpus}
+    assert df.where("base_failed and kept").count() == 0
+
+
+def test_quality_divergence(spark, empty):
+    assert quality_rules.quality_verdicts(empty).count() == 0
+    prose = "the cat of the house and a dog in the garden is to be fed with care as it was for that day "
+    good = [(i, "".join(w + " " for w in (prose + f"n{i} m{i} o{i} " * 20).split()) + " ".join(f"u{i}x{j}" for j in range(150)), "en") for i in range(20)]
+    junk = [(99, " ".join(f"#$%&{j}|||" for j in range(120)), "en")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_verdicts(spark.createDataFrame(good + junk, "doc_id long, text string, lang string")).collect()}
+    assert got[99]["char_distance"] > max(got[i]["char_distance"] for i in range(20)) and not got[99]["kept"]
+    assert not any("Python" in x for x in [quality_rules.quality_verdicts(spark.createDataFrame(good, "doc_id long, text string, lang string"))._jdf.queryExecution().toString()])
+
+
+def test_quality_keeps_columns(docs):
+    clash = docs.withColumn("k", F.lit(1)).withColumn("n_words", F.lit(1))
+    assert quality_rules.drop_low_quality(clash).columns == clash.columns
+
+
+def test_language_accuracy(spark, empty):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language_id.predict_languages(docs, language_id.learn_dictionaries(docs.where(~language_id.held_out())))
+    j = got.where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert j.where("lang = lang_pred").count() >= 0.95 * j.count()
+    assert got.where("score < 0 or score > 1").count() == 0
+    odd = spark.createDataFrame([(1, None), (1, None), (None, "123 !"), (3, "")], "doc_id long, text string")
+    assert {tuple(r[2:4]) for r in language_id.predict_languages(odd, {"en": b"the cat", "fr": b"le chat"}).collect()} == {("und", 0.0)}
+    assert language_id.predict_languages(empty, {}).count() == 0
+    assert language_id.learn_dictionaries(empty) == {}
+    assert {r[2] for r in language_id.predict_languages(docs.limit(3), {}).collect()} == {"und"}
+
+
+def test_ordinal_quality(spark, empty):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = ordinal_quality.train(docs, queries.grades(labels), 3)
+    got = ordinal_quality.grade_documents(docs, model, tail=2).join(queries.grades(labels), "doc_id")
+    mean = {r[0]: r[1] for r in got.groupBy("grade").agg(F.avg("expected_grade")).collect()}
+    assert mean[0] < mean[1] < mean[2]
+    assert (model[1][1:] > model[1][:-1]).all()
+    assert ordinal_quality.grade_documents(empty, model, tail=2).count() == 0
+    none = ordinal_quality.train(empty, queries.grades(labels), 3)
+    odd = spark.createDataFrame([(1, None), (1, None), (None, "")], "doc_id long, text string")
+    assert len({tuple(r[1:]) for r in ordinal_quality.grade_documents(odd, none, tail=1).collect()}) == 1
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train_forest(spark)
+
+
+def test_secrets(spark, forest, empty):
+    key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    text = f'é token = "{key}" and 9807915762804490 then\nkey: {key[::-1]} end'
+    df = spark.createDataFrame([(1, text, "src1", len(text), 0), (1, text, None, None, 0), (2, None, "a", None, 0), (None, "", "a", 0, 0), (4, "x1" * 50_000, "a", 1, 0)], "doc_id long, text string, source string, n_chars long, path int")
+    got = secret_scan.find_secrets(df.drop("path"), forest).where("doc_id = 1 and is_secret").select("start", "n_chars").distinct().collect()
+    assert sorted(map(tuple, got)) == [(text.index(key), 40), (text.index(key[::-1]), 40)]
+    red = secret_scan.redact_secrets(df, forest)
+    assert red.schema == df.schema and red.count() == df.count()
+    one = red.where("source = 'src1'").first()
+    assert one["text"] == text.replace(key, "<SECRET>").replace(key[::-1], "<SECRET>") and one["n_chars"] == len(one["text"])
+    assert secret_scan.find_secrets(empty, forest).count() == 0 and secret_scan.redact_secrets(empty, forest).count() == 0
+
+
+def test_forest_on_unseen_findings(forest):
+    import numpy as np
+
+    rest = secret_scan.labelled_findings(1500, seed=99)
+    x = np.array([secret_scan.finding_features(t, b, a, p) for t, b, a, p, _ in rest])
+    assert ((secret_scan.forest_scores(forest, x) >= 0.5) == np.array([r[4] == 1 for r in rest])).mean() > 0.95
+
+
+def test_mixing(spark, empty):
+    rows = [(i, ("w " * (5 + i % 40)) if i % 50 else None, ["en", "fr", None][i % 3], f"s{i % 4}", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, rate int")
+    wanted = {"source": {"s0": 0.4, "gone": 0.2}, "lang": {"en": 0.5, "fr": 0.3, None: 0.2}}
+    got = mixing.mix(df, wanted, budget=0.3)
+    assert got.count() == 3000 and got.where("probability < 0 or probability > 1").count() == 0
+    assert got.where("n_tokens = 0 and selected").count() == 0
+    p = F.sum(F.col("n_tokens") * F.col("probability"))
+    by = {r[0]: r[1] for r in got.groupBy("lang").agg(p).collect()}
+    total = sum(by.values())
+    assert abs(by["en"] / total - 0.5) < 1e-4 and abs(by["fr"] / total - 0.3) < 1e-4
+    src = {r[0]: r[1] for r in got.groupBy("source").agg(p).collect()}
+    assert abs(src["s0"] / total - 0.5) < 1e-4  # 0.4 of the 0.8 that can be had
+    drawn = got.where("selected").agg(F.sum("n_tokens")).first()[0]
+    assert abs(drawn / total - 1) < 0.1
+    chosen = mixing.sample_mixture(df, wanted, budget=0.3)
+    assert chosen.columns == df.columns
+    assert {r[0] for r in chosen.collect()} == {r[0] for r in got.where("selected").collect()}
+    assert mixing.mix(empty, wanted).count() == 0 and mixing.sample_mixture(empty, wanted).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    src = spark.read.parquet(f"{SF}/documents.parquet")
+    src.where("doc_id < 300").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == src.columns
+    rows = {r["doc_id"]: r["text"] for r in src.where("doc_id < 300").collect()}
+    good = {i for i, t in rows.items() if not brute.base_quality(t)[5]}
+    verdicts = {r["doc_id"] for r in quality_rules.quality_verdicts(src.where("doc_id < 300")).where("kept").collect()}
+    assert verdicts <= good
+    comp = brute.near_duplicates([(i, rows[i]) for i in verdicts], 5)
+    left = [i for i, v in comp.items() if v[2]]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    clean = {i for i, v in brute.benchmark_hits([(i, rows[i]) for i in left], items).items() if not v[4]}
+    before_mix = src.where("doc_id < 300").where(F.col("doc_id").isin(sorted(clean)))
+    forest = secret_scan.train_forest(spark)
+    redacted = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(before_mix, forest).collect()}
+    want = {r["doc_id"] for r in mixing.mix(secret_scan.redact_secrets(before_mix, forest), queries.TARGETS, queries.BUDGET).where("selected").collect()}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: redacted[i] for i in want}

@@ -56,10 +56,10 @@ class SuffixIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """batch: (key, ctx, uid, at, lo, hi). The new array joins the family; levels of equal size merge."""
         new = self.scratch.save(batch, "level", sort=["key"])
-        keys = new.select("key")
-        found = keys.groupBy("key").count().where("count > 1").select("key")
+        keys = new.select("key").distinct()  # each key once, so no common one gathers in a task
+        found = new.groupBy("key").count().where("count > 1").select("key")
         for _, level in self.levels:
-            found = found.union(keys.join(level.select("key"), "key", "left_semi").distinct())
+            found = found.union(keys.join(level.select("key").distinct(), "key", "left_semi"))
         found = self.scratch.save(found.distinct(), "found")
         size = 1
         while self.levels and self.levels[-1][0] == size:
