@@ -1,0 +1,39 @@
+"""Every registered query of the library against its SQL on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from tidemark.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    return con
+
+
+def plain(v):
+    return round(v, 6) + 0.0 if isinstance(v, float) else v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query(spark, sql, name):
+    df = registry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(map(plain, r)) for r in df.select(*cols).collect()), key=repr)
+    want = sorted((tuple(map(plain, r)) for r in sql.execute(f"select {', '.join(cols)} from ({registry.oracle_sql()[name]})").fetchall()), key=repr)
+    assert got == want
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).columns[:3] == ["request_id", "seq", "time"]

@@ -1,0 +1,18 @@
+"""Spark-native voyage analytics and training-data operations."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+_HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let Python workers started from now on import this package from where the driver does."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _HOME not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_HOME, *paths])
+    return spark
