@@ -82,7 +82,10 @@ def choose_symbols(s: R.Symbols, window: int) -> tuple[np.ndarray, np.ndarray, n
     pairs[::2], pairs[1::2] = np.minimum(i, m), np.minimum(np.maximum(j, i), m)
     chosen = (np.minimum.reduceat(packed, pairs)[::2] & _LOW).astype(np.int64)
     chosen = np.minimum(chosen, m - 1)
-    key, place = T.mix(sym[chosen] ^ _U(0x2545F4914F6CDD1D)), at[chosen]
+    # a short symbol alone would be common by chance: its key names all words it depends on, which the window holds
+    reach = np.maximum(lo[chosen], 0), np.minimum(hi[chosen], n)
+    place = at[chosen]
+    key = T.range_names(T.prefix_sums(s.names), *reach) + T.mix(sym[chosen] + (place - reach[0]).astype(np.uint64))
     # three equal words in a row
     same = np.flatnonzero((s.names[: n - 2] == s.names[1 : n - 1]) & (s.names[1 : n - 1] == s.names[2:]))
     if len(same):
