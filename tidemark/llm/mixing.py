@@ -42,10 +42,11 @@ def topic() -> Column:
 
 def _targets(cells: DataFrame, margin: str, wanted: dict[str | None, float]) -> Column:
     """Share of all tokens each cell's margin value should have."""
-    natural = F.sum("base").over(Window.partitionBy(margin)) / F.col("all_tokens")
     listed = F.lit(None).cast("double")
     for value, share in wanted.items():
         listed = F.when(F.col(margin).eqNullSafe(F.lit(value)), float(share)).otherwise(listed)
+    others = cells.where(listed.isNull()).agg(F.sum("base")).first()[0] or 1.0
+    natural = F.sum("base").over(Window.partitionBy(margin)) / F.lit(float(others))
     return F.coalesce(listed, natural * F.lit(max(0.0, 1 - sum(wanted.values()))))
 
 
@@ -55,11 +56,11 @@ def rake(cells: DataFrame, wanted: dict[str, dict[str | None, float]], scratch:
     wanted: for each raked margin the share of some or all of its values.
     """
     cells = cells.where("tokens > 0").withColumn("base", F.col("tokens").cast("double"))
-    cells = cells.withColumn("all_tokens", F.lit(float(cells.agg(F.sum("base")).first()[0] or 1.0)))
+    total = float(cells.agg(F.sum("base")).first()[0] or 1.0)
     raked = [m for m in margins if wanted.get(m)]
     for m in raked:
         cells = cells.withColumn(f"t_{m}", _targets(cells, m, wanted[m]))
-    cells = scratch.save(cells.withColumn("weight", F.col("base") / F.col("all_tokens")), "cells")
+    cells = scratch.save(cells.withColumn("weight", F.col("base") / F.lit(total)), "cells")
     for m in raked:  # targets of values that have tokens make up the whole
         had = cells.select(m, f"t_{m}").distinct().agg(F.sum(f"t_{m}")).first()[0]
         cells = cells.withColumn(f"t_{m}", F.col(f"t_{m}") / F.lit(had or 1.0))
@@ -112,9 +113,8 @@ def sample_mixture(docs: DataFrame, wanted: dict[str, dict[str | None, float]],
     themselves, so rows that share a doc_id are judged each by its own cell.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    named = docs.withColumn("_topic", topic()).withColumn("_tokens", n_tokens())
-    cells = named.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
-    fitted = rake(cells, wanted, scratch)
-    rates = scratch.save(_rates(fitted, budget), "rates").drop("weight")
-    on = F.col("source").eqNullSafe(F.col("r_source")) & F.col("lang").eqNullSafe(F.col("r_lang")) & F.col("_topic").eqNullSafe(F.col("r_topic"))
-    return named.join(rates, on).where((F.col("_tokens") > 0) & (uniform(seed) < F.col("rate"))).select(*docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens"))
+    cells = named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    rates = scratch.save(_rates(rake(cells, wanted, scratch), budget), "rates").drop("weight")
+    on = [F.col(m).eqNullSafe(F.col(f"r_{m}")) for m in MARGINS]
+    return named.join(rates, on[0] & on[1] & on[2]).where((F.col("n_tokens") > 0) & (uniform(seed) < F.col("rate"))).select("row.*")
