@@ -180,5 +180,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     Rows that share a doc_id go together; a null doc_id is kept unless its own text is hit.
     """
-    bad = benchmark_hits(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    bad = benchmark_hits(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("named_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["named_id"]), "left_anti")
