@@ -153,3 +153,32 @@ def test_repartitioning_changes_nothing(spark):
     a, b = (sorted(map(tuple, K.diverse_top_k(rows.repartition(n), ["g"], ["id"], "h", 3).collect())) for n in (1, 9))
     assert a == b
     assert rows.where(angular_difference("h", "h") != 0).count() == 0
+
+
+def test_missing_data_policies(spark):
+    from tidemark.operators import environment as V
+
+    spec = I.GridSpec(0.0, 0.0, 1.0, 1.0, 2, 2)
+    grid = spark.createDataFrame([(0, 0, 1.0), (0, 1, None), (1, 0, 3.0), (1, 1, 4.0)], "j int, i int, x double")
+    pts = spark.createDataFrame([(1, 0.5, 0.0), (2, 0.5, 0.5), (3, 9.0, 9.0)], "k int, lat double, lon double")
+    rows, counters = V.sample(pts, "k", grid, spec, ["x"])
+    assert {r.k: r.x for r in rows.collect()} == {1: 2.0, 2: 0.0, 3: 0.0}
+    assert tuple(counters.first()) == (3, 2)
+    assert [r.k for r in V.sample(pts, "k", grid, spec, ["x"], "reject")[0].collect()] == [1]
+    with pytest.raises(Exception, match="missing environment data"):
+        V.sample(pts, "k", grid, spec, ["x"], "fail")[0].collect()
+    with pytest.raises(ValueError):
+        V.checked_grid(grid, spec, ["x"])
+    assert V.checked_grid(grid.fillna(2.0), spec, ["x"], least=0.0).count() == 4
+    with pytest.raises(ValueError):
+        V.uniform_field(spark, east=float("nan"))
+
+
+def test_certified_legs(spark):
+    from tidemark.operators import environment as V
+
+    far = lambda p: p.select("pid", (60.0 * F.abs("lat")).alias("distance"))  # noqa: E731  land along the equator
+    legs = spark.createDataFrame([(1, 3.0, 0.0, 3.0, 20.0), (2, 3.0, 0.0, -3.0, 1.0), (3, 0.4, 0.0, 0.4, 1.0), (4, 3.0, 0.0, 0.4, 0.0)], "k int, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r.k: r.clear for r in V.certify_legs(legs, "k", far, 30.0, depth=8).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+    assert {r.k for r in V.certify_legs(legs, "k", far, 30.0, depth=0).collect() if r.clear} == set()

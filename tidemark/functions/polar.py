@@ -28,7 +28,7 @@ TABLE = {
 
 
 def _literal(values: list[float]) -> Column:
-    return F.array(*map(F.lit, values))
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def _bracket(x: Column, axis: list[float]) -> Column:

@@ -66,7 +66,7 @@ def bilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values:
     on = on or []
     four = rows.select(key, *on, F.explode(spec.corners(lat, lon)).alias("_c")).select(key, *on, "_c.j", "_c.i", "_c.w").where("w <> 0")
     j = four.join(grid, [*on, "j", "i"], "left")
-    whole = lambda v: F.count(F.when(~F.isnan(v), 1)) == F.count("*")
+    whole = lambda v: F.count(F.when(F.col(v).isNotNull() & ~F.isnan(v), 1)) == F.count("*")
     return j.groupBy(key, *on).agg(*(F.when(whole(v), F.sum(F.col("w") * F.col(v))).alias(v) for v in values))
 
 
@@ -82,7 +82,7 @@ def trilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values
     two = b.where("_in and t0 is not null").withColumn("_t", F.explode(both)).select("*", "_t.valid_time", "_t.s").where("s > 0")
     cells = two.select(key, "valid_time", "s", F.explode(spec.corners(lat, lon)).alias("_c")).select(key, "valid_time", "s", "_c.j", "_c.i", "_c.w").where("w <> 0")
     j = cells.join(grid, ["valid_time", "j", "i"], "left")
-    whole = lambda v: F.count(F.when(~F.isnan(v), 1)) == F.count("*")
+    whole = lambda v: F.count(F.when(F.col(v).isNotNull() & ~F.isnan(v), 1)) == F.count("*")
     got = j.groupBy(key).agg(*(F.when(whole(v), F.sum(F.col("s") * F.col("w") * F.col(v))).alias(v) for v in values))
     out = b.select(key, "_in", "t0").join(got, key, "left")
     missing = F.lit(False)

@@ -16,6 +16,8 @@ from tidemark.functions import sailing as S
 from tidemark.functions import text as X
 from tidemark.functions.polar import Polar
 from tidemark.operators import ensemble as E
+from tidemark.operators import environment as V
+from tidemark.operators import front as D
 from tidemark.operators import interpolation as I
 from tidemark.operators import lattice as L
 from tidemark.operators import policy as P
@@ -600,6 +602,130 @@ def lattice_route(spark: SparkSession, d: str) -> DataFrame:
     return got.select("request_id", "cell", "elapsed")
 
 
+# --- environment, fronts, sets ------------------------------------------------------------
+
+
+def _land(spark: SparkSession) -> DataFrame:
+    """Signed distances on the 5-degree grid; some cells have none."""
+    g = spark.range(37 * 72).select((F.col("id") % 72).cast("int").alias("i"), F.floor(F.col("id") / 72).cast("int").alias("j"))
+    i, j = F.col("i"), F.col("j")
+    return g.select("j", "i", F.when((i + j) % 11 > 0, (5 * j + 7 * i) % 900 - 100.0).alias("signed_nm"))
+
+
+_LAND = "(CASE WHEN (i + j) % 11 > 0 THEN (5 * j + 7 * i) % 900 - 100e0 END)"
+_LAND_AT = f"(SELECT k, CASE WHEN count(*) FILTER (w <> 0 AND {_LAND} IS NULL) = 0 THEN sum(w * {_LAND}) FILTER (w <> 0) END AS nm FROM {_CELLS.format(rows=f'(SELECT k, lat, lon, 0 AS t, 1e0 AS s FROM {_CUST})')} GROUP BY k)"
+
+
+@query(f"SELECT k, round(nm, 5) + 0e0 AS nm, CASE WHEN nm IS NULL THEN 'missing' ELSE 'ok' END AS status FROM {_LAND_AT}")
+def landmask_lookup(spark: SparkSession, d: str) -> DataFrame:
+    got = I.bilinear(_customers(spark, d), "k", _land(spark), _SPEC, ["signed_nm"])
+    return got.select("k", _r(F.col("signed_nm"), "nm", 5), F.when(F.col("signed_nm").isNull(), "missing").otherwise("ok").alias("status"))
+
+
+@query(f"SELECT k, round(nm, 5) + 0e0 AS nm FROM {_LAND_AT} WHERE nm IS NOT NULL")
+def missing_data_rejects(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = V.sample(_customers(spark, d), "k", _land(spark), _SPEC, ["signed_nm"], "reject")
+    return rows.select("k", _r(F.col("signed_nm"), "nm", 5))
+
+
+@query(f"SELECT count(*) AS sampled, count(*) FILTER (nm IS NULL) AS missing FROM {_LAND_AT}")
+def environment_counters(spark: SparkSession, d: str) -> DataFrame:
+    _, counters = V.sample(_customers(spark, d), "k", _land(spark), _SPEC, ["signed_nm"])
+    return counters
+
+
+@query()
+def landmask_certify(spark: SparkSession, d: str) -> DataFrame:
+    """Legs proved clear of land by halving; tests hold it against dense sampling."""
+    grid = spark.range(37 * 72).select((F.col("id") % 72).cast("int").alias("i"), F.floor(F.col("id") / 72).cast("int").alias("j"))
+    grid = grid.withColumn("distance", 60.0 * F.abs(F.col("j") * 5 - 90.0))  # land along the equator
+    legs = _legs(spark, d).select("k", "lat1", "lon1", F.greatest(F.lit(-89.0), F.least(F.lit(89.0), F.col("lat1") + F.col("k") % 9 - 4)).alias("lat2"), (F.col("lon1") + 2).alias("lon2"))
+    return V.certify_legs(legs, "k", lambda p: I.bilinear(p, "pid", grid, _SPEC, ["distance"]), 30.0)
+
+
+_AXIS = "((c_nationkey * 14) % 360)"
+_OFF = Q.wrap(f"{Q.bearing('20.05e0', '-30.05e0', 'lat', 'lon')} - {_AXIS}")
+
+
+@query(
+    f"WITH p AS (SELECT *, {_OFF} AS o, {Q.dist('lat', 'lon', '20.05e0', '-30.05e0')} AS togo FROM {_CUST}), a AS (SELECT *, max(CASE WHEN abs(o) <= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey) AS hits FROM p), b AS (SELECT *, floor(o / 10.3e0 + 0.5e0)::BIGINT AS band FROM a WHERE abs(o) <= 60 OR hits = 0), w AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey, band ORDER BY togo, k) AS n FROM b), r AS (SELECT *, band - row_number() OVER (PARTITION BY c_nationkey ORDER BY band) AS run FROM w WHERE n = 1), f AS (SELECT *, count(*) OVER (PARTITION BY c_nationkey, run) >= 2 OR max(CASE WHEN band = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey, run) = 1 AS keep FROM r), g AS (SELECT *, max(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey) AS kept FROM f) SELECT c_nationkey, band, run, {Q.r('togo', 'to_go', 4)} FROM g WHERE keep OR kept = 0"
+)
+def destination_front(spark: SparkSession, d: str) -> DataFrame:
+    p = _customers(spark, d).withColumn("seq", F.col("k")).withColumn("to_lat", F.lit(20.05)).withColumn("to_lon", F.lit(-30.05)).withColumn("axis", (F.col("c_nationkey") * 14 % 360).cast("double"))
+    return D.destination_front(p, "c_nationkey", 10.3, aperture=60.0).select("c_nationkey", "band", "run", _r(F.col("to_go"), "to_go", 4))
+
+
+@query("WITH a AS (SELECT *, (l_partkey * 10) % 360 AS h, l_suppkey % 20 AS b, l_orderkey % 50 AS g FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY g, b, h ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS x FROM a), s AS (SELECT *, row_number() OVER (PARTITION BY g, b ORDER BY x, l_extendedprice, l_orderkey, l_linenumber) AS n FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY g, h ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS y FROM s WHERE n <= 3), u AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY y, l_extendedprice, l_orderkey, l_linenumber) AS m FROM t) SELECT g, l_orderkey, l_linenumber, h FROM u WHERE m <= 25")
+def two_level_beam(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_partkey") * 10 % 360).alias("h"), (F.col("l_suppkey") % 20).alias("b"), (F.col("l_orderkey") % 50).alias("g"))
+    got = D.two_level_beam(li, ["g"], "b", "h", ["l_extendedprice", "l_orderkey", "l_linenumber"], 3, 25)
+    return got.select("g", "l_orderkey", "l_linenumber", "h")
+
+
+@query(f"WITH m AS (SELECT run, choice, sum(CASE WHEN elapsed IS NULL THEN weight ELSE 0 END) / sum(weight) AS lost, round(sum(weight * elapsed) / sum(CASE WHEN elapsed IS NOT NULL THEN weight END), 3) AS mean FROM {_OUT} GROUP BY 1, 2) SELECT run, choice FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(lost, 9), mean NULLS LAST, choice) AS n FROM m) WHERE n = 1")
+def objective_order(spark: SparkSession, d: str) -> DataFrame:
+    g = _outcomes(spark, d).groupBy("run", "choice").agg(*E.audits())
+    g = g.select("run", "choice", F.round("incomplete_weight", 9).alias("objective"), F.lit(0.0).alias("incomplete_weight"), F.round("finite_mean", 3).alias("finite_mean"), F.lit(0.0).alias("worst_finite"), F.col("choice").alias("identity"))
+    return K.top_k(g, ["run"], E.objective_order(), 1).select("run", "choice")
+
+
+@query("SELECT DISTINCT a FROM (SELECT o_custkey AS a FROM orders UNION SELECT c_custkey * 2 FROM customer)")
+def distinct_union(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"))
+    return a.union(_t(spark, d, "customer").select(F.col("c_custkey") * 2)).distinct()
+
+
+@query("SELECT DISTINCT o_custkey AS a, o_orderkey % 7 AS b FROM orders ANTI JOIN (SELECT c_custkey, c_nationkey % 7 AS n FROM customer) x ON o_custkey = c_custkey AND o_orderkey % 7 = n")
+def edge_difference(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 7).alias("b")).distinct()
+    gone = _t(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") % 7).cast("long").alias("b"))
+    return e.join(gone, ["a", "b"], "left_anti")
+
+
+@query(f"SELECT DISTINCT round(lat, 0) + 0e0 AS lat, CASE WHEN round(lon, 0) = -180 THEN 180e0 ELSE round(lon, 0) + 0e0 END AS lon FROM {_CUST}")
+def distinct_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions rounded to degrees; both names of the antimeridian are one."""
+    lon = F.round("lon", 0)
+    return _customers(spark, d).select((F.round("lat", 0) + 0.0).alias("lat"), F.when(lon == -180, 180.0).otherwise(lon + 0.0).alias("lon")).distinct()
+
+
+@query(f"SELECT k % 10 AS cell, round(max({Q.dist('lat1', 'lon1', 'lat2', 'lon2')}), 5) AS longest FROM {_LEGS} GROUP BY 1")
+def longest_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _legs(spark, d).groupBy((F.col("k") % 10).alias("cell")).agg(F.round(F.max(G.distance_nm("lat1", "lon1", "lat2", "lon2")), 5).alias("longest"))
+
+
+@query(f"SELECT k, ceil(round({Q.dist('lat1', 'lon1', 'lat2', 'lon2')} / 11e0 * 3600, 3))::BIGINT AS bound FROM {_LEGS}")
+def arrival_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds no route can beat: the way at the table's highest speed."""
+    s = G.distance_nm("lat1", "lon1", "lat2", "lon2") / Polar.builtin().maximum_speed() * 3600
+    return _legs(spark, d).select("k", F.ceil(F.round(s, 3)).alias("bound"))
+
+
+_W = "acos(greatest(-1e0, least(1e0, sin(radians(lat1)) * sin(radians(lat2)) + cos(radians(lat1)) * cos(radians(lat2)) * cos(radians(lon2 - lon1)))))"
+
+
+@query(f"SELECT k, {Q.r(f'(sin(0.7e0 * {_W}) * sin(radians(lat1)) + sin(0.3e0 * {_W}) * sin(radians(lat2))) / sin({_W})', 'z', 5)} FROM {_LEGS}")
+def arc_points(spark: SparkSession, d: str) -> DataFrame:
+    df = _legs(spark, d).withColumn("p", G.slerp(G.unit_vector("lat1", "lon1"), G.unit_vector("lat2", "lon2"), 0.3))
+    return df.select("k", _r(F.get("p", F.lit(2)), "z", 5))
+
+
+@query("SELECT o_orderkey, o_orderkey % 8 AS rank, ['reached', 'partial', 'duration_exhausted', 'forecast_exhausted', 'no_route', 'environment_failed', 'incomplete_forecast', 'invalid'][(o_orderkey % 8) + 1] AS name FROM orders")
+def outcome_names(spark: SparkSession, d: str) -> DataFrame:
+    rank = F.col("o_orderkey") % 8
+    return _t(spark, d, "orders").select("o_orderkey", rank.alias("rank"), F.get(F.array(*map(F.lit, E.OUTCOMES)), rank.cast("int")).alias("name"))
+
+
+@query("SELECT user_id, count(*) AS expanded, count(*) FILTER (value > 50) AS generated, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def search_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("expanded"), F.count(F.when(F.col("value") > 50, 1)).alias("generated"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query(f"SELECT count(*) AS zones, max(zone)::BIGINT AS last, count(active_until) AS bounded, min(active_from) AS first_active FROM {_ZONES}")
+def zone_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _zones(spark).agg(F.count("*").alias("zones"), F.max("zone").alias("last"), F.count("active_until").alias("bounded"), F.min("active_from").alias("first_active"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fastest-route search seeded from supplier rows."""
     return beam_route(spark, sf_dir)
