@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bound of the sample: texts of each language and characters of each text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 160, 800
 MAX_LANGUAGES = 500
-LEVEL = 3
+LEVEL = 9
 MARGIN = 0.02
 
 
@@ -42,7 +42,7 @@ def _predict(content: dict[str, bytes], margin: float):
         for lang, data in content.items():
             d = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            made.append((lang, zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)))
+            made.append((lang, zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
         for b in batches:
             lang, score, rejected = [], [], []
             for value in b.column("text"):
