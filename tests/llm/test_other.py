@@ -74,7 +74,9 @@ def test_ordinal_quality(spark, empty):
     got = ordinal_quality.grade_documents(docs, model, tail=2).join(queries.grades(labels), "doc_id")
     mean = {r[0]: r[1] for r in got.groupBy("grade").agg(F.avg("expected_grade")).collect()}
     assert mean[0] < mean[1] < mean[2]
-    assert (model[1][1:] > model[1][:-1]).all()
+    assert (model.cuts[1:] > model.cuts[:-1]).all()
+    kept = {r[0]: r[1] for r in got.groupBy("grade").agg(F.avg(F.col("kept").cast("int"))).collect()}
+    assert kept[0] < 0.1 and kept[2] > 0.95
     assert ordinal_quality.grade_documents(empty, model, tail=2).count() == 0
     none = ordinal_quality.train(empty, queries.grades(labels), 3)
     odd = spark.createDataFrame([(1, None), (1, None), (None, "")], "doc_id long, text string")
