@@ -10,7 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: shuffle files go as soon as the action ends, Arrow batches stay small.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside are removed as soon as each action ends."""
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+def _held(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -51,7 +57,7 @@ class Scratch:
         path = f"{self.root}/{self._n:03d}-{name}"
         if sort:
             df = df.sortWithinPartitions(*sort)
-        with _clean_shuffles(self.spark):
+        with _held(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tidemark_path = path

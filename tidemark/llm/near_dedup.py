@@ -11,9 +11,10 @@ Sets of word shingles are linked when their Jaccard similarity reaches the thres
    pair goes when the posterior probability (uniform prior) that its similarity
    reaches the threshold is under `miss`.
 4. Survivors are verified on the full sets of both texts.
-5. Later rounds take, in every bucket that still holds more than one component, its
-   members outside the largest component as leaders until each pair of different
-   components has been compared. Components are star-contracted in Spark.
+5. In buckets that still hold more than one component, the members outside the largest
+   one are compared with all of the others, block by block inside the tasks: signatures
+   and texts travel once for each block, pairs are verified where they meet and only
+   links that join something are written. Components are star-contracted in Spark.
 
 Defined cases: null, empty or wordless text: empty set, linked with nothing. Fewer
 words than a shingle: the whole sequence is the one shingle. Repeated rows and rows
@@ -109,7 +110,10 @@ def _bands(batches):
             h = T.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
         h = T.mix(h + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
         node = np.repeat(np.asarray(batch.column("node")), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(node)], names=["band", "node"])
+        low = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SLOTS).astype(np.uint8)
+        s8: list[bytes | None] = [None] * len(node)
+        s8[::BANDS] = [r.tobytes() for r in low]  # with the first band only
+        yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(node), pa.array(s8, pa.binary())], names=["band", "node", "s8"])
 
 
 def prune_table(threshold: float, miss: float, batch: int = BATCH, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -128,57 +132,130 @@ def prune_table(threshold: float, miss: float, batch: int = BATCH, slots: int =
     return out
 
 
+def _alive(x: np.ndarray, y: np.ndarray, table: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of x and y that no batch of slots prunes."""
+    alive = np.arange(len(x))
+    agree = np.zeros(len(x), np.int32)
+    at = 0
+    for n, least in table:
+        agree[alive] += (x[alive, at:n] == y[alive, at:n]).sum(1, dtype=np.int32)
+        alive, at = alive[agree[alive] >= least], n
+    return alive
+
+
+def _slots(column: pa.Array) -> np.ndarray:
+    """Compared slots, one byte each: the low byte of each signature value."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
 def _prune(table: list[tuple[int, int]]):
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.frombuffer(b"".join(b.column("sa").to_pylist()), np.uint32).reshape(-1, SLOTS)
-            y = np.frombuffer(b"".join(b.column("sb").to_pylist()), np.uint32).reshape(-1, SLOTS)
-            alive = np.arange(len(x))
-            agree = np.zeros(len(x), np.int32)
+            if b.num_rows:
+                take = pa.array(_alive(_slots(b.column("sa")), _slots(b.column("sb")), table))
+                yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take)], names=["a", "b"])
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted, distinct) reach the similarity."""
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    if 100 * small < percent * large:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _meet(k: int, percent: int, table: list[tuple[int, int]]):
+    """Rows sorted by (cl, block, role): the leads (role 0), then the members each of them is compared with.
+
+    Signatures first, batch by batch; pairs that survive are verified on the full sets at
+    once, likeliest first. Pairs that links of this block have joined already are passed
+    over, so a block gives fewer links than it has rows.
+    """
+
+    def run(batches):
+        key, leads, up = None, [], {}
+
+        def root(c):
+            while up.get(c, c) != c:
+                up[c] = up.get(up[c], up[c])
+                c = up[c]
+            return c
+
+        for batch in T.chunks(batches):
+            sets = _shingle_sets(batch.column("text"), k)
+            sig = _slots(batch.column("s8"))
+            cl, block, role, node, comp, shown = (batch.column(c).to_pylist() for c in ("cl", "block", "role", "node", "comp", "shown"))
+            la, lb = [], []
             at = 0
-            for n, least in table:
-                agree[alive] += (x[alive, at:n] == y[alive, at:n]).sum(1, dtype=np.int32)
-                alive, at = alive[agree[alive] >= least], n
-            take = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take)], names=["a", "b"])
+            while at < len(cl):
+                end = at + 1
+                while end < len(cl) and (cl[end], block[end], role[end]) == (cl[at], block[at], role[at]):
+                    end += 1
+                if (cl[at], block[at]) != key:
+                    key, leads, up = (cl[at], block[at]), [], {}
+                if role[at] == 0:
+                    leads += [(node[i], comp[i], sig[i], sets[i]) for i in range(at, end)]
+                else:
+                    own, kinds = sig[at:end], np.array(comp[at:end])
+                    first = own[:, : table[0][0]]
+                    for n, c, x, mine in leads:
+                        same = [q for q in np.unique(kinds).tolist() if root(q) == root(c)]
+                        near = np.flatnonzero(~np.isin(kinds, same) & ((first == x[None, : table[0][0]]).sum(1) >= table[0][1]))
+                        near = near[_alive(np.broadcast_to(x, own[near].shape), own[near], table)]
+                        near = near[np.argsort(-(own[near] == x[None]).sum(1), kind="stable")]
+                        for i in (near + at).tolist():
+                            if node[i] == n or (shown[i] and node[i] < n) or root(comp[i]) == root(c):
+                                continue
+                            if _similar(mine, sets[i], percent):
+                                up[root(comp[i])] = root(c)
+                                la.append(n)
+                                lb.append(node[i])
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(la, pa.int64()), pa.array(lb, pa.int64())], names=["a", "b"])
 
     return run
 
 
 def _verify(k: int, percent: int):
-    """Rows sorted by (a, salt, kind): the leader's text, then those of its members."""
+    """Rows sorted by (cl, block), leads (leads is null) first, then members with the leads to compare with."""
 
     def run(batches):
-        held, key = np.zeros(0, np.uint64), None
+        held: dict[int, np.ndarray] = {}
+        key = None
         for batch in T.chunks(batches):
             sets = _shingle_sets(batch.column("text"), k)
-            a, s, b = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
+            cl, block, node, leads = (batch.column(c).to_pylist() for c in ("cl", "block", "node", "leads"))
             la, lb = [], []
             for i, mine in enumerate(sets):
-                if b[i] is None:
-                    held, key = mine, (a[i], s[i])
-                elif key == (a[i], s[i]):
-                    both = len(np.intersect1d(held, mine, assume_unique=True))
-                    if both and 100 * both >= percent * (len(held) + len(mine) - both):
-                        la.append(a[i])
-                        lb.append(b[i])
+                if (cl[i], block[i]) != key:
+                    key, held = (cl[i], block[i]), {}
+                if leads[i] is None:
+                    held[node[i]] = mine
+                    continue
+                for a in leads[i]:
+                    if _similar(held[a], mine, percent):
+                        la.append(a)
+                        lb.append(node[i])
             yield pa.RecordBatch.from_arrays([pa.array(la, pa.int64()), pa.array(lb, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch, k: int, percent: int, miss: float) -> DataFrame:
-    """Those of the candidate pairs (a: leader, b: member) whose sets pass."""
-    left = sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    cand = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    alive = scratch.save(cand.mapInArrow(_prune(prune_table(percent / 100, miss)), "a long, b long"), "alive")
-    salted = alive.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
-    members = salted.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text")
-    leaders = salted.select("a", "salt").distinct().join(docs.select(F.col("doc_id").alias("a"), "text"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rows = members.union(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (cl, node, ...) with `block` and `blocks`: groups of more than `size` nodes are split by a hash."""
+    n = rows.groupBy("cl").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    return rows.join(n, "cl").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (cl, a, b) whose sets pass. Within a block of cl each text travels once."""
+    members = pairs.groupBy("cl", F.col("b").alias("node")).agg(F.collect_list("a").alias("leads"))
+    members = scratch.save(_blocks(members, 512).select("cl", "block", "node", "leads"), "members")
+    leads = members.select("cl", "block", F.explode("leads").alias("node")).distinct().withColumn("leads", F.lit(None).cast("array<bigint>"))
+    rows = leads.unionByName(members).join(texts, "node").repartition("cl", "block").sortWithinPartitions("cl", "block", F.size("leads") > 0)
     return scratch.save(rows.mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
 
@@ -192,35 +269,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     classes = scratch.save(classes, "classes")
     nodes = classes.select("node").distinct()
     sigs = seen.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "sig")
-    bands = scratch.save(sigs.join(nodes, "node", "left_semi").mapInArrow(_bands, "band long, node long"), "bands")
+    bands = scratch.save(sigs.join(nodes, "node", "left_semi").mapInArrow(_bands, "band long, node long, s8 binary"), "bands")
     shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
-    members = scratch.save(bands.join(shared.select("band", "leader"), "band").distinct(), "buckets")
+    members = scratch.save(bands.select("band", "node").join(shared.select("band", "leader"), "band").distinct(), "buckets")
+    near = members.select("node").distinct()
+    held = scratch.save(bands.where("s8 is not null").select("node", "s8").join(near, "node", "left_semi").distinct(), "held")
+    texts = scratch.save(docs.withColumnRenamed("doc_id", "node").join(near, "node", "left_semi"), "texts")
     scratch.drop(bands)
-    held = scratch.save(sigs.join(members.select("node").distinct(), "node", "left_semi").distinct(), "held")
-
-    links = _links(members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), held, docs, scratch, shingle, percent, miss)
-    # rows that share a doc_id but not a text
+    table = prune_table(percent / 100, miss)
+    # each bucket's members against its leader
+    pairs = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("s8").alias("sb")), "b").join(held.select(F.col("node").alias("a"), F.col("s8").alias("sa")), "a")
+    pairs = scratch.save(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune(table), "a long, b long"), "pairs")
+    links = _confirm(pairs.select(F.col("a").alias("cl"), "a", "b").distinct(), texts, scratch, shingle, percent)
     parts = scratch.save(connected_components(links, scratch), "components")
-    open_ = members.where("leader <> node").select("band", "node")  # leaders have met all others of their bucket
-    most = 16
-    for turn in range(1, 100):
-        known = open_.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-        per = known.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        per = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-        per = per.select("band", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("rest"))
-        known = scratch.save(known.join(per, "band"), "open")
-        if known.isEmpty():
-            break
-        leads = known.where("comp <> main").where(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("rest") / most)) == 0)
-        leads = scratch.save(leads.select("band", F.col("node").alias("a"), F.col("comp").alias("ca")), "leads")
-        met = known.select("band", F.col("node").alias("b"), F.col("comp").alias("cb")).join(leads, "band").where("ca <> cb")
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _links(pairs, held, docs, scratch, shingle, percent, miss)
-        links = links.union(more)
+    # what is not yet together: leaders have met all others of their bucket
+    known = members.where("leader <> node").select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
+    per = known.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    per = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("top.comp").alias("cl"))
+    open_ = known.join(per, "band").groupBy("cl", "node", "comp").agg(F.max((F.col("comp") != F.col("cl")).cast("int")).alias("shown"))
+    open_ = scratch.save(open_, "open")
+    if not open_.isEmpty():
+        blocked = scratch.save(_blocks(open_, 2048), "blocked")
+        leads = blocked.where("shown = 1").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = leads.withColumn("role", F.lit(0)).unionByName(blocked.withColumn("role", F.lit(1))).select("cl", "block", "role", "node", "comp", "shown")
+        rows = rows.join(held, "node").join(texts, "node").repartition("cl", "block").sortWithinPartitions("cl", "block", "role", "node")
+        more = scratch.save(rows.mapInArrow(_meet(shingle, percent, table), "a long, b long"), "links")
         if not more.isEmpty():
-            parts = scratch.save(connected_components(links, scratch), "components")
-        open_ = known.select("band", "node").join(leads.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti")
-        most *= 4
+            parts = scratch.save(connected_components(links.union(more), scratch), "components")
     by_class = classes.join(parts, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     named = seen.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
@@ -229,6 +305,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` whose doc_id names its component, one row for each such id."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("_id"))
+    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     lone = docs.where("doc_id is null")
-    return docs.join(kept.distinct(), docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
