@@ -182,3 +182,21 @@ def test_certified_legs(spark):
     got = {r.k: r.clear for r in V.certify_legs(legs, "k", far, 30.0, depth=8).collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
     assert {r.k for r in V.certify_legs(legs, "k", far, 30.0, depth=0).collect() if r.clear} == set()
+
+
+def test_ensemble_search(spark):
+    from tidemark.operators.ensemble_search import ensemble_search
+
+    wind, spec = registry._constant_wind(spark)
+    both = wind.withColumn("member", F.lit("a")).unionByName(wind.withColumn("v", F.col("v") * 0.8).withColumn("member", F.lit("b")))
+    req = spark.createDataFrame([(1, 1.0, 0.5, 1.0, 0.8, dt.datetime(2026, 7, 14, 12))], "request_id long, lat double, lon double, to_lat double, to_lon double, depart timestamp")
+    o = Options(tiers=[(3600, None)], heading_step=30.0, per_bucket=2)
+    one = spark.createDataFrame([("a", 1.0)], "member string, weight double")
+    courses, _ = ensemble_search(req, one, both, spec, Polar.builtin(), o, width=12)
+    routes, _ = search(req, wind, spec, Polar.builtin(), o)
+    alone = max(r.time for r in routes.collect()) - dt.datetime(2026, 7, 14, 12)
+    assert courses.first().mean_s == alone.total_seconds() and set(courses.first().headings) == {90.0}
+    two = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "member string, weight double")
+    courses, outcomes = ensemble_search(req, two, both, spec, Polar.builtin(), o, width=12)
+    by = {r.member: r.elapsed_s for r in outcomes.collect()}
+    assert by["a"] < by["b"] and courses.first().mean_s == pytest.approx((by["a"] + 3 * by["b"]) / 4)

@@ -70,18 +70,19 @@ def bilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values:
     return j.groupBy(key, *on).agg(*(F.when(whole(v), F.sum(F.col("w") * F.col(v))).alias(v) for v in values))
 
 
-def trilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values: list[str], at: str = "ts", lat: str = "lat", lon: str = "lon") -> DataFrame:
+def trilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values: list[str], at: str = "ts", lat: str = "lat", lon: str = "lon", on: list[str] | None = None) -> DataFrame:
     """(key, values..., status) by bilinear lookup in the two slices around `at`, then linear in time.
 
-    grid: (valid_time, j, i, values). status: ok, or what fails first of out_of_bounds,
+    grid: (valid_time, j, i, on..., values); all of `on` share the times. status: ok, or what fails first of out_of_bounds,
     out_of_time, incomplete_forecast.
     """
+    on = on or []
     inside = rows.withColumn("_in", spec.corners(lat, lon).isNotNull())
     b = time_brackets(inside, time_slices(grid), at)
     both = F.array(F.struct(F.col("t0").alias("valid_time"), (1 - F.col("share")).alias("s")), F.struct(F.col("t1").alias("valid_time"), F.col("share").alias("s")))
     two = b.where("_in and t0 is not null").withColumn("_t", F.explode(both)).select("*", "_t.valid_time", "_t.s").where("s > 0")
-    cells = two.select(key, "valid_time", "s", F.explode(spec.corners(lat, lon)).alias("_c")).select(key, "valid_time", "s", "_c.j", "_c.i", "_c.w").where("w <> 0")
-    j = cells.join(grid, ["valid_time", "j", "i"], "left")
+    cells = two.select(key, *on, "valid_time", "s", F.explode(spec.corners(lat, lon)).alias("_c")).select(key, *on, "valid_time", "s", "_c.j", "_c.i", "_c.w").where("w <> 0")
+    j = cells.join(grid, [*on, "valid_time", "j", "i"], "left")
     whole = lambda v: F.count(F.when(F.col(v).isNotNull() & ~F.isnan(v), 1)) == F.count("*")
     got = j.groupBy(key).agg(*(F.when(whole(v), F.sum(F.col("s") * F.col("w") * F.col(v))).alias(v) for v in values))
     out = b.select(key, "_in", "t0").join(got, key, "left")
