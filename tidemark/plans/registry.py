@@ -23,7 +23,9 @@ from tidemark.operators import lattice as L
 from tidemark.operators import policy as P
 from tidemark.operators import ranking as K
 from tidemark.operators import spatial as Z
+from tidemark.operators.ensemble_search import ensemble_search
 from tidemark.operators.frontier import Options, search
+from tidemark.sources import route_files
 
 from . import sql as Q
 
@@ -726,6 +728,40 @@ def zone_summary(spark: SparkSession, d: str) -> DataFrame:
     return _zones(spark).agg(F.count("*").alias("zones"), F.max("zone").alias("last"), F.count("active_until").alias("bounded"), F.min("active_from").alias("first_active"))
 
 
+# --- files -------------------------------------------------------------------------------
+
+
+def _track(spark: SparkSession, d: str) -> DataFrame:
+    c = _customers(spark, d).where("lat <> 0 and lon <> 0")
+    return c.select(F.col("c_nationkey").alias("request_id"), F.lit("2026-07-14 12:00:00").cast("timestamp").alias("time"), F.col("k").alias("seq"), "lat", "lon")
+
+
+@query(f"""SELECT c_nationkey AS request_id, '{{"type":"Feature","properties":{{"time":"2026-07-14T12:00:00Z"}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY k) || ']}}}}' AS json FROM {_CUST} WHERE lat <> 0 AND lon <> 0 GROUP BY 1""")
+def isochrone_geojson(spark: SparkSession, d: str) -> DataFrame:
+    return route_files.isochrone_geojson(_track(spark, d)).select("request_id", "json")
+
+
+def _coord(x: str) -> str:
+    return rf"regexp_replace(printf('%.10f', {x}), '\.?0+$', '')"
+
+
+@query(f"""SELECT c_nationkey AS request_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>route</name><trkseg>' || string_agg('<trkpt lat="' || {_coord('lat')} || '" lon="' || {_coord('lon')} || '"><time>2026-07-14T12:00:00Z</time></trkpt>', '' ORDER BY k) || '</trkseg></trk></gpx>' AS gpx FROM {_CUST} WHERE lat <> 0 AND lon <> 0 GROUP BY 1""")
+def route_gpx(spark: SparkSession, d: str) -> DataFrame:
+    return route_files.route_gpx(_track(spark, d))
+
+
+@query()
+def ensemble_route(spark: SparkSession, d: str) -> DataFrame:
+    """The course of least mean arrival over three members, each with its own wind."""
+    wind, spec = _constant_wind(spark)
+    members = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "member string, weight double")
+    share = members.select("member", (1.3 - F.col("weight") / 5).alias("share"))
+    grids = wind.join(F.broadcast(share), F.lit(True)).withColumn("v", F.col("v") * F.col("share")).drop("share")
+    one = _seeds(spark, d).orderBy("request_id").limit(1)
+    courses, outcomes = ensemble_search(one, members, grids, spec, Polar.builtin(), Options(tiers=[(3600, None)], heading_step=45.0, per_bucket=2), width=8)
+    return outcomes.join(courses, "request_id").select("request_id", "member", "elapsed_s", _r(F.col("mean_s"), "mean_s"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fastest-route search seeded from supplier rows."""
     return beam_route(spark, sf_dir)
