@@ -86,32 +86,38 @@ def branch_paths(messages: DataFrame, top: int | None = 1, scratch: Scratch | No
     scratch = scratch or Scratch(messages.sparkSession, "reply-trees")
     m = messages.select("tree", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     m = scratch.save(m.where("id is not null").dropDuplicates(["tree", "id"]).withColumn("key", F.struct("tree", "id")), "messages")
-    known = m.select(F.col("tree").alias("kt"), F.col("id").alias("ki"))
-    jump = m.select("tree", "id", "parent", "score").join(known, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("parent") == F.col("ki")), "left").select("tree", "id", F.col("ki").alias("anc"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
-    jump = scratch.save(jump, "jump")
-    jumps, open_ = [jump], jump.where("anc is not null").count()
-    while open_:
-        # sum: scores from the node up to, not including, anc
-        up = jump.select(F.col("tree").alias("ut"), F.col("id").alias("ui"), F.col("anc").alias("uanc"), F.col("steps").alias("usteps"), F.col("sum").alias("usum"))
-        jump = jump.join(up, F.col("tree").eqNullSafe(F.col("ut")) & (F.col("anc") == F.col("ui")), "left").select("tree", "id", F.col("uanc").alias("anc"), (F.col("steps") + F.coalesce("usteps", F.lit(0))).alias("steps"), (F.col("sum") + F.coalesce("usum", F.lit(0.0))).alias("sum"))
-        jump = scratch.save(jump, "jump")
-        left = jump.where("anc is not null").count()
-        if left == open_:  # only cycles are left
-            break
+    # the tables compress well, so their files say little about their size: no join may send one side to all executors
+    known = m.select(F.col("tree").alias("kt"), F.col("id").alias("ki")).hint("merge")
+    first = m.select("tree", "id", "parent", "score").join(known, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("parent") == F.col("ki")), "left").select("tree", "id", F.col("ki").alias("anc"), F.lit(1).cast("long").alias("steps"), F.col("score").alias("sum"))
+    first = scratch.save(first, "jump")
+    # sum: scores from a message up to, not including, anc; messages that have reached their root leave the rounds
+    rooted, jump = first.where("anc is null").drop("anc"), first.where("anc is not null")
+    jumps, left = [], jump.count()
+    while left:
         jumps.append(jump)
-        open_ = left
-    rooted = jump.where("anc is null").select("tree", "id", F.col("steps").alias("depth"), F.col("sum").alias("path_score"))
-    inner = jumps[0].where("anc is not null").select(F.col("tree").alias("pt"), F.col("anc").alias("pi")).distinct()
+        up = jump.unionByName(rooted.withColumn("anc", F.lit(None).cast(jump.schema["anc"].dataType)))
+        up = up.select(F.col("tree").alias("ut"), F.col("id").alias("ui"), F.col("anc").alias("uanc"), F.col("steps").alias("usteps"), F.col("sum").alias("usum")).hint("merge")
+        on = F.col("tree").eqNullSafe(F.col("ut")) & (F.col("anc") == F.col("ui"))
+        # a message whose ancestor is on a cycle finds it among the open ones for ever
+        nxt = jump.join(up, on).select("tree", "id", F.col("uanc").alias("anc"), (F.col("steps") + F.col("usteps")).alias("steps"), (F.col("sum") + F.col("usum")).alias("sum"))
+        nxt = scratch.save(nxt, "jump")
+        rooted, jump = rooted.unionByName(nxt.where("anc is null").drop("anc")), nxt.where("anc is not null")
+        before, left = left, jump.count()
+        if left == before:  # only cycles are left
+            break
+    rooted = rooted.select("tree", "id", F.col("steps").alias("depth"), F.col("sum").alias("path_score"))
+    inner = first.where("anc is not null").select(F.col("tree").alias("pt"), F.col("anc").alias("pi")).distinct().hint("merge")
     leaves = rooted.join(inner, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("id") == F.col("pi")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.desc("depth"), "id")
     leaves = leaves.withColumn("rank", F.row_number().over(order).cast("long"))
     leaves = leaves.where(F.col("rank") <= top) if top is not None else leaves
     path = leaves.select("tree", F.col("id").alias("leaf"), "rank", "path_score", "depth", F.lit(0).cast("long").alias("off"), "id")
+    path = scratch.save(path, "path")
     for k in range(len(jumps) - 1, -1, -1):
-        j = jumps[k].where("anc is not null").select(F.col("tree").alias("jt"), F.col("id").alias("ji"), "anc")
+        j = jumps[k].select(F.col("tree").alias("jt"), F.col("id").alias("ji"), "anc").hint("merge")
         more = path.join(j, F.col("tree").eqNullSafe(F.col("jt")) & (F.col("id") == F.col("ji"))).select("tree", "leaf", "rank", "path_score", "depth", (F.col("off") + 2**k).alias("off"), F.col("anc").alias("id"))
-        path = path.union(more)
-    text = m.select(F.col("tree").alias("mt"), F.col("id").alias("mi"), "role", "text")
+        path = scratch.save(path.union(more), "path")
+    text = m.select(F.col("tree").alias("mt"), F.col("id").alias("mi"), "role", "text").hint("merge")
     return path.join(text, F.col("tree").eqNullSafe(F.col("mt")) & (F.col("id") == F.col("mi"))).select("tree", "leaf", "rank", "path_score", (F.col("depth") - F.col("off")).alias("seq"), "role", "text")
 
 
