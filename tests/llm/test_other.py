@@ -130,6 +130,20 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty, wanted).count() == 0 and mixing.sample_mixture(empty, wanted).count() == 0
 
 
+def test_mixing_scarce_cells(spark):
+    """A source with 1 % of the tokens and 20 % of the mixture: copies make up what its documents lack."""
+    rows = [(i, "w " * 20, "en", "rare" if i % 100 == 0 else f"s{i % 3}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"source": {"rare": 0.2}}
+    got = mixing.mix(df, wanted, budget=0.5)
+    by = {r[0]: r[1] for r in got.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
+    assert by["rare"] / sum(by.values()) == pytest.approx(0.2, abs=0.01)
+    assert sum(by.values()) == pytest.approx(0.5 * 4000 * 20, rel=0.05)
+    assert got.where("selected <> (copies > 0) or probability > 1").count() == 0
+    times = {r[0]: r[1] for r in mixing.sample_mixture(df, wanted, budget=0.5).groupBy("doc_id").count().collect()}
+    assert times == {r["doc_id"]: r["copies"] for r in got.where("selected").collect()}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,8 +2,10 @@
 
 Token counts are summed over source x language x topic. The cells are raked in turn to
 the target shares of each margin until every margin fits; a cell's calibrated weight
-divided by its tokens gives the rate at which its documents are wanted, and documents
-are sampled by that probability with a hash of their id, so a run can be repeated.
+divided by its tokens gives the rate at which its documents are wanted. A rate above 1
+is a number of epochs: each document of the cell is taken its whole part of times, and
+once more by the rest as a probability, with a hash of its id, so a run can be repeated.
+Without such copies a cell with too few tokens would leave its margins short.
 
 Defined cases: null source, language or topic is a value of its own; null or wordless
 text has no tokens and is never selected; a target for a value without tokens is left
@@ -83,17 +85,23 @@ def uniform(seed: int = SEED) -> Column:
 
 
 def _rates(fitted: DataFrame, budget: float) -> DataFrame:
-    """The rate at which each cell's documents are wanted, at most 1."""
+    """The rate at which each cell's documents are wanted: above 1 where it has too few tokens."""
     total = float(fitted.agg(F.sum("tokens")).first()[0] or 0)
     rate = F.lit(budget * total) * F.col("weight") / F.col("tokens")
-    return fitted.select(*(F.col(m).alias(f"r_{m}") for m in MARGINS), "weight", F.least(F.lit(1.0), rate).alias("rate"))
+    return fitted.select(*(F.col(m).alias(f"r_{m}") for m in MARGINS), "weight", rate.alias("rate"))
+
+
+def _copies(rate: Column, seed: int) -> Column:
+    """How often a document is taken: `rate` times on average."""
+    whole = F.floor(rate)
+    return whole + (uniform(seed) < rate - whole).cast("long")
 
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, selected of every row of `docs`.
+    """doc_id, source, lang, topic, n_tokens, weight, probability, copies, selected of every row of `docs`.
 
-    budget: tokens wanted as a share of all tokens. A document's probability is at most
-    1; where a cell has too few tokens, all of its documents are taken.
+    budget: tokens wanted as a share of all tokens, copies included. probability: of being
+    taken at all; where a cell has too few tokens it is 1 and copies make up the weight.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     seen = scratch.save(docs.select("doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens")), "tokens")
@@ -102,12 +110,13 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: flo
     rates = scratch.save(_rates(fitted, budget), "rates")
     on = [F.col(m).eqNullSafe(F.col(f"r_{m}")) for m in MARGINS]
     j = seen.join(rates, on[0] & on[1] & on[2], "left")
-    p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    return j.select("doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), (uniform(seed) < p).alias("selected"))
+    rate = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
+    copies = _copies(rate, seed)
+    return j.select("doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.least(F.lit(1.0), rate).alias("probability"), copies.alias("copies"), (copies > 0).alias("selected"))
 
 
 def sample_mixture(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED) -> DataFrame:
-    """The rows of `docs` that the mixture selects.
+    """The rows of `docs` that the mixture selects, each as often as it has copies.
 
     Rows without tokens are left out. The rates of the cells are joined on the margins
     themselves, so rows that share a doc_id are judged each by its own cell.
@@ -117,4 +126,5 @@ def sample_mixture(docs: DataFrame, wanted: dict[str, dict[str | None, float]],
     cells = named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     rates = scratch.save(_rates(rake(cells, wanted, scratch), budget), "rates").drop("weight")
     on = [F.col(m).eqNullSafe(F.col(f"r_{m}")) for m in MARGINS]
-    return named.join(rates, on[0] & on[1] & on[2]).where((F.col("n_tokens") > 0) & (uniform(seed) < F.col("rate"))).select("row.*")
+    taken = named.join(rates, on[0] & on[1] & on[2]).where("n_tokens > 0").select("row", _copies(F.col("rate"), seed).alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
