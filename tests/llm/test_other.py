@@ -50,6 +50,19 @@ def test_quality_divergence(spark, empty):
     assert not any("Python" in x for x in [quality_rules.quality_verdicts(spark.createDataFrame(good, "doc_id long, text string, lang string"))._jdf.queryExecution().toString()])
 
 
+def test_quality_of_texts_without_common_words(spark):
+    """A long text of the wrong language or of junk words goes, by its words alone."""
+    import random
+
+    r = random.Random(1)
+    text = lambda common: " ".join(r.choice(common) if r.random() < 0.3 else "".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))
+    good = [(i, text(quality_rules.COMMON["en"]), "en") for i in range(60)]
+    junk = [(100, text(["zzzzz"]), "en"), (101, text(["und", "nicht", "sich", "mit"]), "en")]
+    got = {x["doc_id"]: x for x in quality_rules.quality_verdicts(spark.createDataFrame(good + junk, "doc_id long, text string, lang string")).collect()}
+    assert not got[100]["base_failed"] and not got[100]["kept"] and not got[101]["kept"]
+    assert sum(got[i]["kept"] for i in range(60)) >= 57
+
+
 def test_quality_keeps_columns(docs):
     clash = docs.withColumn("k", F.lit(1)).withColumn("n_words", F.lit(1))
     assert quality_rules.drop_low_quality(clash).columns == clash.columns

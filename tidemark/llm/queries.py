@@ -60,7 +60,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
+    df = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"), all_words=False)  # as its SQL counterpart
     return df.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
