@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,76 @@ def test_ensemble_search(spark):
     courses, outcomes = ensemble_search(req, two, both, spec, Polar.builtin(), o, width=12)
     by = {r.member: r.elapsed_s for r in outcomes.collect()}
     assert by["a"] < by["b"] and courses.first().mean_s == pytest.approx((by["a"] + 3 * by["b"]) / 4)
+
+
+def _cheapest(polar_kn, weights, place, to, radius, step=3600, depth=3):
+    """Least mean arrival over every sequence of headings up to `depth` steps, by plain arithmetic; winds don't change."""
+    r = 3440.065
+
+    def nm(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * r * math.asin(math.sqrt(h))
+
+    def ahead(a, heading, d):
+        p, l, b, d = math.radians(a[0]), math.radians(a[1]), math.radians(heading), d / r
+        s = math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(b)
+        return math.degrees(math.asin(s)), math.degrees(l + math.atan2(math.sin(b) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * s))
+
+    headings = sorted({h for _, h in polar_kn})
+    entry = {}  # a leg's first point within the radius, on a fine grid of shares
+    best = math.inf
+    level = [tuple((place, None) for _ in weights)]
+    for n in range(depth):
+        after = []
+        for state in level:
+            for h in headings:
+                moved = []
+                for m, (at, came) in zip(weights, state):
+                    if came is not None:
+                        moved.append((at, came))
+                        continue
+                    kn = polar_kn[m, h]
+                    if kn <= 0:
+                        break
+                    leg = kn * step / 3600
+                    if (at, m, h) not in entry:
+                        hit = next((i / 400 for i in range(401) if nm(ahead(at, h, leg * i / 400), to) <= radius), None) if nm(at, to) - leg <= radius else None
+                        entry[at, m, h] = hit, ahead(at, h, leg)
+                    hit, end = entry[at, m, h]
+                    moved.append((end, None) if hit is None else (to, n * step + hit * step))
+                else:
+                    if all(c is not None for _, c in moved):
+                        best = min(best, sum(w * c for w, (_, c) in zip(weights.values(), moved)) / sum(weights.values()))
+                    else:
+                        after.append(tuple(moved))
+        level = after
+    return best
+
+
+def test_ensemble_search_is_best_of_all_courses(spark):
+    from tidemark.functions import geodesy as G
+    from tidemark.operators.ensemble_search import ensemble_search
+
+    wind, spec = registry._constant_wind(spark)
+    shares, weights = {"a": 1.1, "b": 0.9}, {"a": 1.0, "b": 2.0}
+    grids = wind.withColumn("member", F.lit("a")).unionByName(wind.withColumn("member", F.lit("b")))
+    grids = grids.withColumn("v", F.col("v") * F.when(F.col("member") == "a", shares["a"]).otherwise(shares["b"]))
+    members = spark.createDataFrame(list(weights.items()), "member string, weight double")
+    places = {1: ((1.0, 0.5), (1.0, 0.7))}
+    req = spark.createDataFrame([(k, *a, *b, dt.datetime(2026, 7, 14, 12)) for k, (a, b) in places.items()], "request_id long, lat double, lon double, to_lat double, to_lon double, depart timestamp")
+    o = Options(tiers=[(3600, None)], heading_step=45.0, arrival_radius=3.0)
+    h = spark.range(8).select((F.col("id") * 45.0).alias("h")).crossJoin(spark.createDataFrame([(m, s * 10 * G.MPS_TO_KNOTS) for m, s in shares.items()], "m string, tws double"))
+    kn = {(r.m, r.h): r.kn for r in h.select("m", "h", Polar.builtin().speed(G.angular_difference("h", F.lit(0.0)), F.col("tws")).alias("kn")).collect()}
+    got = {r.request_id: r.mean_s for r in ensemble_search(req, members, grids, spec, Polar.builtin(), o)[0].collect()}
+    for k, (a, b) in places.items():
+        assert got[k] == pytest.approx(_cheapest(kn, weights, a, b, 3.0), abs=10)
+
+
+def test_routes_are_seeded_by_suppliers(spark, monkeypatch):
+    """A request for each supplier row, also where nations repeat, and the library's options."""
+    d, called = "/root/testdata/sf0.01", []
+    assert registry._seeds(spark, d).select("request_id").distinct().count() == spark.read.parquet(f"{d}/supplier.parquet").count()
+    monkeypatch.setattr(registry, "ensemble_search", lambda *a, **k: called.append((a, k)) or (spark.createDataFrame([], "request_id long, mean_s double"), spark.createDataFrame([], "request_id long, member string, elapsed_s long")))
+    registry.ensemble_route(spark, d)
+    assert called[0][0][0].count() == 100 and len(called[0][0]) == 5 and not called[0][1]

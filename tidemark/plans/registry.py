@@ -573,9 +573,9 @@ def _constant_wind(spark: SparkSession, u: float = 0.0, v: float = -10.0, hours:
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Requests within the small grid, one for each nation that has a supplier."""
-    k = F.col("n_nationkey").cast("long")
-    s = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    """Requests within the small grid, one for each supplier."""
+    k = F.col("s_suppkey").cast("long")
+    s = _t(spark, d, "supplier")
     start = F.lit("2026-07-14 12:00:00").cast("timestamp")
     return s.select(k.alias("request_id"), (0.8 + k % 5 / 10.0).alias("lat"), F.lit(0.5).alias("lon"), F.lit(1.0).alias("to_lat"), (0.7 + k % 3 / 10.0).alias("to_lon"), start.alias("depart"))
 
@@ -757,8 +757,7 @@ def ensemble_route(spark: SparkSession, d: str) -> DataFrame:
     members = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "member string, weight double")
     share = members.select("member", (1.3 - F.col("weight") / 5).alias("share"))
     grids = wind.join(F.broadcast(share), F.lit(True)).withColumn("v", F.col("v") * F.col("share")).drop("share")
-    one = _seeds(spark, d).orderBy("request_id").limit(1)
-    courses, outcomes = ensemble_search(one, members, grids, spec, Polar.builtin(), Options(tiers=[(3600, None)], heading_step=45.0, per_bucket=2), width=8)
+    courses, outcomes = ensemble_search(_seeds(spark, d), members, grids, spec, Polar.builtin())
     return outcomes.join(courses, "request_id").select("request_id", "member", "elapsed_s", _r(F.col("mean_s"), "mean_s"))
 
 
