@@ -19,13 +19,15 @@ _SETTINGS = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on this machine."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(root)
         root = sc._jsc.sc().getCheckpointDir().get()
@@ -65,13 +67,39 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of which nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._tidemark_path)
+        self.delete(self.spark, [t._tidemark_path for t in tables])
+
+    @staticmethod
+    def delete(spark: SparkSession, paths: list[str]) -> None:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
 
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+
+
+#: A key with more than one part in so many of the rows is hot; there can be no more hot keys than this.
+HOT_PARTS = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts (one for each key, saved, with `weight`: how many of the rows have it).
+
+    Keys that hold over a thousandth of the rows, a thousand at most by that, are broadcast
+    to where their rows are; the others hold too few rows to fill a task.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot, cold = facts.where(F.col(weight) * HOT_PARTS > total), facts.where(F.col(weight) * HOT_PARTS <= total)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    return rows.join(F.broadcast(hot), on, how).unionByName(rest).drop(weight)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): for every node of an edge its smallest reachable node.
 
@@ -84,9 +112,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     mark = None
     for _ in range(max_rounds):
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         # large star: every larger neighbour points at the least of the neighbourhood
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
+        large = join_hot(both.where("v > u"), scratch.save(least, "least"), "u", "n").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         # small star: the smaller neighbours and the node itself point at the least
         low = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         links = large.select(F.col("hi").alias("u"), F.col("lo").alias("v")).join(low, "u")

@@ -1,14 +1,18 @@
-"""Vectorised word kernel: Arrow string batches to word positions and 64-bit word names.
+"""Vectorised word kernel: Arrow string batches to word positions and names.
 
-Works on UTF-8 bytes, a few megabytes at a time. A name depends on the word's bytes
-alone, so equal words get equal names on every executor.
+Works on UTF-8 bytes, a few megabytes at a time. Within a chunk words are numbered by
+their bytes, exactly. A name is a 64-bit digest of a word's bytes, the same on every
+executor; names of ranges are polynomials over such symbols. Names choose candidates;
+the operators confirm what they find on words, bytes or 128-bit digests of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -80,14 +84,24 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             at = to
 
 
+def digest(data) -> bytes:
+    """128-bit digest that stands for a byte string wherever the string itself doesn't travel."""
+    return blake2b(data, digest_size=16).digest()
+
+
+def digests(strings: list[bytes]) -> np.ndarray:
+    """(n, 2): the digests of byte strings as two integers each."""
+    return np.frombuffer(b"".join(map(digest, strings)), np.uint64).reshape(-1, 2)
+
+
 class Words:
     """Words of a chunk. start, end: byte positions; first: index of each text's first word (one more entry than texts)."""
 
-    __slots__ = ("data", "end", "first", "off", "start")
+    __slots__ = ("data", "end", "first", "inside", "off", "start")
 
     def __init__(self, data: np.ndarray, off: np.ndarray, kind: np.ndarray):
         self.data, self.off = data, off
-        inside = kind[data]
+        self.inside = inside = kind[data]
         before = np.empty_like(inside)
         after = np.empty_like(inside)
         if len(data):
@@ -101,9 +115,27 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, off)
 
+    def encoded(self) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each word within the chunk, and the distinct words by number."""
+        off = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start, out=off[1:])
+        held = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(off), pa.py_buffer(self.data[self.inside])]).dictionary_encode()
+        return np.asarray(held.indices).astype(np.int64), held.dictionary.to_pylist()
+
     def names(self) -> np.ndarray:
         """64-bit name of each word."""
-        return span_names(self.data, self.start, self.end)
+        ids, words = self.encoded()
+        return digests(words)[ids, 0]
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' bytes with one space behind each, and where each begins and ends there."""
+        length = self.end - self.start
+        end = np.cumsum(length) + np.arange(len(length))
+        out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+        letters = np.ones(len(out), bool)
+        letters[end] = False
+        out[letters] = self.data[self.inside]
+        return out, end - length, end
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -121,10 +153,6 @@ def range_names(sums: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: i
     return mix((sums[end] - sums[start]) * _powers_of(inverse, len(sums))[start] + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def span_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return range_names(prefix_sums(_BYTE[data]), start, end)
-
-
 def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -140,9 +168,24 @@ def lengths_left(first: np.ndarray) -> np.ndarray:
     return np.repeat(first[1:], np.diff(first)) - np.arange(n)
 
 
-def window_names(names: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of all windows of k consecutive items within one text, and the windows' first items."""
-    at = np.flatnonzero(lengths_left(first) >= k)
-    if not len(at):
-        return np.zeros(0, np.uint64), at
-    return range_names(prefix_sums(names), at, at + k), at
+def chained(columns: np.ndarray) -> np.ndarray:
+    """Name of each row of symbols."""
+    h = np.zeros(len(columns), np.uint64)
+    for j in range(columns.shape[1]):
+        h = mix(h * _U(0x9E3779B97F4A7C15) + columns[:, j].astype(np.uint64))
+    return h
+
+
+def row_numbers(columns: np.ndarray) -> np.ndarray:
+    """A number for each row of small non-negative integers, the same for equal rows alone."""
+    out = np.zeros(len(columns), np.int64)
+    for j in range(columns.shape[1]):
+        column = columns[:, j]
+        out = pd.factorize(out * (int(column.max(initial=0)) + 1) + column)[0].astype(np.int64)
+    return out
+
+
+def first_seen(numbers: np.ndarray) -> np.ndarray:
+    """Where each value occurs for the first time."""
+    top = np.maximum.accumulate(pd.factorize(numbers)[0])
+    return np.flatnonzero(np.concatenate([[True], top[1:] > top[:-1]])) if len(top) else top
