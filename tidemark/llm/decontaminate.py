@@ -1,14 +1,17 @@
 """Benchmark decontamination with Wu-Manber multi-pattern search over words.
 
-Symbols are word names. For each pattern length m there are Wu-Manber's tables: blocks
-of two words (one for one-word patterns) with the shift each allows, buckets of
-patterns by their last block, and the patterns themselves for direct comparison. Many
+Symbols are the numbers of the benchmark's words, looked up by the words' bytes; every
+other word is 0. For each pattern length m there are Wu-Manber's tables: blocks of two
+words (one for one-word patterns) with the shift each allows, buckets of patterns by
+the hash of their last block, and the patterns themselves for direct comparison. Many
 cursors walk the words of a chunk in lockstep; a cursor jumps by the shift of the
-block it stands on, m - 1 words where the block is in no pattern.
+block it stands on, m - 1 words where the block is in no pattern. Hashes choose
+positions and buckets only: an occurrence is one where all m words are equal.
 
 Defined cases: null text or text without words: no words, no hits; a benchmark item
-without words or without an id matches nothing; repeated rows each get a result; extra
-columns are ignored; empty tables give an empty result or no hits.
+without words or without an id matches nothing; a text of any length is scanned whole,
+within one task; repeated rows each get a result; items with equal windows are all
+counted; extra columns are ignored; empty tables give an empty result or no hits.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import Scratch
 
 WINDOW = 10
 SEGMENT = 1024
@@ -36,12 +40,12 @@ class PatternTable:
     def __init__(self, patterns: np.ndarray, items: np.ndarray):
         self.m = m = patterns.shape[1]
         self.b = b = min(2, m)
-        ends = np.concatenate([_block_names(patterns[:, j - b + 1 : j + 1]) for j in range(b - 1, m)])
+        ends = np.concatenate([T.chained(patterns[:, j - b + 1 : j + 1]) for j in range(b - 1, m)])
         shifts = np.repeat(np.arange(m - b, -1, -1), len(patterns))
         order = np.lexsort((shifts, ends))
         self.blocks, at = np.unique(ends[order], return_index=True)
         self.shifts = shifts[order][at]
-        last = _block_names(patterns[:, m - b :])
+        last = T.chained(patterns[:, m - b :])
         order = np.argsort(last, kind="stable")
         self.last, self.patterns, self.items = last[order], patterns[order], items[order]
 
@@ -49,13 +53,13 @@ class PatternTable:
         i = np.minimum(np.searchsorted(self.blocks, blocks), len(self.blocks) - 1)
         return np.where(self.blocks[i] == blocks, self.shifts[i], self.m - self.b + 1)
 
-    def find(self, names: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, numbers: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(last word, pattern) of each occurrence within one text; text: text number of each word."""
-        n, m = len(names), self.m
+        n, m = len(numbers), self.m
         if n < m:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         blocks = np.zeros(n, np.uint64)
-        blocks[self.b - 1 :] = _block_names(np.stack([names[j : n - self.b + 1 + j] for j in range(self.b)], 1))
+        blocks[self.b - 1 :] = T.chained(np.stack([numbers[j : n - self.b + 1 + j] for j in range(self.b)], 1))
         begin = np.arange(0, n, SEGMENT)
         stop = np.minimum(begin + SEGMENT, n)
         at = np.maximum(begin, m - 1)
@@ -78,52 +82,49 @@ class PatternTable:
             where = np.repeat(at[part], many)
             which = np.repeat(lo[part] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(part) else np.zeros(0, np.int64)
             for j in range(m):  # direct comparison, word by word
-                same = names[where - m + 1 + j] == self.patterns[which, j]
+                same = numbers[where - m + 1 + j] == self.patterns[which, j]
                 where, which = where[same], which[same]
             found_at.append(where)
             found.append(which)
         return np.concatenate(found_at), np.concatenate(found)
 
 
-def _block_names(columns: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(columns), np.uint64)
-    for j in range(columns.shape[1]):
-        h = T.mix(h * np.uint64(0x9E3779B97F4A7C15) + columns[:, j])
-    return h
-
-
 def _words(column: pa.Array) -> T.Words:
     data, off = T.utf8(column)
     return T.Words(T.LOWER[data], off, T.ALNUM)
 
 
-def pattern_tables(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[PatternTable]:
+def pattern_tables(items: list[tuple[int, str | None]], window: int = WINDOW) -> tuple[dict[bytes, int], list[PatternTable]]:
+    """The number of each word, from 1, and a table for each length of pattern."""
     by_length: dict[int, tuple[list, list]] = {}
+    vocabulary: dict[bytes, int] = {}
     items = [(i, t) for i, t in items if i is not None]
     for at in range(0, len(items), 1000):
         part = items[at : at + 1000]
         w = _words(pa.array([t for _, t in part], pa.string()))
-        names = w.names()
+        ids, words = w.encoded()
+        numbers = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in words], np.int64)[ids]
         for (item, _), a, z in zip(part, w.first[:-1], w.first[1:], strict=True):
             m = min(window, z - a)
             if m:
                 p, i = by_length.setdefault(int(m), ([], []))
-                own = np.unique(np.lib.stride_tricks.sliding_window_view(names[a:z], m), axis=0)
+                own = np.unique(np.lib.stride_tricks.sliding_window_view(numbers[a:z], m), axis=0)
                 p.append(own)
                 i.append(np.full(len(own), item, np.int64))
-    return [PatternTable(np.concatenate(p), np.concatenate(i)) for _, (p, i) in sorted(by_length.items())]
+    return vocabulary, [PatternTable(np.concatenate(p), np.concatenate(i)) for _, (p, i) in sorted(by_length.items())]
 
 
-def _scan(tables: list[PatternTable], first: bool, last: bool):
+def _scan(vocabulary: dict[bytes, int], tables: list[PatternTable], first: bool, last: bool):
     """One block of patterns. Between blocks, spans (pairs of word positions) and items travel with the text."""
 
     def run(batches):
         for batch in T.chunks(batches):
             w = _words(batch.column("text"))
-            names, text = w.names(), T.owner(w.first)
+            ids, words = w.encoded()
+            numbers, text = np.array([vocabulary.get(x, 0) for x in words], np.int64)[ids], T.owner(w.first)
             starts, ends, docs, items = [], [], [], []
             for t in tables:
-                at, which = t.find(names, text)
+                at, which = t.find(numbers, text)
                 starts.append(at - t.m + 1)
                 ends.append(at + 1)
                 docs.append(text[at])
@@ -148,7 +149,7 @@ def _scan(tables: list[PatternTable], first: bool, last: bool):
                     kept[d] = items[m].astype(np.int64).tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "text", "spans", "items"])
                 continue
-            edge = np.zeros(len(names) + 1, np.int64)
+            edge = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(edge, starts, 1)
             np.add.at(edge, ends, -1)
             hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
@@ -159,20 +160,28 @@ def _scan(tables: list[PatternTable], first: bool, last: bool):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of `docs`.
 
-    Patterns travel in blocks of at most about block_bytes of benchmark text each.
+    Patterns travel in blocks of at most about block_bytes of benchmark text each (or one
+    item). Each block but the last is a job of its own whose result is written, so driver
+    and workers hold the tables of one block at a time.
     """
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // block_bytes))
-    df = docs.select("doc_id", "text")
+    df, before = docs.select("doc_id", "text"), None
     for i in range(n):
         block = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
         block = block.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) if n > 1 else block
-        tables = pattern_tables([tuple(r) for r in block.collect()], window)
-        df = df.mapInArrow(_scan(tables, i == 0, i == n - 1), _RESULT if i == n - 1 else "doc_id long, text string, spans binary, items binary")
-    return df
+        vocabulary, tables = pattern_tables([tuple(r) for r in block.collect()], window)
+        scan = _scan(vocabulary, tables, i == 0, i == n - 1)
+        if i == n - 1:
+            return df.mapInArrow(scan, _RESULT)
+        scratch = scratch or Scratch(docs.sparkSession, "decontamination")
+        df = scratch.save(df.mapInArrow(scan, "doc_id long, text string, spans binary, items binary"), "scanned")
+        if before is not None:
+            scratch.drop(before)
+        before = df
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
