@@ -65,11 +65,71 @@ def test_repeated_strings(docs, corpus):
 
 
 def test_repeated_windows(docs, corpus):
-    got = suffix_dedup  # noqa: F841
     df = recompression.remove_repeated_windows(docs).drop("n_spans")
     assert rows(df, 3) == brute.repeated_windows([r[:2] for r in corpus])
 
 
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of n letters that polynomials modulo a power of two can't tell apart."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_hash_alike(spark):
+    a, b = thue_morse(256)
+    x, y = thue_morse(1024)
+    prose = [f"w{i}" for i in range(120)]
+    texts = [a, b, x, y, " ".join([*prose[:40], a, *prose[40:80]]), " ".join([*prose[:40], b, *prose[40:80]]), " ".join([*prose[:10], x, *prose[10:20], y]), f"{x}{a}{x} {b}", f"{y}{a}{y} {a}"]
+    rows_ = list(enumerate(texts))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert rows(near_dedup.near_duplicates(df, 2), 3) == brute.near_duplicates(rows_, 2)
+    items = [(1, a), (2, x), (3, f"w39 {b} w40")]
+    assert rows(decontaminate.benchmark_hits(df, spark.createDataFrame(items, "item_id long, text string")), 5) == brute.benchmark_hits(rows_, items)
+    assert rows(suffix_dedup.remove_repeated_strings(df), 4) == brute.repeated_strings(rows_)
+    assert rows(recompression.remove_repeated_windows(df).drop("n_spans"), 3) == brute.repeated_windows(rows_)
+
+
+def test_windows_of_one_name(monkeypatch):
+    """Where all names collide, bytes decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(R.T, "range_names", lambda sums, a, z, inverse=0: np.zeros(len(a), np.uint64))
+    s = R.read_bytes(pa.array(["abcdefgh", "xxcdefyy", "abcd"]))
+    at = np.array([i for a, z in zip(s.first[:-1], s.first[1:]) for i in range(a, z - 3)])
+    texts = ["abcdefgh", "xxcdefyy", "abcd"]
+    windows = [t[i : i + 4] for t in texts for i in range(len(t) - 3)]
+    assert R.found_twice(s, np.zeros(len(at), np.int64), at, 4).tolist() == [windows.count(w) > 1 for w in windows]
+
+
+def test_long_texts_in_pieces(corpus, monkeypatch):
+    """Anchors of texts longer than the positions that are packed together."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array([t for _, t, *_ in corpus])
+    for read, choose, window, module in ((R.read_bytes, suffix_dedup.choose_suffixes, 200, suffix_dedup), (R.read_words, recompression.choose_symbols, 35, recompression)):
+        s = read(texts)
+        want = choose(s, window)
+        monkeypatch.setattr(module, "PIECE", 37)
+        assert all(np.array_equal(x, y) for x, y in zip(choose(s, window), want, strict=True))
+
+
+def test_batches_to_a_kept_index(spark, docs, corpus, tmp_path):
+    """A saved index takes later batches; each batch's rows are judged on all so far."""
+    parts = [(docs.where(F.col("doc_id") % 3 == k), [r[:2] for r in corpus if r[0] % 3 == k]) for k in range(3)]
+    earlier, seen = None, []
+    for df, own in parts:
+        seen += own
+        want = brute.repeated_strings(seen)
+        got = rows(suffix_dedup.add_to_index(df, earlier, str(tmp_path / "index")), 4)
+        assert got == {i: want[i] for i, _ in own}
+        earlier = df if earlier is None else earlier.union(df)
+    assert [n for n, _ in suffix_dedup.SuffixIndex(spark, str(tmp_path / "index")).levels] == [2, 1]
+
+
 def test_repeats_by_name(docs, corpus, monkeypatch):
     """The way for keys with very many contexts."""
     monkeypatch.setattr(R, "HOT", 1)

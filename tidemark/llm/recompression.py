@@ -12,9 +12,9 @@ anchors reveal long repeats, which are then verified window by window.
 
 Words covered by a window whose word sequence also starts anywhere else are removed,
 judged on the input. Defined cases: null text has no words; texts shorter than a
-window lose nothing; repeated rows are copies of each other; null or shared doc_ids
-are told apart by text; extra columns are ignored; an empty table gives an empty
-result. One text is handled within one task.
+window lose nothing; a text of any length is handled whole, within one task; repeated
+rows are copies of each other; null or shared doc_ids are told apart by text; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WINDOW = 35
 #: At most 35 - 2 * (2 + 2 + 4 + 8) = 3 words of a window lie outside its own symbols' reach after three rounds.
 ROUNDS = 3
 _U = np.uint64
+#: Windows of one text that are looked at together; names are packed with symbol numbers counted from the first of them.
+PIECE = 1 << 22
 _LOW = np.uint64((1 << 24) - 1)
 
 
@@ -69,28 +71,32 @@ def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tu
 
 
 def choose_symbols(s: R.Symbols, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the least-named symbol that depends on the window's words alone, or its first three equal words."""
+    """For each window the least-named symbol that depends on the window's words alone, or else its first three equal words."""
     starts = np.flatnonzero(T.lengths_left(s.first) >= window)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     n = len(s.names)
     sym, at, lo, hi = recompress(s.names, s.first)
     m = len(sym)
-    packed = np.concatenate([(T.mix(sym) & ~_LOW) | np.arange(m, dtype=np.uint64), [np.iinfo(np.uint64).max]])
     i, j = np.searchsorted(lo, starts), np.searchsorted(hi, starts + window, "right")
-    pairs = np.empty(2 * len(starts), np.int64)
-    pairs[::2], pairs[1::2] = np.minimum(i, m), np.minimum(np.maximum(j, i), m)
-    chosen = (np.minimum.reduceat(packed, pairs)[::2] & _LOW).astype(np.int64)
+    high, chosen = T.mix(sym) & ~_LOW, np.zeros(len(starts), np.int64)
+    for p in range(0, len(starts), PIECE):  # each piece spans no more symbols than the low bits count
+        a, z = np.minimum(i[p : p + PIECE], m), np.minimum(np.maximum(j[p : p + PIECE], i[p : p + PIECE]), m)
+        base, top = int(a[0]), int(z[-1])
+        packed = np.concatenate([high[base:top] | np.arange(top - base, dtype=np.uint64), [np.iinfo(np.uint64).max]])
+        pairs = np.empty(2 * len(a), np.int64)
+        pairs[::2], pairs[1::2] = a - base, z - base
+        chosen[p : p + PIECE] = base + (np.minimum.reduceat(packed, pairs)[::2] & _LOW).astype(np.int64)
     chosen = np.minimum(chosen, m - 1)
     # a short symbol alone would be common by chance: its key names all words it depends on, which the window holds
     reach = np.maximum(lo[chosen], 0), np.minimum(hi[chosen], n)
     place = at[chosen]
     key = T.range_names(T.prefix_sums(s.names), *reach) + T.mix(sym[chosen] + (place - reach[0]).astype(np.uint64))
-    # three equal words in a row
+    # three equal words in a row, where no symbol depends on the window alone
     same = np.flatnonzero((s.names[: n - 2] == s.names[1 : n - 1]) & (s.names[1 : n - 1] == s.names[2:]))
     if len(same):
         k = np.minimum(np.searchsorted(same, starts), len(same) - 1)
-        has = (same[k] >= starts) & (same[k] + 3 <= starts + window)
+        has = (same[k] >= starts) & (same[k] + 3 <= starts + window) & (i >= j)
         chosen = np.where(has, m + same[k], chosen)
         place = np.where(has, same[k], place)
         key = np.where(has, T.mix(s.names[same[k]] + _U(0x9E6C63D0876A9A47)), key)
@@ -109,8 +115,7 @@ def remove_repeated_windows(docs: DataFrame, scratch: Scratch | None = None) ->
     scratch = scratch or Scratch(docs.sparkSession, "recompression")
     classes = R.text_classes(docs, scratch)
     entries = scratch.save(R.sample_entries(docs, classes, WORDS), "symbols")
-    again = entries.groupBy("key").count().where("count > 1").select("key")
-    matched = scratch.save(entries.join(again, "key", "left_semi"), "matched")
-    scratch.drop(entries)
-    marks = R.edge_marks(docs, classes, matched, WORDS, scratch)
+    contexts = scratch.save(R.distinct_contexts(entries), "contexts")
+    marks = R.edge_marks(docs, classes, entries, contexts, WORDS, scratch)
+    scratch.drop(entries, contexts)
     return R.remove_marked(docs, classes, marks, WORDS, scratch).withColumnRenamed("n_symbols", "n_words")
