@@ -68,7 +68,6 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_LISTED = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(_quoted, v))}]" for k, v in Q.COMMON.items()) + " END"
 _COUNT = {k: f"len(regexp_extract_all(t, {_quoted(p)}))" for k, p in Q.CLASSES.items()}
 
 
@@ -79,21 +78,40 @@ def _jsd(p: str, q: str) -> str:
     return f"sqrt(greatest(0e0, list_sum(list_transform(list_zip({p}, {q}), lambda x: ({term(a, b)} + {term(b, a)}) / 2))))"
 
 
+def _fence(name: str, times: float) -> str:
+    low, mid = (f"quantile_cont(round({name}, 3), {p}) FILTER (NOT base_failed)" for p in (0.1, 0.5))
+    return f"CASE WHEN count({name}) FILTER (NOT base_failed) >= {Q.MIN_GROUP} THEN {mid} + {times} * greatest({mid} - {low}, {Q.LEAST_WAY}) END"
+
+
+_FENCES = f"{_fence('cd', Q.CHAR_FENCE)} AS c, {_fence('wd', Q.WORD_FENCE)} AS w"
+
 OP8 = f"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w, {_LISTED} AS listed FROM documents),
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+long AS (SELECT lang, list_distinct(w) AS u FROM d WHERE len(w) >= {Q.MIN_WORDS} AND lang IS NOT NULL),
+known AS (SELECT lang FROM long GROUP BY 1 HAVING count(*) * {Q.LANGUAGE_PARTS} > (SELECT count(*) FROM long)),
+wc AS (SELECT lang, word, count(*) AS c FROM (SELECT lang, unnest(u) AS word FROM long SEMI JOIN known USING (lang)) WHERE length(word) <= {Q.MAX_COMMON_CHARS} GROUP BY 1, 2),
+wr AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY c DESC, word) AS r FROM wc QUALIFY r <= {Q.N_COMMON}),
+ranks AS (SELECT unnest(range(1, {Q.N_COMMON} + 1)) AS r),
+hc AS (SELECT doc_id, r, count(*) AS c FROM (SELECT doc_id, lang, unnest(w) AS word FROM d) JOIN wr USING (lang, word) GROUP BY 1, 2),
+hw AS (SELECT d.doc_id, list(coalesce(hc.c, 0)::DOUBLE ORDER BY ranks.r) AS held, sum(coalesce(hc.c, 0)) AS common FROM d SEMI JOIN known USING (lang) CROSS JOIN ranks LEFT JOIN hc ON hc.doc_id = d.doc_id AND hc.r = ranks.r GROUP BY 1),
 g AS (SELECT doc_id, i, w[i : i + 2] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i) WHERE len(w) >= 3),
 r AS (SELECT doc_id, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(i, i + 3)) AS p FROM g SEMI JOIN r ON g.doc_id = r.doc_id AND g.g = r.g) GROUP BY 1),
 m AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, list_sum(list_transform([0] || list_transform(w, lambda x: length(x)), lambda x: x))::BIGINT AS word_chars, length(t)::BIGINT AS n_chars,
   {', '.join(f'{v}::BIGINT AS n_{k}' for k, v in _COUNT.items())}, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
   (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED}))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED})))))::BIGINT AS n_dup_lines,
-  list_transform(listed, lambda c: len(list_filter(w, lambda x: lower(x) = c))::DOUBLE) AS word_hist FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
-h AS (SELECT *, [(n_chars - word_chars)::DOUBLE, {', '.join(f'n_{k}::DOUBLE' for k in Q.CLASSES)}, (word_chars - {' - '.join(f'n_{k}' for k in Q.CLASSES)})::DOUBLE] AS char_hist FROM m),
-f AS (SELECT lang, [{', '.join(f'sum(char_hist[{i}])' for i in range(1, len(Q.CLASSES) + 3))}] AS char_ref, [{', '.join(f'sum(word_hist[{i}])' for i in range(1, max(map(len, Q.COMMON.values())) + 1))}] AS word_ref FROM h GROUP BY 1),
-j AS (SELECT h.*, CASE WHEN n_chars >= {Q.MIN_CHARS} THEN {_jsd('char_hist', 'char_ref')} END AS cd, CASE WHEN list_sum(word_hist) >= {Q.MIN_COMMON} THEN {_jsd('word_hist', 'word_ref')} END AS wd FROM h JOIN f ON h.lang IS NOT DISTINCT FROM f.lang),
-b AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM j)
+  list_append(held, len(w)::DOUBLE - common) AS word_hist FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN hw ON hw.doc_id = d.doc_id),
+h AS (SELECT *, [(n_chars - word_chars)::DOUBLE, {', '.join(f'n_{k}::DOUBLE' for k in Q.CLASSES)}, (word_chars - {' - '.join(f'n_{k}' for k in Q.CLASSES)})::DOUBLE] AS char_hist,
+  n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+f AS (SELECT lang, [{', '.join(f'sum(char_hist[{i}])' for i in range(1, len(Q.CLASSES) + 3))}] AS char_ref, [{', '.join(f'sum(word_hist[{i}])' for i in range(1, Q.N_COMMON + 2))}] AS word_ref FROM h WHERE NOT base_failed GROUP BY 1),
+j AS (SELECT h.*, length(bin(n_words)) AS size, CASE WHEN n_chars >= {Q.MIN_CHARS} AND char_ref IS NOT NULL THEN {_jsd('char_hist', 'char_ref')} END AS cd,
+  CASE WHEN n_words >= {Q.MIN_WORDS} AND word_hist IS NOT NULL AND word_ref IS NOT NULL THEN {_jsd('word_hist', 'word_ref')} END AS wd FROM h LEFT JOIN f ON h.lang IS NOT DISTINCT FROM f.lang),
+a AS (SELECT lang, size, {_FENCES} FROM j GROUP BY 1, 2),
+b AS (SELECT lang, {_FENCES} FROM j GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(cd, 0) <= {Q.MAX_CHAR_DISTANCE} AND coalesce(wd, 0) <= {Q.MAX_WORD_DISTANCE} AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM b
+  NOT base_failed AND coalesce(cd, 0) <= least({Q.MAX_CHAR_DISTANCE}, coalesce(a.c, b.c)) + 1e-9 AND coalesce(wd, 0) <= least({Q.MAX_WORD_DISTANCE}, coalesce(a.w, b.w)) + 1e-9 AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM j JOIN a ON j.lang IS NOT DISTINCT FROM a.lang AND j.size = a.size JOIN b ON j.lang IS NOT DISTINCT FROM b.lang
 """
 
 ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op3_chat_format": OP3, "op5_decontamination": OP5, "op8_quality_rules": OP8, "op9_recompression": OP9}
