@@ -1,13 +1,14 @@
 """Language identification by compression.
 
 Each learned language has a zstandard raw-content dictionary made of a bounded sample
-of labelled texts. A text is compressed with every dictionary; the smallest output
-names its language. Where the two smallest are close the prediction is marked rejected.
+of labelled texts: a piece of each, from a place in it that a hash of the text chooses.
+A text is compressed whole with every dictionary; the smallest output names its
+language. Where the two smallest are close the prediction is marked rejected.
 
 Defined cases: null text or text without a letter: `und`, score 0, rejected. No
-labelled text at all: `und` for every row. Ties go to the first language by name.
-Repeated rows each get a result; extra columns are ignored; empty tables give an empty
-result.
+labelled text at all: `und` for every row. Ties go to the first language by name. A
+text of any length is compressed whole, within one task. Repeated rows each get a
+result; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bound of the sample: texts of each language and characters of each text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 160, 800
+#: Bound of the sample: texts of each language, and characters of the piece taken of each.
+SAMPLE_TEXTS, PIECE_CHARS = 160, 800
 MAX_LANGUAGES = 500
 LEVEL = 9
 MARGIN = 0.02
 
 
-def learn_dictionaries(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn_dictionaries(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = PIECE_CHARS) -> dict[str, bytes]:
     """Raw dictionary content of each language of `labelled` (doc_id, text, lang)."""
-    rows = labelled.where("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, chars).alias("piece"))
+    begin = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    rows = labelled.where("lang is not null and text is not null").select("lang", "doc_id", F.substr("text", begin, F.lit(chars)).alias("piece"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")
     sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
     content = sample.groupBy("lang").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"])).alias("content"))
@@ -66,5 +68,5 @@ def held_out(doc_id: str = "doc_id"):
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row. score: by how much smaller the best output is than the next, 0 to 1."""
-    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     return rows.mapInArrow(_predict(dictionaries, margin), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
