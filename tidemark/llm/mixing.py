@@ -7,8 +7,13 @@ is a number of epochs: each document of the cell is taken its whole part of time
 once more by the rest as a probability, with a hash of its id, so a run can be repeated.
 Without such copies a cell with too few tokens would leave its margins short.
 
+Targets that contradict each other, or the cells there are, have no such weights: where a
+margin doesn't fit after MAX_SWEEPS, the last weights are used and a warning says by
+how much it is off.
+
 Defined cases: null source, language or topic is a value of its own; null or wordless
-text has no tokens and is never selected; a target for a value without tokens is left
+text has no tokens and is never selected; a text of any length counts with all its
+tokens; documents of one cell that share a doc_id get the same number of copies; a target for a value without tokens is left
 out and the margin's other shares are scaled up; values without a target keep their
 natural share among themselves, scaled to what the targets leave; repeated rows are
 sampled alike; extra columns are ignored; an empty table gives an empty result.
@@ -16,6 +21,8 @@ sampled alike; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +38,7 @@ def n_tokens() -> Column:
 
 
 def topic() -> Column:
-    """A topic by form: what a document mostly consists of."""
+    """A topic by form: what a document mostly consists of. For tables that name no topics; pass a column where there is one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return (
         F.when(text.contains("Licensed under") | text.contains("License"), "licence")
@@ -74,8 +81,12 @@ def rake(cells: DataFrame, wanted: dict[str, dict[str | None, float]], scratch:
         worst = off[0]
         for x in off[1:]:
             worst = worst.union(x)
-        if (worst.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+        left = worst.agg(F.max("off")).first()[0] or 0.0
+        if left <= tolerance:
             break
+    else:
+        if raked:
+            warnings.warn(f"the target shares don't fit the cells: a margin is off by {left:.2g} after {max_sweeps} sweeps", stacklevel=2)
     return cells.select(*margins, "tokens", "weight")
 
 
@@ -97,14 +108,15 @@ def _copies(rate: Column, seed: int) -> Column:
     return whole + (uniform(seed) < rate - whole).cast("long")
 
 
-def mix(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+def mix(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED, scratch: Scratch | None = None, topics: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, copies, selected of every row of `docs`.
 
-    budget: tokens wanted as a share of all tokens, copies included. probability: of being
+    budget: tokens wanted as a share of all tokens, copies included. topics: the column
+    with a document's topic, its form where there is none. probability: of being
     taken at all; where a cell has too few tokens it is 1 and copies make up the weight.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    seen = scratch.save(docs.select("doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens")), "tokens")
+    seen = scratch.save(docs.select("doc_id", "source", "lang", (topic() if topics is None else topics).alias("topic"), n_tokens().alias("n_tokens")), "tokens")
     cells = seen.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     fitted = rake(cells, wanted, scratch)
     rates = scratch.save(_rates(fitted, budget), "rates")
@@ -115,14 +127,21 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: flo
     return j.select("doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.least(F.lit(1.0), rate).alias("probability"), copies.alias("copies"), (copies > 0).alias("selected"))
 
 
-def sample_mixture(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED) -> DataFrame:
+def achieved_shares(mixed: DataFrame, margin: str) -> DataFrame:
+    """(value, tokens, share): the drawn tokens of each value of a margin of mix's result, copies included."""
+    tokens = F.sum(F.col("n_tokens") * F.col("copies"))
+    total = mixed.agg(tokens).first()[0] or 1
+    return mixed.groupBy(F.col(margin).alias("value")).agg(tokens.alias("tokens")).withColumn("share", F.col("tokens") / F.lit(total))
+
+
+def sample_mixture(docs: DataFrame, wanted: dict[str, dict[str | None, float]], budget: float = 0.5, seed: int = SEED, topics: Column | None = None) -> DataFrame:
     """The rows of `docs` that the mixture selects, each as often as it has copies.
 
     Rows without tokens are left out. The rates of the cells are joined on the margins
     themselves, so rows that share a doc_id are judged each by its own cell.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", topic().alias("topic"), n_tokens().alias("n_tokens"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "lang", (topic() if topics is None else topics).alias("topic"), n_tokens().alias("n_tokens"))
     cells = named.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     rates = scratch.save(_rates(rake(cells, wanted, scratch), budget), "rates").drop("weight")
     on = [F.col(m).eqNullSafe(F.col(f"r_{m}")) for m in MARGINS]
