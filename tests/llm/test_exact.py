@@ -49,6 +49,10 @@ def test_benchmark_hits(spark, docs, corpus):
     want = brute.benchmark_hits([r[:2] for r in corpus], [i for i in items if i[0] is not None])
     assert rows(decontaminate.benchmark_hits(docs, bench), 5) == want
     assert rows(decontaminate.benchmark_hits(docs, bench, block_bytes=300), 5) == want
+    clash = docs.withColumn("item_id", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("items", F.lit(3))
+    assert rows(decontaminate.benchmark_hits(clash, bench.withColumn("doc_id", F.lit(1))), 5) == want
+    long = spark.createDataFrame([(1, "filler " * 200_000 + corpus[2][1])], "doc_id long, text string")
+    assert rows(decontaminate.benchmark_hits(long, bench), 5) == brute.benchmark_hits([(1, "filler " * 200_000 + corpus[2][1])], [i for i in items if i[0] is not None])
     kept = decontaminate.drop_contaminated(docs, bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, v in want.items() if not v[4]}
     assert kept.columns == docs.columns
