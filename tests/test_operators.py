@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geodesy import angular_difference, unit_vector
 from tidemark.functions.polar import Polar
 from tidemark.operators import ensemble as E
+from tidemark.operators import exclusions as N
 from tidemark.operators import interpolation as I
 from tidemark.operators import lattice as L
 from tidemark.operators import policy as P
@@ -105,7 +106,7 @@ def test_rings(spark):
     now = dt.datetime(2026, 1, 1)
     zones = spark.range(1).select(F.lit("z").alias("zone_id"), F.lit(1).alias("revision"), F.lit(None).cast("timestamp").alias("active_from"), F.lit(now + dt.timedelta(hours=2)).alias("active_until"), ring.alias("ring"))
     legs = spark.createDataFrame([(1, 5.0, 165.0, 5.0, -165.0, now), (2, -9.0, 165.0, -9.0, -165.0, now), (3, 5.0, 179.0, 5.0, 179.5, now), (4, 5.0, 179.0, 5.0, 179.5, now + dt.timedelta(hours=2))], "k int, lat1 double, lon1 double, lat2 double, lon2 double, t1 timestamp").withColumn("t2", F.col("t1") + F.expr("interval 1 hour"))
-    assert {r.k for r in Z.segment_zone_hits(legs, "k", zones).collect()} == {1, 3}
+    assert {r.k for r in N.segment_zone_hits(legs, "k", zones).collect()} == {1, 3}
 
 
 def test_lattice(spark):

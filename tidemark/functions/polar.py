@@ -141,3 +141,17 @@ class Polar:
 
         out = best.select("tws", golden(F.col("u"), 1).alias("up_angle"), golden(F.col("d"), -1).alias("down_angle"))
         return out.select("tws", "up_angle", vmg(F.col("up_angle")).alias("up_vmg"), "down_angle", vmg(F.col("down_angle")).alias("down_vmg"))
+
+    def best_angles_at(self, spark: SparkSession, tws, monotone: bool = False) -> Column:
+        """struct(up, down): the angles of best progress for a wind speed, blended between the table's columns.
+
+        A column without progress counts with 0 and 180 degrees.
+        """
+        found = {r["tws"]: r for r in self.best_angles(spark).collect()}  # one row for each column of the table
+        angles = [(found[w]["up_angle"], found[w]["down_angle"]) if w in found else (0.0, 180.0) for w in self.tws]
+
+        def blend(k: int, w: Column) -> Column:
+            x = _literal([a[k] for a in angles])
+            return F.get(x, w["j"]) + w["t"] * (F.get(x, w["j"] + 1) - F.get(x, w["j"]))
+
+        return let(self._at(c(tws)), lambda w: F.struct(blend(0, w).alias("up"), blend(1, w).alias("down")))

@@ -40,6 +40,11 @@ def maneuver_delay(board_before, board_after, angle_before, angle_after, tack_s,
     return F.when(~changed, 0).when(mean >= threshold, c(gybe_s)).otherwise(c(tack_s)).cast("long")
 
 
+def sailing_midpoint_offset(step, lost) -> Column:
+    """Seconds from a leg's start to the middle of the part of it that is sailed, after a manoeuvre."""
+    return (c(lost) + F.floor((c(step) - c(lost)) / 2)).cast("long")
+
+
 def usable_speed(speed, minimum, above_range: Column | None = None) -> Column:
     """Boat speed, or null where it can't be used: above the table, not positive, under the minimum."""
     ok = (c(speed) > 0) & (c(speed) >= c(minimum))
@@ -51,6 +56,7 @@ def relative_wave_angle(heading, wave_from) -> Column:
     return 180.0 - angular_difference(heading, wave_from)
 
 
+#: The defaults of the derating model.
 def derated_speed(flat, height_m, relative_angle, period_s, height_gain: float = 0.03, power: float = 1.5, head: float = 1.6, following: float = 0.35, most: float = 0.6, period_gain: float = 0.0, reference_period: float = 8.0, least_period: float = 2.0) -> Column:
     """Flat-water speed less the share that waves take, 0 to `most`; unchanged without waves.
 

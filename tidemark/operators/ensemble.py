@@ -9,8 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.geodesy import distance_nm, normalize_degrees
+
+from .ranking import top_k
+
 #: Outcome classes in their order, best first.
-OUTCOMES = ["reached", "partial", "duration_exhausted", "forecast_exhausted", "no_route", "environment_failed", "incomplete_forecast", "invalid"]
+OUTCOMES = ["reached", "forecast_exhausted", "duration_exhausted", "infeasible_no_route", "missing_data", "provider_failure", "cancelled", "other_error"]
+#: The outcome class that each error of a member's search falls under; any other one is other_error.
+ERROR_OUTCOMES = {
+    "forecast_exhausted": "forecast_exhausted",
+    "cancelled": "cancelled",
+    "no_route": "infeasible_no_route",
+    "incomplete_forecast": "missing_data",
+    "departure_outside_forecast": "missing_data",
+    "coordinate_outside_forecast": "missing_data",
+    "environment_data_unavailable": "missing_data",
+    "file_io": "missing_data",
+    "grib_decode": "missing_data",
+    "unsupported_grib": "missing_data",
+    "invalid_environment": "provider_failure",
+}
+
+
+def class_rank(name: Column | str) -> Column:
+    """The place of an outcome class in OUTCOMES, -1 for none of them."""
+    name = F.col(name) if isinstance(name, str) else name
+    return (F.array_position(F.array(*map(F.lit, OUTCOMES)), name) - 1).cast("int")
+
+
+def outcome_of_error(code: Column | str) -> Column:
+    code = F.col(code) if isinstance(code, str) else code
+    out = F.when(F.lit(False), F.lit(""))
+    for error, name in ERROR_OUTCOMES.items():
+        out = out.when(code == error, name)
+    return out.otherwise("other_error")
 
 
 def normalize_weights(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
@@ -111,6 +143,142 @@ def alignment(members: DataFrame, facts: list[str]) -> DataFrame:
     return members.agg(*((F.count_distinct(F.struct(F.col(f))) <= 1).alias(f"same_{f}") for f in facts))
 
 
-def objective_order(prefix: str = "") -> list[Column]:
-    """Sort order of evaluated routes: objective, then incomplete weight, finite mean, worst arrival, identity."""
-    return [F.asc_nulls_last(prefix + x) for x in ("objective", "incomplete_weight", "finite_mean", "worst_finite", "identity")]
+def objective_order(prefix: str = "", maximize: bool = False) -> list[Column]:
+    """Sort order of evaluated routes: objective (least first, or most), then incomplete weight, finite mean, worst
+    arrival, states generated, states settled, identity. Null stands for infinite and comes last, first when maximizing.
+    """
+    first = F.desc_nulls_first if maximize else F.asc_nulls_last
+    return [first(prefix + "objective"), *(F.asc_nulls_last(prefix + x) for x in ("incomplete_weight", "finite_mean", "worst_finite", "generated", "settled", "identity"))]
+
+
+def beam_rank(states: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., the measures of beam_order) of labels, from their members' states.
+
+    states: (keys..., weight, status `active`, `completed` or `failed`, lat, lon, elapsed, to_lat, to_lon).
+    """
+    w, away = F.col("weight"), distance_nm("lat", "lon", "to_lat", "to_lon")
+    done = F.col("status") == "completed"
+    lat, lon = spherical_centroid("lat", "lon", w)
+    g = states.groupBy(*keys).agg(
+        F.sum(F.when(F.col("status") == "failed", w).otherwise(0.0)).alias("failed_weight"),
+        F.sum(F.when(done, w).otherwise(0.0)).alias("completed_weight"),
+        F.sum(F.when(done, w * F.col("elapsed")).otherwise(0.0)).alias("completed_elapsed"),
+        F.coalesce(F.max(F.when(done & (w > 0), F.col("elapsed"))), F.lit(0)).cast("double").alias("worst_completed"),
+        F.sum(w * away).alias("weighted_distance"),
+        F.coalesce(F.max(F.when(w > 0, away)), F.lit(0.0)).alias("worst_distance"),
+        lat.alias("_lat"), lon.alias("_lon"), F.first("to_lat").alias("_to_lat"), F.first("to_lon").alias("_to_lon"),
+    )
+    return g.withColumn("centroid_distance", distance_nm("_lat", "_lon", "_to_lat", "_to_lon")).drop("_lat", "_lon", "_to_lat", "_to_lon")
+
+
+def beam_order(identity: str) -> list[Column]:
+    """Sort order of labels of a common-course beam, best first."""
+    least = ("completed_elapsed", "worst_completed", "weighted_distance", "worst_distance", "centroid_distance", identity)
+    return [F.asc("failed_weight"), F.desc("completed_weight"), *map(F.asc, least)]
+
+
+def _beaten(rows: DataFrame, keys: list[str], label: str, comparable: Column, better: Column) -> DataFrame:
+    """(keys..., label) of labels that another one of the group beats: comparable in all members, better in one."""
+    b = rows.select(*keys, "member", *(F.col(x).alias(f"o_{x}") for x in rows.columns if x not in (*keys, "member")))
+    j = rows.join(b, [*keys, "member"]).where(F.col(label) != F.col(f"o_{label}"))
+    n = rows.groupBy(*keys, label).agg(F.count("*").alias("_n"))
+    g = j.groupBy(*keys, label, f"o_{label}").agg(F.count("*").alias("_m"), F.min(comparable.cast("int")).alias("_all"), F.max(better.cast("int")).alias("_any"))
+    return g.join(n, [*keys, label]).where("_m = _n and _all = 1 and _any = 1").select(*keys, label).distinct()
+
+
+def undominated_terminals(outcomes: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Outcomes (keys..., label, member, weight, class_rank, elapsed) of the labels that no other one beats.
+
+    One beats another when no member of positive weight fares worse under it and one fares
+    better: arrivals by time, an arrival over none, and else by class.
+    """
+    rows = outcomes.where("weight > 0")
+    here, there = F.col("class_rank"), F.col("o_class_rank")
+    both = (here == 0) & (there == 0)
+    no_worse = F.when(both, F.col("o_elapsed") <= F.col("elapsed")).otherwise(there <= here)
+    better = F.when(both, F.col("o_elapsed") < F.col("elapsed")).otherwise(there < here)
+    return outcomes.join(_beaten(rows, keys, label, no_worse, better), [*keys, label], "left_anti")
+
+
+def policy_terminals(outcomes: DataFrame, evaluated: DataFrame, keys: list[str], label: str, most: int, maximize: bool = False) -> DataFrame:
+    """(keys..., label, rank): of the undominated labels the best and at most `most` alternatives, by objective_order.
+
+    evaluated: (keys..., label, the columns of objective_order).
+    """
+    left = undominated_terminals(outcomes, keys, label).select(*keys, label).distinct()
+    return top_k(evaluated.join(left, [*keys, label], "left_semi"), keys, [*objective_order(maximize=maximize), F.asc(label)], most + 1).select(*keys, label, "rank")
+
+
+def undominated_labels(states: DataFrame, keys: list[str], label: str, same: list[str]) -> DataFrame:
+    """States (keys..., label, member, status, elapsed, same...) of the labels that no other one beats.
+
+    Two labels compare only where every member stands at the same place in the same state
+    (`same`, `status`), and, unless it has arrived, at the same time; the one beats the
+    other where a member arrived earlier.
+    """
+    alike = F.col("status") == F.col("o_status")
+    for c in same:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+    done = F.col("status") == "completed"
+    comparable = alike & F.when(done, F.col("o_elapsed") <= F.col("elapsed")).otherwise(F.col("o_elapsed").eqNullSafe(F.col("elapsed")))
+    return states.join(_beaten(states, keys, label, F.coalesce(comparable, F.lit(False)), F.coalesce(done & (F.col("o_elapsed") < F.col("elapsed")), F.lit(False))), [*keys, label], "left_anti")
+
+
+def action_identity(kind, lat, lon, heading, seconds) -> Column:
+    """A text that names a common action: a target, a heading for a time, or a wait; numbers by all their digits."""
+    exact = lambda x: x.cast("string")
+    target = F.concat(F.lit("target:"), exact(F.col(lat) + 0.0), F.lit(":"), exact(F.when(F.col(lon) == -180, 180.0).otherwise(F.col(lon) + 0.0)))
+    sail = F.concat(F.lit("heading:"), exact(normalize_degrees(heading)), F.lit(":"), F.col(seconds).cast("string"))
+    return F.when(F.col(kind) == "target", target).when(F.col(kind) == "heading_for_duration", sail).when(F.col(kind) == "wait_for_duration", F.concat(F.lit("wait:"), F.col(seconds).cast("string")))
+
+
+def load_members(members: DataFrame, forecasts: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members with normalized_weight, in order of their names, one row of alignment facts).
+
+    members: (member, weight). forecasts: (member, initialized, valid_times array, south, west,
+    dlat, dlon, nj, ni, variables array), a row each. An error for a member without a name, a
+    name twice, a weight that is negative or not finite, weights that are all 0, or a member
+    without a forecast; and, if strict, for members that differ in any fact.
+    """
+    w = F.col("weight")
+    bad = members.select("member", F.when(F.coalesce(F.col("member"), F.lit("")) == "", "no name").when(w.isNull() | F.isnan(w) | (w < 0) | (w == float("inf")), "weight must be finite and not negative").alias("fault"))
+    twice = members.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select("member", F.lit("name twice").alias("fault"))
+    lone = members.join(forecasts, "member", "left_anti").select("member", F.lit("no forecast").alias("fault"))
+    first = bad.unionByName(twice).unionByName(lone).where("fault is not null").orderBy("member", "fault").first()
+    if first is not None:
+        raise ValueError(f"ensemble member {first['member']!r}: {first['fault']}")
+    if not (members.agg(F.max("weight")).first()[0] or 0) > 0:
+        raise ValueError("the weights of an ensemble must not all be 0")
+    f = forecasts.join(members.select("member"), "member", "left_semi")
+    east = F.col("west") + F.col("dlon") * (F.col("ni") - 1)
+    facts = {
+        "initialization": [F.col("initialized")],
+        "valid_times": [F.array_sort("valid_times")],
+        "horizon": [F.array_min("valid_times"), F.array_max("valid_times")],
+        "grid": [F.col(x) for x in ("south", "dlat", "dlon", "nj", "ni")] + [F.pmod("west", F.lit(360.0))],
+        "coverage": [F.col("south"), F.col("south") + F.col("dlat") * (F.col("nj") - 1), F.pmod("west", F.lit(360.0)), F.pmod(east, F.lit(360.0))],
+        "variables": [F.array_sort("variables")],
+    }
+    rows = f.select(*(F.struct(*(x.alias(f"_{i}") for i, x in enumerate(xs))).alias(name) for name, xs in facts.items()))
+    aligned = alignment(rows, list(facts))
+    if strict:
+        got = aligned.first().asDict()
+        off = [x for x in ("initialization", "valid_times", "grid", "coverage", "variables") if not got[f"same_{x}"]]
+        if off:
+            raise ValueError(f"members of a strict ensemble differ in {', '.join(off)}")
+    return normalize_weights(members, []).orderBy("member"), aligned
+
+
+def rival_json(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., json): the outcomes (member, class_rank, elapsed) of a rival as a document, by member."""
+    name = F.get(F.array(*map(F.lit, OUTCOMES)), F.col("class_rank").cast("int"))
+    one = F.struct(F.col("member").alias("memberIdentifier"), name.alias("outcomeClass"), F.col("elapsed").alias("elapsedArrivalSeconds"))
+    return rows.groupBy(*keys).agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("outcomes"))).alias("json"))
+
+
+def read_rival_json(documents: DataFrame, keys: list[str], text: str = "json") -> DataFrame:
+    """(keys..., member, class_rank, elapsed) of rival documents; an error for a class that is none of OUTCOMES."""
+    kind = "struct<outcomes: array<struct<memberIdentifier: string, outcomeClass: string, elapsedArrivalSeconds: double>>>"
+    rows = documents.select(*keys, F.explode(F.from_json(text, kind, {"mode": "FAILFAST"})["outcomes"]).alias("o"))
+    rank = class_rank(F.col("o.outcomeClass"))
+    return rows.select(*keys, F.col("o.memberIdentifier").alias("member"), F.when(rank < 0, F.raise_error(F.concat(F.lit("unknown outcome class "), F.col("o.outcomeClass"))).cast("int")).otherwise(rank).alias("class_rank"), F.col("o.elapsedArrivalSeconds").alias("elapsed"))

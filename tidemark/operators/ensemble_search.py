@@ -19,8 +19,9 @@ from tidemark.functions.polar import Polar
 
 from .ensemble import spherical_centroid
 from .front import two_level_beam
-from .frontier import Options, _Steps
+from .frontier import Options
 from .interpolation import GridSpec, trilinear
+from .shared import Steps
 
 
 def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, options: Options = Options(), width: int = 64, max_steps: int = 200) -> tuple[DataFrame, DataFrame]:
@@ -30,7 +31,7 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     request the best course, its headings and its mean arrival in seconds; none where no
     course brings every member in. outcomes: each member's arrival under it.
     """
-    t = _Steps(requests.sparkSession)
+    t = Steps(requests.sparkSession, "ensemble")
     fast = polar.maximum_speed()
     total = float(members.agg(F.sum("weight")).first()[0])
     start = requests.join(F.broadcast(members) if members.limit(10_001).count() <= 10_000 else members, F.lit(True))

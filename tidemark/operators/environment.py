@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geodesy as G
 
+from .exclusions import segment_zone_hits
 from .interpolation import GridSpec, bilinear
+from .shared import Steps
 
 
 def uniform_field(spark: SparkSession, **values: float) -> DataFrame:
@@ -34,6 +34,15 @@ def checked_grid(grid: DataFrame, spec: GridSpec, values: list[str], least: floa
     return grid
 
 
+#: The counters of a search's environment, each a sum over rows.
+COUNTERS = ["current_samples", "current_missing", "current_rejections", "wave_samples", "wave_missing", "wave_rejections", "land_checks", "land_rejections", "exclusion_checks", "exclusion_rejections", "derating_evaluations"]
+
+
+def total_counters(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., counters): COUNTERS summed over rows that carry some of them; those they lack are 0."""
+    return rows.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in COUNTERS))
+
+
 def sample(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values: list[str], policy: str = "ignore", default: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(rows with values, one row of counters).
 
@@ -64,8 +73,7 @@ def certify_legs(legs: DataFrame, key: str, land_distance: Callable[[DataFrame],
     for its length is clear. Others are halved up to `depth` times, one round each for
     all legs; what then is undecided, or has no distance, is not clear.
     """
-    spark = legs.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-legs-')).rstrip('/')}/legs-{uuid.uuid4().hex}"
+    t = Steps(legs.sparkSession, "legs")
     open_ = legs.select(F.col(key).alias("key"), F.lit(1).cast("long").alias("part"), "lat1", "lon1", "lat2", "lon2")
     failed = None
     for level in range(depth + 1):
@@ -77,8 +85,7 @@ def certify_legs(legs: DataFrame, key: str, land_distance: Callable[[DataFrame],
         ok = F.coalesce((F.col("n") == 2) & ((F.col("both") - F.col("leg")) / 2 >= required), F.lit(False))
         hopeless = F.coalesce((F.col("n") < 2) | (F.col("least") < required), F.lit(True))
         j = j.withColumn("ok", ok).withColumn("hopeless", hopeless if level < depth else F.lit(True))
-        j.write.parquet(f"{root}/{level}")
-        j = spark.read.schema(j.schema).parquet(f"{root}/{level}").where("not ok")
+        j = t.save(j).where("not ok")
         lost = j.where("hopeless").select("key")
         failed = lost if failed is None else failed.union(lost)
         open_ = j.join(failed.distinct(), "key", "left_anti")
@@ -92,3 +99,22 @@ def certify_legs(legs: DataFrame, key: str, land_distance: Callable[[DataFrame],
         both = F.array(half(0, F.col("lat1"), F.col("lon1"), *m), half(1, *m, F.col("lat2"), F.col("lon2")))
         open_ = open_.select("key", F.explode(both).alias("h")).select("key", "h.part", "h.lat1", "h.lon1", "h.lat2", "h.lon2")
     return legs.select(key).join(failed.distinct().select(F.col("key").alias(key), F.lit(False).alias("clear")), key, "left").select(key, F.coalesce("clear", F.lit(True)).alias("clear"))
+
+
+def clear_of_land(legs: DataFrame, key: str, land_distance: Callable[[DataFrame], DataFrame], required: float, depth: int = 6) -> DataFrame:
+    """The legs (key, lat1, lon1, lat2, lon2, ...) that certify_legs proves clear."""
+    proved = certify_legs(legs, key, land_distance, required, depth).where("clear").select(key)
+    return legs.join(proved, key, "left_semi")
+
+
+def clear_legs(legs: DataFrame, key: str, land_distance: Callable[[DataFrame], DataFrame] | None, required: float, zones: DataFrame | None, boundary_excluded: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(legs clear of land and of zones, one row of counters). Zones are looked at only for legs that land leaves.
+
+    legs: (key, lat1, lon1, lat2, lon2, t1, t2). counters: land_checks, land_rejections, exclusion_checks, exclusion_rejections.
+    """
+    dry = clear_of_land(legs, key, land_distance, required) if land_distance is not None else legs
+    left = dry.join(segment_zone_hits(dry.select(key, "lat1", "lon1", "lat2", "lon2", "t1", "t2"), key, zones, boundary_excluded), key, "left_anti") if zones is not None else dry
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    c = n(legs, "a").join(n(dry, "b"), F.lit(True)).join(n(left, "c"), F.lit(True))
+    land, zone = F.lit(int(land_distance is not None)), F.lit(int(zones is not None))
+    return left, c.select((land * F.col("a")).alias("land_checks"), (F.col("a") - F.col("b")).alias("land_rejections"), (zone * F.col("b")).alias("exclusion_checks"), (F.col("b") - F.col("c")).alias("exclusion_rejections"))

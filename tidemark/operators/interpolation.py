@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geodesy import c
+from tidemark.functions.geodesy import c, let
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,17 @@ class GridSpec:
         return F.when(inside, F.array(cell(j, i0, (1 - fy) * (1 - fx)), cell(j, i1, (1 - fy) * fx), cell(j + 1, i0, fy * (1 - fx)), cell(j + 1, i1, fy * fx)))
 
 
+#: Rows that a join sends to every executor; a larger table is left to Spark's own choice.
+BROADCAST_ROWS = 100_000
+#: Values of a grid that are sent to every executor as arrays; a larger grid is joined cell by cell.
+PACKED_VALUES = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast when a count shows that it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def time_slices(times: DataFrame, t: str = "valid_time") -> DataFrame:
     """(t0, t1): each slice with the next one; t1 is null for the last."""
     return times.select(F.col(t).alias("t0")).distinct().withColumn("t1", F.lead("t0").over(Window.orderBy("t0")))
@@ -49,9 +60,9 @@ def time_slices(times: DataFrame, t: str = "valid_time") -> DataFrame:
 def time_brackets(rows: DataFrame, slices: DataFrame, at: str) -> DataFrame:
     """rows with t0, t1 and share (0 at t0): the slices around `at`; t0 is null outside the forecast.
 
-    slices: a few rows, one for each forecast time.
+    slices: a few rows, one for each forecast time; sent to every executor after a count of them.
     """
-    s = F.broadcast(slices)
+    s = small(slices)
     ok = (F.col(at) >= s["t0"]) & (F.col(at) < s["t1"]) | (F.col(at) == s["t0"]) & s["t1"].isNull()
     j = rows.join(s, ok, "left")
     gap = F.unix_timestamp("t1") - F.unix_timestamp("t0")
@@ -93,6 +104,79 @@ def trilinear(rows: DataFrame, key: str, grid: DataFrame, spec: GridSpec, values
     return out.select(key, *values, status.alias("status"))
 
 
+def packed_slices(grid: DataFrame, spec: GridSpec, values: list[str], on: list[str] | None = None) -> DataFrame | None:
+    """(on..., t0, t1, a0_value.., a1_value..): for each slice its values and the next one's as arrays by cell; null cells stay null.
+
+    None where the grid has more than PACKED_VALUES values.
+    """
+    on = on or []
+    if grid.limit(PACKED_VALUES // len(values) + 1).count() > PACKED_VALUES // len(values):
+        return None
+    places = grid.sparkSession.range(spec.nj * spec.ni).select(F.col("id").alias("_c"))
+    every = grid.select(*on, "valid_time").distinct().join(F.broadcast(places), F.lit(True))
+    at = grid.select(*on, "valid_time", (F.col("j") * spec.ni + F.col("i")).cast("long").alias("_c"), *values)
+    dense = every.join(at, [*on, "valid_time", "_c"], "left").groupBy(*on, "valid_time")
+    finite = lambda v: F.when(~F.isnan(v), F.col(v))
+    cells = dense.agg(F.sort_array(F.collect_list(F.struct("_c", *(finite(v).alias(v) for v in values)))).alias("_s"))
+    cells = cells.select(*on, F.col("valid_time").alias("t0"), *(F.col(f"_s.{v}").alias(f"a0_{v}") for v in values))
+    order = Window.partitionBy(*on).orderBy("t0") if on else Window.partitionBy(F.lit(0)).orderBy("t0")
+    return cells.select("*", F.lead("t0").over(order).alias("t1"), *(F.lead(f"a0_{v}").over(order).alias(f"a1_{v}") for v in values))
+
+
+def trilinear_packed(rows: DataFrame, packed: DataFrame, spec: GridSpec, values: list[str], at: str = "ts", lat: str = "lat", lon: str = "lon", on: list[str] | None = None) -> DataFrame:
+    """rows with values and status as `trilinear` gives them, from packed_slices: one broadcast, no shuffle, no key needed."""
+    p = packed.select(*(F.col(x).alias(f"_{x}") for x in packed.columns))
+    ok = (F.col(at) >= F.col("_t0")) & (F.col(at) < F.col("_t1")) | (F.col(at) == F.col("_t0")) & F.col("_t1").isNull()
+    for x in on or []:
+        ok = ok & (F.col(x) == F.col(f"_{x}"))
+    j = rows.join(F.broadcast(p), ok, "left")
+    gap = F.unix_timestamp("_t1") - F.unix_timestamp("_t0")
+    j = j.withColumn("_share", F.coalesce((F.unix_timestamp(at) - F.unix_timestamp("_t0")) / gap, F.lit(0.0)))
+
+    def looked_up(corners):
+        """All values and the status in one expression, so that the corners are worked out once."""
+        share = F.col("_share")
+
+        def flat(column: str) -> Column:
+            term = lambda k: F.when(k["w"] == 0, 0.0).otherwise(k["w"] * F.get(F.col(column), k["j"] * spec.ni + k["i"]))
+            return F.aggregate(corners, F.lit(0.0), lambda s, k: s + term(k))
+
+        def named(got):
+            missing = F.lit(False)
+            for v in values:
+                missing = missing | got[v].isNull()
+            status = F.when(corners.isNull(), "out_of_bounds").when(F.col("_t0").isNull(), "out_of_time").when(missing, "incomplete_forecast").otherwise("ok")
+            return F.struct(*(got[v].alias(v) for v in values), status.alias("status"))
+
+        blended = lambda v: let(flat(f"_a0_{v}"), lambda first: F.when(share == 0, first).otherwise((1 - share) * first + share * flat(f"_a1_{v}")))
+        return let(F.struct(*(blended(v).alias(v) for v in values)), named)
+
+    j = j.withColumn("_got", let(spec.corners(lat, lon), looked_up))
+    return j.select(*rows.columns, *(F.col(f"_got.{v}").alias(v) for v in values), F.col("_got.status").alias("status"))
+
+
+@dataclass
+class Field:
+    """A forecast grid (valid_time, j, i, on..., values) to look up; small ones are packed once and sent to every executor."""
+
+    grid: DataFrame
+    spec: GridSpec
+    values: list[str]
+    on: list[str] | None = None
+
+    def __post_init__(self):
+        self.packed = packed_slices(self.grid, self.spec, self.values, self.on)
+
+    def at(self, rows: DataFrame, keys: list[str], when: str = "ts", lat: str = "lat", lon: str = "lon") -> DataFrame:
+        """rows with values and status; keys tell the rows apart."""
+        if self.packed is not None:
+            return trilinear_packed(rows, self.packed, self.spec, self.values, when, lat, lon, self.on)
+        on = self.on or []
+        keyed = rows.withColumn("_id", F.struct(*keys))
+        got = trilinear(keyed.select("_id", *on, F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(when).alias("ts")), "_id", self.grid, self.spec, self.values, on=on)
+        return keyed.join(got, "_id").drop("_id")
+
+
 def blend_directions(a, b, share) -> Column:
     """Direction between two directions, blended as unit vectors."""
     e = F.sin(F.radians(c(a))) * (1 - c(share)) + F.sin(F.radians(c(b))) * c(share)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.geodesy import EARTH_RADIUS_NM, angle_between, norm
 
+from .shared import Steps
+
 MAX_LEVEL = 8
 
 
@@ -70,24 +70,33 @@ def earliest_arrivals(sources: DataFrame, links: DataFrame, speed: Column, max_r
     time of leaving). speed: knots along a link, null or 0 where it can't be taken. Only
     labels that improved go into the next round; a later start must not arrive earlier.
     """
-    spark = sources.sparkSession
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-lattice-')).rstrip('/')}/lattice-{uuid.uuid4().hex}"
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    best = save(sources.select("request_id", "cell", F.lit(0).cast("long").alias("elapsed"), F.lit(None).cast("long").alias("parent")), "0")
+    save = Steps(sources.sparkSession, "lattice").save
+    best = save(sources.select("request_id", "cell", F.lit(0).cast("long").alias("elapsed"), F.lit(None).cast("long").alias("parent")))
     fresh = best
-    for k in range(1, max_rounds + 1):
+    for _ in range(max_rounds):
         go = fresh.join(links, fresh["cell"] == links["a"]).withColumn("_v", speed).where("_v > 0")
         go = go.select("request_id", F.col("b").alias("cell"), (F.col("elapsed") + F.ceil(F.col("nm") / F.col("_v") * 3600)).alias("elapsed"), F.col("a").alias("parent"))
         new = go.groupBy("request_id", "cell").agg(F.min(F.struct("elapsed", "parent")).alias("n"))
         j = best.join(new, ["request_id", "cell"], "full_outer")
         better = F.col("elapsed").isNull() | (F.col("n.elapsed") < F.col("elapsed"))
         j = j.select("request_id", "cell", F.when(better & F.col("n").isNotNull(), F.col("n.elapsed")).otherwise(F.col("elapsed")).alias("elapsed"), F.when(better & F.col("n").isNotNull(), F.col("n.parent")).otherwise(F.col("parent")).alias("parent"), F.coalesce(better & F.col("n").isNotNull(), F.lit(False)).alias("fresh"))
-        j = save(j, str(k))
+        j = save(j)
         best, fresh = j.drop("fresh"), j.where("fresh").drop("fresh")
         if fresh.isEmpty():
             return best
     raise RuntimeError(f"arrivals did not settle in {max_rounds} rounds")
+
+
+def longest_edges(links: DataFrame) -> DataFrame:
+    """(cell, longest): the longest edge at each cell; the longest of all is in the row whose cell is null."""
+    own = links.groupBy(F.col("a").alias("cell")).agg(F.max("nm").alias("longest"))
+    return own.unionByName(links.agg(F.max("nm").alias("longest")).select(F.lit(None).cast("long").alias("cell"), "longest"))
+
+
+def level_of(levels: list[DataFrame]) -> DataFrame:
+    """(cell, level, x): each vertex with the coarsest level that has it; splitting keeps vertices, so finer levels have it too."""
+    every = None
+    for k, v in enumerate(levels):
+        v = v.select("cell", F.lit(k).alias("level"), "x")
+        every = v if every is None else every.unionByName(v)
+    return every.groupBy("cell").agg(F.min("level").alias("level"), F.min_by("x", "level").alias("x"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Steps
+
 
 def prefix_nodes(paths: DataFrame, route: str, seq: str, action: str) -> DataFrame:
     """paths with `node`, the content of the route up to and with the step, and `next_node`."""
@@ -32,15 +31,13 @@ def root_paths(nodes: DataFrame, node: str = "id", parent: str = "parent", round
 
     A node whose parent is missing is a root; nodes on a cycle have no row.
     """
-    spark = nodes.sparkSession
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-paths-')).rstrip('/')}/paths-{uuid.uuid4().hex}"
+    t = Steps(nodes.sparkSession, "paths")
     known = nodes.select(F.col(node).alias("k"))
     j = nodes.select(F.col(node).alias("id"), F.col(parent).alias("up")).join(known, F.col("up") == F.col("k"), "left")
     j = j.select("id", F.coalesce("k", "id").alias("root"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("k").isNull().alias("done"))
     before = None
-    for i in range(rounds):
-        j.write.parquet(f"{base}/{i}")
-        j = spark.read.schema(j.schema).parquet(f"{base}/{i}")
+    for _ in range(rounds):
+        j = t.save(j)
         open_ = j.where("not done").count()
         if open_ in (0, before):
             break

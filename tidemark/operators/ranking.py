@@ -99,3 +99,28 @@ def require_at_most(rows: DataFrame, limit: int, what: str) -> DataFrame:
     if n > limit:
         raise ValueError(f"more than {limit} {what}")
     return rows
+
+
+def total_counters(rows: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
+    """(keys..., counters): counters of parts of a search summed; a part that lacks one counts 0."""
+    return rows.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counters))
+
+
+def distinct_union(tables: list[DataFrame]) -> DataFrame:
+    """Rows of any of the tables, each once."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.distinct()
+
+
+def edge_difference(edges: DataFrame, gone: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Undirected edges (a <= b), each once, that are not among those gone."""
+    ordered = lambda e: e.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
+    return ordered(edges).join(ordered(gone), [a, b], "left_anti")
+
+
+def distinct_positions(points: DataFrame, digits: int | None = None) -> DataFrame:
+    """(lat, lon): places, each once, rounded to digits where given; both names of the antimeridian are one."""
+    at = lambda x: (F.col(x) if digits is None else F.round(x, digits)) + 0.0
+    return points.select(at("lat").alias("lat"), F.when(at("lon") == -180, 180.0).otherwise(at("lon")).alias("lon")).distinct()

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.geodesy import angle_between, c, cross, dot, norm, unit_vector
-
-#: Zones, faces and cells a join sends to every executor; larger tables go through a shuffled band join.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """The table marked for broadcast when a count shows that it is small enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+from tidemark.functions.geodesy import EARTH_RADIUS_NM, angle_between, c, cross, dot, norm
 
+from .interpolation import small
 
 def active_zones(rows: DataFrame, zones: DataFrame, at: str = "ts") -> DataFrame:
     """Pairs of rows and zones active at the row's time: [active_from, active_until), open where null."""
@@ -24,7 +17,10 @@ def active_zones(rows: DataFrame, zones: DataFrame, at: str = "ts") -> DataFrame
 
 
 def in_ring(v: Column, ring: Column) -> Column:
-    """Whether a unit vector is inside a ring (array of unit vectors), by the angles it sees the edges under."""
+    """Whether a unit vector is inside a ring (array of unit vectors), by the angles it sees the edges under.
+
+    Even and odd turns decide, so a ring that crosses itself has holes. The vector must not be opposite to the ring.
+    """
     n = F.size(ring)
 
     def seen(i):
@@ -33,47 +29,19 @@ def in_ring(v: Column, ring: Column) -> Column:
         return F.atan2(dot(v, cross(na, nb)), dot(na, nb))
 
     turned = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), seen), F.lit(0.0), lambda s, x: s + x)
-    return F.abs(turned) > 3.141592653589793
-
-
-def ring_cap(ring: Column) -> Column:
-    """struct(x, cosine): a cap that holds the ring, by its mean vertex."""
-    n = F.size(ring).cast("double")
-
-    def along(k):
-        return F.aggregate(ring, F.lit(0.0), lambda s, p: s + F.get(p, F.lit(k))) / n
-
-    mean = F.array(*map(along, range(3)))
-    centre = F.transform(mean, lambda x: x / norm(mean))
-    return F.struct(centre.alias("x"), F.cos(F.least(F.lit(3.14), 1.05 * F.array_max(F.transform(ring, lambda p: angle_between(centre, p))) + 1e-9)).alias("cosine"))
-
+    return F.pmod(F.round(F.abs(turned) / 6.283185307179586), F.lit(2)) == 1
 
-def arcs_cross(a: Column, b: Column, p: Column, q: Column) -> Column:
-    """Whether two great-circle arcs, each under half a turn, cross or touch."""
-    n, m = cross(a, b), cross(p, q)
-    side = lambda k, x: dot(k, x)
-    return (side(n, p) * side(n, q) <= 0) & (side(m, a) * side(m, b) <= 0) & (dot(cross(n, a), cross(n, b)) > -2) & (dot(F.zip_with(a, b, lambda x, y: x + y), F.zip_with(p, q, lambda x, y: x + y)) > 0)
 
+#: Arcs and vectors closer than this are taken for one (radians).
+COINCIDENT = 1e-12
 
-def segment_zone_hits(legs: DataFrame, key: str, zones: DataFrame) -> DataFrame:
-    """(key, zone_id, revision): the first zone by (zone_id, revision) each leg meets.
 
-    legs: (key, lat1, lon1, lat2, lon2, t1, t2). zones: (zone_id, revision, active_from,
-    active_until, ring of unit vectors). A leg meets a zone when, while the zone is
-    active, an end lies inside or the leg crosses an edge. Caps rule most pairs out.
-    """
-    z = small(zones.withColumn("cap", ring_cap(F.col("ring"))))
-    legs = legs.withColumn("_a", unit_vector("lat1", "lon1")).withColumn("_b", unit_vector("lat2", "lon2"))
-    legs = legs.withColumn("_half", angle_between(F.col("_a"), F.col("_b")) / 2)
-    mid = F.zip_with("_a", "_b", lambda x, y: x + y)
-    legs = legs.withColumn("_m", F.transform(mid, lambda x: x / norm(mid)))
-    live = F.coalesce(F.col("t2") >= F.col("active_from"), F.lit(True)) & F.coalesce(F.col("t1") < F.col("active_until"), F.lit(True))
-    near = dot(F.col("_m"), F.col("cap.x")) >= F.cos(F.least(F.lit(3.14), F.acos("cap.cosine") + F.col("_half")))
-    j = legs.join(z, live & near)
-    n = F.size("ring")
-    edge = F.exists(F.sequence(F.lit(0), n - 1), lambda i: arcs_cross(F.col("_a"), F.col("_b"), F.get("ring", i), F.get("ring", F.pmod(i + 1, n))))
-    hit = j.where(in_ring(F.col("_a"), F.col("ring")) | in_ring(F.col("_b"), F.col("ring")) | edge)
-    return hit.groupBy(key).agg(F.min(F.struct("zone_id", "revision")).alias("z")).select(key, "z.zone_id", "z.revision")
+def distance_to_arc(v: Column, a: Column, b: Column) -> Column:
+    """Radians from a unit vector to the arc between two others."""
+    n = cross(a, b)
+    within = (norm(n) > COINCIDENT) & (dot(cross(n, a), v) >= 0) & (dot(cross(b, n), v) >= 0)
+    off = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(n, v) / norm(n)))))
+    return F.when(within, off).otherwise(F.least(angle_between(v, a), angle_between(v, b)))
 
 
 def certified(distance_a, distance_b, leg_nm, required) -> Column:
@@ -99,9 +67,43 @@ def containing_face(rows: DataFrame, key: str, faces: DataFrame, v: str = "v", s
 
 def distance_to_path(rows: DataFrame, key: str, segments: DataFrame, v: str = "v") -> DataFrame:
     """(key, radians): least angle from each point to the arcs (a, b unit vectors)."""
-    p, a, b = F.col(v), F.col("a"), F.col("b")
-    n = cross(a, b)
-    within = (dot(cross(n, a), p) >= 0) & (dot(cross(b, n), p) >= 0) & (norm(n) > 0)
-    along = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(n, p) / norm(n)))))
-    d = F.when(within, along).otherwise(F.least(angle_between(p, a), angle_between(p, b)))
+    d = distance_to_arc(F.col(v), F.col("a"), F.col("b"))
     return rows.select(key, v).join(small(segments), F.lit(True)).groupBy(key).agg(F.min(d).alias("radians"))
+
+
+def corridor_faces(faces: DataFrame, route: DataFrame, width_nm: float) -> DataFrame:
+    """The faces (face, a, b, c unit vectors) that come within a width of a route (arcs a, b): by centre and radius of each."""
+    total = F.zip_with(F.zip_with("a", "b", lambda x, y: x + y), "c", lambda x, y: x + y)
+    f = faces.withColumn("_t", total).withColumn("_m", F.transform("_t", lambda x: x / norm(F.col("_t")))).drop("_t")
+    f = f.withColumn("_r", F.greatest(*(angle_between(F.col("_m"), F.col(x)) for x in "abc")))
+    near = distance_to_path(f.select("face", F.col("_m").alias("v")), "face", route)
+    return f.join(near, "face").where(F.col("radians") <= width_nm / EARTH_RADIUS_NM + F.col("_r")).drop("_m", "_r", "radians")
+
+
+def planar_points(points: DataFrame, keys: list[str]) -> DataFrame:
+    """points (keys..., lat, lon) with x, y in nautical miles around each group's mean latitude and circular mean longitude.
+
+    Places that are equal once longitudes are canonical (both names of the antimeridian are one) count once.
+    """
+    lon = F.when(F.col("lon") == -180, 180.0).otherwise(F.col("lon"))
+    p = points.withColumn("lon", lon).dropDuplicates([*keys, "lat", "lon"])
+    rad = F.radians(lon)
+    s, k = F.sum(F.sin(rad)), F.sum(F.cos(rad))
+    none = (F.abs(s) <= 1e-12) & (F.abs(k) <= 1e-12)
+    middle = points.groupBy(*keys).agg(F.avg("lat").alias("_lat0"), F.when(none, F.min(lon)).otherwise(F.degrees(F.atan2(s, k))).alias("_lon0"))
+    j = p.join(middle, keys)
+    delta = F.pmod(F.col("lon") - F.col("_lon0") + 180.0, F.lit(360.0)) - 180.0
+    return j.withColumns({"x": delta * 60.0 * F.cos(F.radians("_lat0")), "y": (F.col("lat") - F.col("_lat0")) * 60.0}).drop("_lat0", "_lon0")
+
+
+def circumradius(ax, ay, bx, by, cx, cy) -> Column:
+    """Radius of the circle through three points of a plane; null where they are on a line."""
+    side = lambda x1, y1, x2, y2: F.sqrt(F.pow(c(x1) - c(x2), 2) + F.pow(c(y1) - c(y2), 2))
+    area = F.abs((c(bx) - c(ax)) * (c(cy) - c(ay)) - (c(cx) - c(ax)) * (c(by) - c(ay))) / 2
+    return F.when(area > 0, side(ax, ay, bx, by) * side(bx, by, cx, cy) * side(cx, cy, ax, ay) / (4 * area))
+
+
+def automatic_alpha(triangles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., alpha): 1.05 times the median circumradius of triangles (ax, ay, bx, by, cx, cy)."""
+    r = triangles.withColumn("_r", circumradius("ax", "ay", "bx", "by", "cx", "cy"))
+    return r.where("_r > 0").groupBy(*keys).agg((1.05 * F.median("_r")).alias("alpha"))

@@ -17,6 +17,7 @@ from tidemark.functions import text as X
 from tidemark.functions.polar import Polar
 from tidemark.operators import ensemble as E
 from tidemark.operators import environment as V
+from tidemark.operators import exclusions as N
 from tidemark.operators import front as D
 from tidemark.operators import interpolation as I
 from tidemark.operators import lattice as L
@@ -376,9 +377,13 @@ def member_support(spark: SparkSession, d: str) -> DataFrame:
     return E.member_support(o, ["run"], "choice").select("run", "choice", F.round("support", 6).alias("support"))
 
 
-@query(f"WITH m AS (SELECT run, choice, sum(weight * elapsed) / sum(weight) AS mean FROM {_OUT} WHERE elapsed IS NOT NULL GROUP BY 1, 2) SELECT run, choice, round(CASE WHEN own IS NOT NULL THEN greatest(0e0, mean - own) END, 3) AS cost FROM (SELECT *, max(CASE WHEN choice = 1 THEN mean END) OVER (PARTITION BY run) AS own FROM m)")
+@query(f"WITH m AS (SELECT run, choice, CASE WHEN bool_or(elapsed IS NULL AND weight > 0) THEN 'inf'::DOUBLE ELSE sum(weight * elapsed) / sum(weight) END AS mean FROM {_OUT} GROUP BY 1, 2) SELECT run, choice, CASE WHEN own IS NULL THEN NULL WHEN mean <= own THEN 'none' WHEN mean = 'inf'::DOUBLE THEN 'infinite' ELSE round(greatest(0e0, mean - own), 3)::DECIMAL(18,3)::VARCHAR END AS cost FROM (SELECT *, max(CASE WHEN choice = 1 THEN mean END) OVER (PARTITION BY run) AS own FROM m)")
 def wrong_choice_cost(spark: SparkSession, d: str) -> DataFrame:
-    return E.wrong_choice_cost(_outcomes(spark, d).where("elapsed is not null"), ["run"], "choice", F.lit(1)).select("run", "choice", F.round("cost", 3).alias("cost"))
+    """What each choice costs over the first; infinite where a member does not arrive."""
+    got = E.wrong_choice_cost(_outcomes(spark, d), ["run"], "choice", F.lit(1))
+    c = F.col("cost")
+    text = F.when(c == 0, "none").when(c == float("inf"), "infinite").otherwise(F.round(c, 3).cast("decimal(18,3)").cast("string"))
+    return got.select("run", "choice", text.alias("cost"))
 
 
 @query(f"SELECT run, member, round(weight / sum(weight) OVER (PARTITION BY run), 9) AS share FROM {_OUT}")
@@ -392,9 +397,12 @@ def alignment_check(spark: SparkSession, d: str) -> DataFrame:
     return E.alignment(n, ["n_regionkey", "zero"])
 
 
-@query(f"SELECT coalesce(a.k, b.k) AS member, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'repeated' END AS fault FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k WHERE b.k IS NULL OR a.k IS NULL OR b.n > 1")
+@query("SELECT coalesce(a.k, b.k) AS member, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'repeated' ELSE 'contradictory' END AS fault FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n, bool_or(o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND o_orderkey % 2 = 1) AS bad FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1) b ON a.k = b.k WHERE b.k IS NULL OR a.k IS NULL OR b.n > 1 OR b.bad")
 def outcome_faults(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "orders").select(F.lit(0).alias("run"), F.col("o_custkey").alias("member"), F.lit(0).alias("class_rank"), F.lit(1.0).alias("elapsed"))
+    """Of every third order the arrival lacks its time; of every third one that failed each odd one has a time."""
+    k = F.col("o_orderkey")
+    rank = F.when(k % 3 == 1, 3).otherwise(0)
+    rows = _t(spark, d, "orders").where(k % 7 == 0).select(F.lit(0).alias("run"), F.col("o_custkey").alias("member"), rank.alias("class_rank"), F.when((k % 3 == 2) | (k % 3 == 1) & (k % 2 == 1), 1.0).alias("elapsed"))
     members = _t(spark, d, "customer").select(F.lit(0).alias("run"), F.col("c_custkey").alias("member"))
     return E.outcome_faults(rows, members, ["run"]).select("member", "fault")
 
@@ -408,9 +416,28 @@ def spherical_centroid(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).groupBy("c_nationkey").agg(_r(lat, "lat", 5), _r(lon, "lon", 5))
 
 
-@query(f"SELECT c_nationkey, round(degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))), 5) + 0e0 AS lon, round(median(c_acctbal), 6) AS middle, round(1.05e0 * median(abs(c_acctbal)), 5) AS alpha FROM {_CUST} GROUP BY 1")
+@query(f"SELECT c_nationkey, round(degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))), 5) + 0e0 AS lon FROM {_CUST} GROUP BY 1")
 def circular_mean_lon(spark: SparkSession, d: str) -> DataFrame:
-    return _customers(spark, d).groupBy("c_nationkey").agg(_r(E.circular_mean("lon"), "lon", 5), F.round(F.median("c_acctbal"), 6).alias("middle"), F.round(1.05 * F.median(F.abs("c_acctbal")), 5).alias("alpha"))
+    return _customers(spark, d).groupBy("c_nationkey").agg(_r(E.circular_mean("lon"), "lon", 5))
+
+
+_TRI = "(SELECT o_custkey % 50 AS g, (o_orderkey % 97) + 0e0 AS ax, (o_orderkey % 89) + 0e0 AS ay, (o_orderkey % 83) + 0e0 AS bx, (o_orderkey % 79) + 0e0 AS by_, (o_orderkey % 73) + 0e0 AS cx, (o_orderkey % 71) + 0e0 AS cy FROM orders)"
+_SIDE = "sqrt(power({a}x - {b}x, 2) + power({a}y{u} - {b}y{w}, 2))"
+
+
+@query(f"SELECT g, round(1.05e0 * median(r), 6) AS alpha FROM (SELECT g, {_SIDE.format(a='a', b='b', u='', w='_')} * {_SIDE.format(a='b', b='c', u='_', w='')} * {_SIDE.format(a='c', b='a', u='', w='')} / (2 * abs((bx - ax) * (cy - ay) - (cx - ax) * (by_ - ay))) AS r FROM {_TRI} WHERE (bx - ax) * (cy - ay) <> (cx - ax) * (by_ - ay)) WHERE r > 0 GROUP BY 1")
+def automatic_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """1.05 times the median circumradius of triangles."""
+    k = F.col("o_orderkey")
+    t = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("g"), *((k % m + 0.0).alias(x) for m, x in ((97, "ax"), (89, "ay"), (83, "bx"), (79, "by"), (73, "cx"), (71, "cy"))))
+    return Z.automatic_alpha(t, ["g"]).select("g", F.round("alpha", 6).alias("alpha"))
+
+
+@query(f"WITH p AS (SELECT DISTINCT c_nationkey, round(lat, 0) AS lat, CASE WHEN round(lon, 0) = -180 THEN 180e0 ELSE round(lon, 0) END AS lon FROM {_CUST}), m AS (SELECT c_nationkey, avg(round(lat, 0)) AS lat0, degrees(atan2(sum(sin(radians(round(lon, 0)))), sum(cos(radians(round(lon, 0)))))) AS lon0 FROM {_CUST} GROUP BY 1) SELECT c_nationkey, lat + 0e0 AS lat, lon + 0e0 AS lon, {Q.r(Q.wrap('lon - lon0') + ' * 60 * cos(radians(lat0))', 'x', 4)}, {Q.r('(lat - lat0) * 60', 'y', 4)} FROM p JOIN m USING (c_nationkey)")
+def planar_points(spark: SparkSession, d: str) -> DataFrame:
+    """Places on a plane around each nation's middle."""
+    c = _customers(spark, d).select("c_nationkey", F.round("lat", 0).alias("lat"), F.round("lon", 0).alias("lon"))
+    return Z.planar_points(c, ["c_nationkey"]).select("c_nationkey", (F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon"), _r(F.col("x"), "x", 4), _r(F.col("y"), "y", 4))
 
 
 # --- ranking -----------------------------------------------------------------------
@@ -428,9 +455,14 @@ def bucket_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     return top.select("l_orderkey", "l_linenumber", "rank")
 
 
-@query()
+_APART = "least(abs(heading - {h}) % 360, 360 - abs(heading - {h}) % 360)"
+
+
+@query(
+    f"WITH a AS (SELECT l_suppkey, l_orderkey, l_linenumber, (l_partkey * 10 % 360)::DOUBLE AS heading, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS r FROM lineitem), b AS (SELECT *, {_APART.format(h='h1')} AS d FROM (SELECT *, max(CASE WHEN r = 1 THEN heading END) OVER (PARTITION BY l_suppkey) AS h1 FROM a)), c AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, r = 1 ORDER BY d DESC, r) AS n2 FROM b), e AS (SELECT *, least(d, {_APART.format(h='h2')}) AS d2 FROM (SELECT *, max(CASE WHEN r > 1 AND n2 = 1 THEN heading END) OVER (PARTITION BY l_suppkey) AS h2 FROM c)), f AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, r = 1 OR n2 = 1 ORDER BY d2 DESC, r) AS n3 FROM e) SELECT l_suppkey, l_orderkey, l_linenumber, heading, CASE WHEN r = 1 THEN 1 WHEN n2 = 1 THEN 2 ELSE 3 END::INT AS picked FROM f WHERE r = 1 OR n2 = 1 OR n3 = 1"
+)
 def diverse_heading_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The greedy heading-diverse choice; tests hold it against plain Python."""
+    """The greedy heading-diverse choice of three."""
     li = _t(spark, d, "lineitem").withColumn("heading", (F.col("l_partkey") * 10 % 360).cast("double"))
     got = K.diverse_top_k(li, ["l_suppkey"], ["l_extendedprice", "l_orderkey", "l_linenumber"], "heading", 3)
     return got.select("l_suppkey", "l_orderkey", "l_linenumber", "heading", "picked")
@@ -485,6 +517,26 @@ def zone_active_points(spark: SparkSession, d: str) -> DataFrame:
     return got.where("lat >= south and lat < south + 20 and lon >= west and lon < west + 20").select("event_id", "zone")
 
 
+def _side(p: int, q: int) -> str:
+    """Which side of the arc between two corners of a zone a point is on."""
+    x, y, z = (f"({a} * {b} - {c} * {d})" for a, b, c, d in ((f"y{p}", f"z{q}", f"z{p}", f"y{q}"), (f"z{p}", f"x{q}", f"x{p}", f"z{q}"), (f"x{p}", f"y{q}", f"y{p}", f"x{q}")))
+    return f"({x} * px + {y} * py + {z} * pz)"
+
+
+_CORNERS = ", ".join(f"cos(radians({lat})) * cos(radians({lon})) AS x{i}, cos(radians({lat})) * sin(radians({lon})) AS y{i}, sin(radians({lat})) AS z{i}" for i, (lat, lon) in enumerate((("south", "west"), ("south", "west + 18"), ("south + 12", "west + 7"))))
+
+
+@query(f"SELECT event_id, min(zone)::VARCHAR AS zone_id FROM (SELECT event_id, ts, cos(radians(lat)) * cos(radians(lon)) AS px, cos(radians(lat)) * sin(radians(lon)) AS py, sin(radians(lat)) AS pz FROM (SELECT *, {Q.lat('event_id')} + 0.031e0 AS lat, {Q.lon('event_id')} + 0.017e0 AS lon FROM events)) e JOIN (SELECT *, {_CORNERS} FROM (SELECT * FROM {_ZONES} WHERE zone < 10)) z ON e.ts >= active_from AND (active_until IS NULL OR e.ts < active_until) AND {_side(0, 1)} >= 0 AND {_side(1, 2)} >= 0 AND {_side(2, 0)} >= 0 GROUP BY 1")
+def zone_polygon_points(spark: SparkSession, d: str) -> DataFrame:
+    """The first zone, a spherical triangle, that holds each event's place while it is active."""
+    corner = lambda dy, dx: F.struct((F.col("south") + dy).alias("lat"), (F.col("west") + dx).alias("lon"))
+    outer = F.array(corner(0.0, 0.0), corner(0.0, 18.0), corner(12.0, 7.0))
+    zones = _zones(spark).where("zone < 10").select(F.col("zone").cast("string").alias("zone_id"), F.lit(1).alias("revision"), "active_from", "active_until", F.array(F.struct(outer.alias("outer"), F.slice(F.array(outer), 1, 0).alias("holes"))).alias("polygons"))
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select("event_id", "ts", (_lat(k) + 0.031).alias("lat"), (_lon(k) + 0.017).alias("lon"))
+    return N.zones_at(e, "event_id", N.prepare_zones(zones)).select("event_id", "zone_id")
+
+
 @query()
 def segment_zone_filter(spark: SparkSession, d: str) -> DataFrame:
     """Legs that meet a spherical polygon while it is active: arcs have no short SQL form."""
@@ -492,7 +544,7 @@ def segment_zone_filter(spark: SparkSession, d: str) -> DataFrame:
     zones = _zones(spark).select(F.col("zone").alias("zone_id"), F.lit(1).alias("revision"), "active_from", "active_until", F.array(corner(0, 0), corner(0, 15), corner(15, 15), corner(15, 0)).alias("ring"))
     k = F.col("event_id")
     legs = _t(spark, d, "events").select(k.alias("k"), _lat(k).alias("lat1"), _lon(k).alias("lon1"), (_lat(k) + 4).alias("lat2"), (_lon(k) + 3).alias("lon2"), F.col("ts").alias("t1"), F.timestamp_seconds(F.unix_timestamp("ts") + 7200).alias("t2"))
-    return Z.segment_zone_hits(legs, "k", zones)
+    return N.segment_zone_hits(legs, "k", zones)
 
 
 @query(f"SELECT k, (da + db - nm) / 2 >= 10 AS certified, (da + db - nm) / 2 < 10 AS undecided FROM (SELECT k, (k * 31) % 4000 / 2e0 AS da, (k * 17) % 4000 / 2e0 AS db, {Q.dist('lat1', 'lon1', 'lat1 + 1', 'lon1 + 1')} AS nm FROM {_LEGS})")
@@ -524,7 +576,7 @@ def embedding_argmax(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
     mean = e.select("label", F.posexplode("embedding").alias("p", "x")).groupBy("label", "p").agg(F.avg(F.col("x").cast("double")).alias("x"))
     cells = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("c"))
-    j = e.select("vec_id", "embedding").join(Z.small(cells), F.lit(True))
+    j = e.select("vec_id", "embedding").join(I.small(cells), F.lit(True))
     score = F.aggregate(F.zip_with("embedding", "c", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     return j.groupBy("vec_id").agg(F.min_by("label", F.struct((-F.round(score, 9)).alias("d"), F.col("label"))).alias("label"))
 
@@ -664,36 +716,75 @@ def two_level_beam(spark: SparkSession, d: str) -> DataFrame:
     return got.select("g", "l_orderkey", "l_linenumber", "h")
 
 
-@query(f"WITH m AS (SELECT run, choice, sum(CASE WHEN elapsed IS NULL THEN weight ELSE 0 END) / sum(weight) AS lost, round(sum(weight * elapsed) / sum(CASE WHEN elapsed IS NOT NULL THEN weight END), 3) AS mean FROM {_OUT} GROUP BY 1, 2) SELECT run, choice FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(lost, 9), mean NULLS LAST, choice) AS n FROM m) WHERE n = 1")
+@query(f"WITH m AS (SELECT run, choice, round(sum(CASE WHEN elapsed IS NULL THEN weight ELSE 0 END) / sum(weight), 2) AS lost, round(sum(weight * elapsed) / sum(CASE WHEN elapsed IS NOT NULL THEN weight END), -6) AS mean, round(max(elapsed), -6) AS worst, count(*) % 3 AS made, count(*) % 2 AS settled FROM {_OUT} GROUP BY 1, 2), u AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(lost, 1), lost, mean NULLS LAST, worst NULLS LAST, made, settled, choice) AS up, row_number() OVER (PARTITION BY run ORDER BY round(lost, 1) DESC, lost, mean NULLS LAST, worst NULLS LAST, made, settled, choice) AS down FROM m) SELECT run, choice, up, down FROM u")
 def objective_order(spark: SparkSession, d: str) -> DataFrame:
-    g = _outcomes(spark, d).groupBy("run", "choice").agg(*E.audits())
-    g = g.select("run", "choice", F.round("incomplete_weight", 9).alias("objective"), F.lit(0.0).alias("incomplete_weight"), F.round("finite_mean", 3).alias("finite_mean"), F.lit(0.0).alias("worst_finite"), F.col("choice").alias("identity"))
-    return K.top_k(g, ["run"], E.objective_order(), 1).select("run", "choice")
+    """Every choice's place under the least and under the greatest objective."""
+    g = _outcomes(spark, d).groupBy("run", "choice").agg(*E.audits(), F.count("*").alias("n"))
+    lost = F.round("incomplete_weight", 2)
+    g = g.select("run", "choice", F.round(lost, 1).alias("objective"), lost.alias("incomplete_weight"), F.round("finite_mean", -6).alias("finite_mean"), F.round("worst_finite", -6).alias("worst_finite"), (F.col("n") % 3).alias("generated"), (F.col("n") % 2).alias("settled"), F.col("choice").alias("identity"))
+    up, down = (F.row_number().over(Window.partitionBy("run").orderBy(*E.objective_order(maximize=m))).cast("long") for m in (False, True))
+    return g.select("run", "choice", up.alias("up"), down.alias("down"))
+
+
+_TERMINAL = f"(SELECT o_custkey % 97 AS run, l_linenumber AS label, o_orderkey % 4 AS member, max(l_quantity % 3)::DOUBLE AS weight, max(CASE WHEN l_returnflag = 'R' THEN 1 + l_orderkey % 3 ELSE 0 END)::INT AS class_rank, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS lost, (max(l_orderkey) % 11)::DOUBLE AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH t AS (SELECT *, CASE WHEN class_rank = 0 THEN e END AS elapsed FROM {_TERMINAL}), w AS (SELECT * FROM t WHERE weight > 0), n AS (SELECT run, label, count(*) AS n FROM w GROUP BY 1, 2), b AS (SELECT x.run, x.label, y.label AS o, count(*) AS m, bool_and(CASE WHEN x.class_rank = 0 AND y.class_rank = 0 THEN y.elapsed <= x.elapsed ELSE y.class_rank <= x.class_rank END) AS ok, bool_or(CASE WHEN x.class_rank = 0 AND y.class_rank = 0 THEN y.elapsed < x.elapsed ELSE y.class_rank < x.class_rank END) AS one FROM w x JOIN w y ON x.run = y.run AND x.member = y.member AND x.label <> y.label GROUP BY 1, 2, 3) SELECT DISTINCT run, label FROM t WHERE NOT EXISTS (SELECT 1 FROM b JOIN n ON n.run = b.run AND n.label = b.label WHERE b.run = t.run AND b.label = t.label AND m = n AND ok AND one)")
+def policy_terminal_front(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that no other one of the run beats member by member; members without weight don't count."""
+    j = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lost = F.max(F.when(F.col("l_returnflag") == "R", 1 + F.col("l_orderkey") % 3).otherwise(0)).cast("int")
+    t = j.groupBy((F.col("o_custkey") % 97).alias("run"), F.col("l_linenumber").alias("label"), (F.col("o_orderkey") % 4).alias("member")).agg(F.max(F.col("l_quantity") % 3).cast("double").alias("weight"), lost.alias("class_rank"), (F.max("l_orderkey") % 11).cast("double").alias("e"))
+    t = t.withColumn("elapsed", F.when(F.col("class_rank") == 0, F.col("e"))).drop("e")
+    return E.undominated_terminals(t, ["run"], "label").select("run", "label").distinct()
+
+
+@query(f"SELECT c_nationkey AS g, round(sum(CASE WHEN k % 3 = 2 THEN w ELSE 0 END), 4) AS failed_weight, round(sum(CASE WHEN k % 3 = 1 THEN w ELSE 0 END), 4) AS completed_weight, round(sum(CASE WHEN k % 3 = 1 THEN w * k ELSE 0 END), 3) AS completed_elapsed, coalesce(max(CASE WHEN k % 3 = 1 AND w > 0 THEN k END), 0)::DOUBLE AS worst_completed, round(sum(w * nm), 3) AS weighted_distance, round(coalesce(max(CASE WHEN w > 0 THEN nm END), 0), 4) AS worst_distance FROM (SELECT *, (k % 5)::DOUBLE AS w, {Q.dist('lat', 'lon', '20.05e0', '-30.05e0')} AS nm FROM {_CUST}) GROUP BY 1")
+def beam_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The measures by which labels of a common-course beam are ranked."""
+    k = F.col("k")
+    status = F.get(F.array(F.lit("active"), F.lit("completed"), F.lit("failed")), (k % 3).cast("int"))
+    s = _customers(spark, d).select(F.col("c_nationkey").alias("g"), (k % 5).cast("double").alias("weight"), status.alias("status"), "lat", "lon", k.cast("double").alias("elapsed"), F.lit(20.05).alias("to_lat"), F.lit(-30.05).alias("to_lon"))
+    got = E.beam_rank(s, ["g"])
+    return got.select("g", *(F.round(c, n).alias(c) for c, n in (("failed_weight", 4), ("completed_weight", 4), ("completed_elapsed", 3))), "worst_completed", F.round("weighted_distance", 3).alias("weighted_distance"), F.round("worst_distance", 4).alias("worst_distance"))
+
+
+@query("SELECT o_orderkey, (d + (s - d) // 2)::BIGINT AS middle FROM (SELECT o_orderkey, o_orderkey % 1200 + 600 AS s, o_orderkey % 61 AS d FROM orders)")
+def midpoint_offset(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select("o_orderkey", S.sailing_midpoint_offset(k % 1200 + 600, k % 61).alias("middle"))
+
+
+@query()
+def vmg_blend(spark: SparkSession, d: str) -> DataFrame:
+    """Angles of best progress for a wind speed, blended between the table's columns; tests hold them against plain arithmetic."""
+    w = F.col("o_orderkey") % 450 / 10.0
+    best = Polar.builtin().best_angles_at(spark, w)
+    return _t(spark, d, "orders").select("o_orderkey", best.alias("b")).select("o_orderkey", _r(F.col("b.up"), "up", 3), _r(F.col("b.down"), "down", 3))
 
 
 @query("SELECT DISTINCT a FROM (SELECT o_custkey AS a FROM orders UNION SELECT c_custkey * 2 FROM customer)")
 def distinct_union(spark: SparkSession, d: str) -> DataFrame:
-    a = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"))
-    return a.union(_t(spark, d, "customer").select(F.col("c_custkey") * 2)).distinct()
+    return K.distinct_union([_t(spark, d, "orders").select(F.col("o_custkey").alias("a")), _t(spark, d, "customer").select((F.col("c_custkey") * 2).alias("a"))])
 
 
-@query("SELECT DISTINCT o_custkey AS a, o_orderkey % 7 AS b FROM orders ANTI JOIN (SELECT c_custkey, c_nationkey % 7 AS n FROM customer) x ON o_custkey = c_custkey AND o_orderkey % 7 = n")
+@query("SELECT DISTINCT least(o_custkey, o_orderkey % 7) AS a, greatest(o_custkey, o_orderkey % 7) AS b FROM orders ANTI JOIN (SELECT least(c_custkey, c_nationkey % 7) AS x, greatest(c_custkey, c_nationkey % 7) AS y FROM customer) ON least(o_custkey, o_orderkey % 7) = x AND greatest(o_custkey, o_orderkey % 7) = y")
 def edge_difference(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 7).alias("b")).distinct()
-    gone = _t(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_nationkey") % 7).cast("long").alias("b"))
-    return e.join(gone, ["a", "b"], "left_anti")
+    e = _t(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 7).alias("b"))
+    gone = _t(spark, d, "customer").select((F.col("c_nationkey") % 7).cast("long").alias("a"), F.col("c_custkey").alias("b"))
+    return K.edge_difference(e, gone)
 
 
 @query(f"SELECT DISTINCT round(lat, 0) + 0e0 AS lat, CASE WHEN round(lon, 0) = -180 THEN 180e0 ELSE round(lon, 0) + 0e0 END AS lon FROM {_CUST}")
 def distinct_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions rounded to degrees; both names of the antimeridian are one."""
-    lon = F.round("lon", 0)
-    return _customers(spark, d).select((F.round("lat", 0) + 0.0).alias("lat"), F.when(lon == -180, 180.0).otherwise(lon + 0.0).alias("lon")).distinct()
+    return K.distinct_positions(_customers(spark, d), 0)
 
 
-@query(f"SELECT k % 10 AS cell, round(max({Q.dist('lat1', 'lon1', 'lat2', 'lon2')}), 5) AS longest FROM {_LEGS} GROUP BY 1")
+@query(f"WITH e AS (SELECT k % 10 AS cell, {Q.dist('lat1', 'lon1', 'lat2', 'lon2')} AS nm FROM {_LEGS}) SELECT cell, round(max(nm), 5) AS longest FROM e GROUP BY 1 UNION ALL SELECT NULL, round(max(nm), 5) FROM e")
 def longest_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _legs(spark, d).groupBy((F.col("k") % 10).alias("cell")).agg(F.round(F.max(G.distance_nm("lat1", "lon1", "lat2", "lon2")), 5).alias("longest"))
+    links = _legs(spark, d).select((F.col("k") % 10).alias("a"), G.distance_nm("lat1", "lon1", "lat2", "lon2").alias("nm"))
+    return L.longest_edges(links).select("cell", F.round("longest", 5).alias("longest"))
 
 
 @query(f"SELECT k, ceil(round({Q.dist('lat1', 'lon1', 'lat2', 'lon2')} / 11e0 * 3600, 3))::BIGINT AS bound FROM {_LEGS}")
@@ -712,31 +803,39 @@ def arc_points(spark: SparkSession, d: str) -> DataFrame:
     return df.select("k", _r(F.get("p", F.lit(2)), "z", 5))
 
 
-@query("SELECT o_orderkey, o_orderkey % 8 AS rank, ['reached', 'partial', 'duration_exhausted', 'forecast_exhausted', 'no_route', 'environment_failed', 'incomplete_forecast', 'invalid'][(o_orderkey % 8) + 1] AS name FROM orders")
+_NAMES = "['reached', 'forecast_exhausted', 'duration_exhausted', 'infeasible_no_route', 'missing_data', 'provider_failure', 'cancelled', 'other_error']"
+
+
+@query(f"SELECT o_orderkey, o_orderkey % 8 AS rank, {_NAMES}[(o_orderkey % 8) + 1] AS name, list_position({_NAMES}, {_NAMES}[(o_orderkey % 8) + 1])::INT - 1 AS back, ['forecast_exhausted', 'cancelled', 'infeasible_no_route', 'missing_data', 'provider_failure', 'other_error', 'missing_data'][(o_orderkey % 7) + 1] AS of_error FROM orders")
 def outcome_names(spark: SparkSession, d: str) -> DataFrame:
     rank = F.col("o_orderkey") % 8
-    return _t(spark, d, "orders").select("o_orderkey", rank.alias("rank"), F.get(F.array(*map(F.lit, E.OUTCOMES)), rank.cast("int")).alias("name"))
+    errors = ["forecast_exhausted", "cancelled", "no_route", "file_io", "invalid_environment", "invalid_polar", "coordinate_outside_forecast"]
+    code = F.get(F.array(*map(F.lit, errors)), (F.col("o_orderkey") % 7).cast("int"))
+    named = _t(spark, d, "orders").select("o_orderkey", rank.alias("rank"), F.get(F.array(*map(F.lit, E.OUTCOMES)), rank.cast("int")).alias("name"), E.outcome_of_error(code).alias("of_error"))
+    return named.withColumn("back", E.class_rank("name"))
 
 
-@query("SELECT user_id, count(*) AS expanded, count(*) FILTER (value > 50) AS generated, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+@query("SELECT user_id, count(*)::BIGINT AS expanded, coalesce(sum(CASE WHEN value > 50 THEN floor(value)::BIGINT END), 0)::BIGINT AS generated FROM events GROUP BY 1")
 def search_counters(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("expanded"), F.count(F.when(F.col("value") > 50, 1)).alias("generated"), F.count_distinct("event_type").alias("kinds"))
+    """Counters of parts of a search (here one for each event) summed as `search` sums those of its steps."""
+    parts = _t(spark, d, "events").select("user_id", F.lit(1).alias("expanded"), F.when(F.col("value") > 50, F.floor("value")).alias("generated"))
+    return K.total_counters(parts, ["user_id"], ["expanded", "generated"])
 
 
-@query(f"SELECT count(*) AS zones, max(zone)::BIGINT AS last, count(active_until) AS bounded, min(active_from) AS first_active FROM {_ZONES}")
+@query(f"SELECT count(*) AS zones, max(zone % 3)::BIGINT AS last, count(active_until) AS bounded, min(active_from) AS first_active FROM {_ZONES}")
 def zone_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _zones(spark).agg(F.count("*").alias("zones"), F.max("zone").alias("last"), F.count("active_until").alias("bounded"), F.min("active_from").alias("first_active"))
+    return N.zone_summary(_zones(spark).withColumnRenamed("zone", "zone_id").withColumn("revision", F.col("zone_id") % 3))
 
 
 # --- files -------------------------------------------------------------------------------
 
 
 def _track(spark: SparkSession, d: str) -> DataFrame:
-    c = _customers(spark, d).where("lat <> 0 and lon <> 0")
+    c = _customers(spark, d)
     return c.select(F.col("c_nationkey").alias("request_id"), F.lit("2026-07-14 12:00:00").cast("timestamp").alias("time"), F.col("k").alias("seq"), "lat", "lon")
 
 
-@query(f"""SELECT c_nationkey AS request_id, '{{"type":"Feature","properties":{{"time":"2026-07-14T12:00:00Z"}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY k) || ']}}}}' AS json FROM {_CUST} WHERE lat <> 0 AND lon <> 0 GROUP BY 1""")
+@query(f"""SELECT c_nationkey AS request_id, '{{"type":"Feature","properties":{{"time":"2026-07-14T12:00:00Z"}},"geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || lon || ',' || lat || ']', ',' ORDER BY k) || ']}}}}' AS json FROM {_CUST} GROUP BY 1""")
 def isochrone_geojson(spark: SparkSession, d: str) -> DataFrame:
     return route_files.isochrone_geojson(_track(spark, d)).select("request_id", "json")
 
@@ -745,7 +844,7 @@ def _coord(x: str) -> str:
     return rf"regexp_replace(printf('%.10f', {x}), '\.?0+$', '')"
 
 
-@query(f"""SELECT c_nationkey AS request_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>route</name><trkseg>' || string_agg('<trkpt lat="' || {_coord('lat')} || '" lon="' || {_coord('lon')} || '"><time>2026-07-14T12:00:00Z</time></trkpt>', '' ORDER BY k) || '</trkseg></trk></gpx>' AS gpx FROM {_CUST} WHERE lat <> 0 AND lon <> 0 GROUP BY 1""")
+@query(f"""SELECT c_nationkey AS request_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>route</name><trkseg>' || string_agg('<trkpt lat="' || {_coord('lat')} || '" lon="' || {_coord('lon')} || '"><time>2026-07-14T12:00:00Z</time></trkpt>', '' ORDER BY k) || '</trkseg></trk></gpx>' AS gpx FROM {_CUST} GROUP BY 1""")
 def route_gpx(spark: SparkSession, d: str) -> DataFrame:
     return route_files.route_gpx(_track(spark, d))
 
