@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, near_dedup, ordinal_quality, quality_rules, recompression, secret_scan, sql, suffix_dedup
+from . import chat_format, decontaminate, divergence, language_id, mixing, near_dedup, ordinal_quality, packing, quality_rules, recompression, repair, secret_scan, sql, suffix_dedup
 
 #: Target shares of tokens; values that are not listed keep their natural share of the rest.
 TARGETS = {
@@ -74,7 +74,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(docs, learned)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_chat_format, op4_source_mixing, op5_decontamination, op6_ordinal_quality, op7_suffix_dedup, op8_quality_rules, op9_recompression, op10_language_id)}
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(_table(spark, sf_dir, "conversations"))
+    return repair.repaired_digests(repair.repair_conversations(damaged, F.col("present")))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_chat_format, op4_source_mixing, op5_decontamination, op6_ordinal_quality, op7_suffix_dedup, op8_quality_rules, op9_recompression, op10_language_id, op11_structure_repair, op12_best_fit_packing, op13_source_divergence)}
 
 #: Compression, forests, regressions, raking and byte strings have no short SQL; tests hold those queries against brute force.
 ORACLE_SQL = sql.ORACLE_SQL

@@ -114,4 +114,68 @@ SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, n_repeat
 FROM j JOIN a ON j.lang IS NOT DISTINCT FROM a.lang AND j.size = a.size JOIN b ON j.lang IS NOT DISTINCT FROM b.lang
 """
 
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op3_chat_format": OP3, "op5_decontamination": OP5, "op8_quality_rules": OP8, "op9_recompression": OP9}
+_LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+
+OP13 = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_LETTERS}) AS w FROM documents),
+o AS (SELECT lang, source, doc, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS whole FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) + 5 * count(*) AS own, sum(whole) + 5 * count(*) AS lang_own FROM m GROUP BY 1, 2),
+p AS (SELECT m.*, 1 + 1000000000::HUGEINT * (n + 5) // own AS p, 1 + 1000000000::HUGEINT * (whole + 5) // lang_own AS q FROM m JOIN t USING (lang, source)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+_INK = r"[^\x20\x09-\x0D]"
+
+
+def _cheapest(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _with(way: str, cost: str, letter: str) -> str:
+    """A way, (ten digits of cost, audit) as one string, with an edit more."""
+    return f"(lpad((left({way}, 10)::INTEGER + {cost})::VARCHAR, 10, '0') || substr({way}, 11) || '{letter}')"
+
+
+def _step(place: int) -> str:
+    """The cheapest way to a place in the grammar by the next row, without insertions."""
+    ways = [f"{_with(f"s{place}", "3", "D")}"]
+    if place in (1, 2, 3):
+        sources = {1: [(0, "s")], 2: [(0, "u"), (1, "u"), (3, "u")], 3: [(2, "a")]}[place]
+        for k, initial in sources:
+            ways.append(f"CASE WHEN f NOT IN (1, 2) AND c = '{initial}' THEN {_with(f's{k}', '(f = 3)::INTEGER', 'K')} END")
+            if place > 1:
+                ways.append(f"CASE WHEN f NOT IN (1, 2) AND c <> '{initial}' THEN {_with(f's{k}', '2 + (f = 3)::INTEGER', 'R')} END")
+    return _cheapest(*ways, "NULL")
+
+
+_INSERTED = [_cheapest("x2", *(_with(f"x{k}", "2", "I") for k in (0, 1, 3))), _cheapest("x3", _with(_cheapest("x2", *(_with(f"x{k}", "2", "I") for k in (0, 1, 3))), "2", "I"))]
+
+OP11 = rf"""
+WITH RECURSIVE bit AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bit WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS tab FROM bit WHERE k = 8),
+z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT z.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)), lambda r, x: xor(r >> 8, tab[(xor(r, x) & 255) + 1]))) % 20 AS k FROM z, crc),
+dm AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE k <> 0),
+n AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ink, left(role, 1) AS c FROM dm WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+q AS (SELECT conv_id, turn, role, text, i, c, CASE WHEN ink = '' THEN 1 WHEN again > 1 THEN 2 WHEN right(ink, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS f, lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS nc FROM n),
+st AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 1) AS blank, count(*) FILTER (f = 2) AS duplicate, count(*) FILTER (f = 3) AS truncated, count(*) FILTER (nc IS NOT NULL AND c || nc NOT IN ('su', 'ua', 'au')) AS illegal FROM q GROUP BY 1),
+w AS (SELECT conv_id, 0::BIGINT AS i, '0000000000' AS s0, NULL::VARCHAR AS s1, '0000000002I' AS s2, '0000000004II' AS s3 FROM st
+  UNION ALL SELECT conv_id, i, x0, x1, {_INSERTED[0]}, {_INSERTED[1]} FROM (SELECT w.conv_id, q.i, {', '.join(f'{_step(k)} AS x{k}' for k in range(4))} FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.i = w.i + 1)),
+e AS (SELECT st.conv_id, least(s0, s3)[:10]::BIGINT AS cost, least(s0, s3)[11:] AS audit FROM st JOIN w ON w.conv_id IS NOT DISTINCT FROM st.conv_id AND w.i = st.rows),
+l AS (SELECT conv_id, unnest(string_split(audit, '')) AS a, unnest(range(1, length(audit) + 1)) AS p FROM e WHERE audit <> ''),
+lr AS (SELECT *, count(*) FILTER (a <> 'I') OVER o AS i, count(*) FILTER (a <> 'D') OVER o AS m FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY p)),
+lq AS (SELECT lr.*, q.role, q.text, max((a = 'K' AND m = 1 AND q.c = 's')::INTEGER) OVER (PARTITION BY lr.conv_id) AS lead_s FROM lr LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM lr.conv_id AND q.i = lr.i AND lr.a <> 'I'),
+t AS (SELECT conv_id, string_agg(CASE WHEN a = 'K' THEN role WHEN (m - lead_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS body FROM lq WHERE a <> 'D' GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1, "op3_chat_format": OP3, "op5_decontamination": OP5, "op8_quality_rules": OP8, "op9_recompression": OP9, "op11_structure_repair": OP11, "op13_source_divergence": OP13}
