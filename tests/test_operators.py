@@ -204,6 +204,32 @@ def test_ensemble_search(spark):
     assert by["a"] < by["b"] and courses.first().mean_s == pytest.approx((by["a"] + 3 * by["b"]) / 4)
 
 
+def test_members_fail_on_their_own(spark):
+    """A member without wind ends as missing data, one whose forecast ends as exhausted; the others arrive."""
+    from tidemark.operators.ensemble_search import ensemble_search
+
+    wind, spec = registry._constant_wind(spark)
+    gap = F.when(F.col("member") != "gap", F.col("v"))
+    grids = wind.crossJoin(spark.createDataFrame([("a",), ("gap",), ("slow",)], "member string")).withColumn("v", gap * F.when(F.col("member") == "slow", 0.7).otherwise(1.0))
+    req = spark.createDataFrame([(1, 1.0, 0.5, 1.0, 0.8, dt.datetime(2026, 7, 14, 12)), (2, 1.0, 0.5, 1.0, 0.5, dt.datetime(2026, 7, 14, 12)), (3, 1.0, 0.5, 1.0, 0.8, dt.datetime(2026, 7, 15, 12))], "request_id long, lat double, lon double, to_lat double, to_lon double, depart timestamp")
+    members = spark.createDataFrame([("a", 1.0), ("gap", 1.0), ("slow", 2.0)], "member string, weight double")
+    o = Options(tiers=[(3600, None)], heading_step=30.0, per_bucket=2)
+    courses, outcomes = ensemble_search(req, members, grids, spec, Polar.builtin(), o, width=12)
+    got = {(r.request_id, r.member): (r.outcome, r.elapsed_s) for r in outcomes.collect()}
+    assert got[1, "gap"] == ("missing_data", None) and got[1, "a"][0] == got[1, "slow"][0] == "reached" and got[1, "a"][1] < got[1, "slow"][1]
+    assert all(got[2, m] == ("reached", 0) for m in ("a", "gap", "slow"))
+    assert {got[3, m][0] for m in ("a", "slow")} == {"forecast_exhausted"}
+    by = {r.request_id: r for r in courses.collect()}
+    assert by[1].objective == math.inf and by[1].incomplete_weight == 0.25 and set(by[1].headings) == {90.0}
+    assert by[1].mean_s == pytest.approx((got[1, "a"][1] + 2 * got[1, "slow"][1]) / 3) and by[2].headings == []
+    # the bound drops labels and changes no result
+    free, _ = ensemble_search(req, members, grids, spec, Polar.builtin(), o, width=12, bounded=False)
+    other = {r.request_id: r for r in free.collect()}
+    assert all(other[k].mean_s == by[k].mean_s and other[k].settled >= by[k].settled for k in by)
+    with pytest.raises(RuntimeError, match="did not end"):
+        ensemble_search(req.where("request_id = 1"), members, grids, spec, Polar.builtin(), o, width=12, max_steps=1)
+
+
 def _cheapest(polar_kn, weights, place, to, radius, step=3600, depth=3):
     """Least mean arrival over every sequence of headings up to `depth` steps, by plain arithmetic; winds don't change."""
     r = 3440.065

@@ -117,10 +117,11 @@ class Surroundings:
             rows = rows.withColumns({n: F.when(~gone, F.col(n)) for n in names}).drop("status")
         return rows
 
-    def derated(self, speed: Column) -> Column:
+    def derated(self, speed: Column, heading: Column | str = "new_heading") -> Column:
+        """The speed of a heading in the sea at a row; unchanged where there is none."""
         if self.waves is None:
             return speed
-        along = S.relative_wave_angle("new_heading", F.degrees(F.atan2("sin", "cos")))
+        along = S.relative_wave_angle(heading, F.degrees(F.atan2("sin", "cos")))
         return F.when(F.col("height").isNotNull(), S.checked_derating(self.derating(speed, "height", along, "period"), speed)).otherwise(speed)
 
     def over_ground(self) -> Column:
@@ -187,18 +188,18 @@ def expand(frontier: DataFrame, polar: Polar, o: Options, wind: Field | None = N
     took = F.coalesce(F.col("lost") + F.round((F.col("step") - F.col("lost")) * F.col("fraction")), F.col("step")).cast("long")
     e = e.withColumn("took", took)
     if around.land is not None or around.zones is not None or around.eligible is not None:
-        e = _allowed(e, around)
+        e = legs_allowed(e, around)
     return e.select("request_id", F.col("node").alias("parent"), F.col("pos").alias("p_ord"), "h_ord", F.col("to.lat").alias("lat"), F.col("to.lon").alias("lon"), (F.col("elapsed") + F.col("took")).alias("elapsed"), F.col("new_heading").alias("heading"), "speed", "tws", "twd", "side", (F.col("cum") + F.col("gone")).alias("cum"), G.distance_nm("to.lat", "to.lon", "to_lat", "to_lon").alias("dist"), "fraction", "to_lat", "to_lon", "depart")
 
 
-def _allowed(e: DataFrame, around: Surroundings) -> DataFrame:
-    """Candidates whose leg is clear of land, then of zones, and eligible."""
-    legs = e.withColumn("leg_id", F.struct("request_id", "node", "h_ord")).withColumns({"lat1": F.col("lat"), "lon1": F.col("lon"), "lat2": F.col("to.lat"), "lon2": F.col("to.lon"), "t1": F.col("ts"), "t2": F.timestamp_seconds(F.unix_timestamp("ts") + F.col("took"))})
+def legs_allowed(e: DataFrame, around: Surroundings, keys: list[str] | tuple[str, ...] = ("request_id", "node", "h_ord"), eligibility: bool = True) -> DataFrame:
+    """Candidates (keys..., lat, lon, to, ts, took) whose leg is clear of land, then of zones, and eligible."""
+    legs = e.withColumn("leg_id", F.struct(*keys)).withColumns({"lat1": F.col("lat"), "lon1": F.col("lon"), "lat2": F.col("to.lat"), "lon2": F.col("to.lon"), "t1": F.col("ts"), "t2": F.timestamp_seconds(F.unix_timestamp("ts") + F.col("took"))})
     if around.land is not None:
         legs = clear_of_land(legs, "leg_id", around.land, around.land_clearance)
     if around.zones is not None:
         legs = legs.join(segment_zone_hits(legs.select("leg_id", "lat1", "lon1", "lat2", "lon2", "t1", "t2"), "leg_id", around.zones, around.boundary_excluded), "leg_id", "left_anti")
-    return legs.where(around.eligible) if around.eligible is not None else legs
+    return legs.where(around.eligible) if around.eligible is not None and eligibility else legs
 
 
 def prune(candidates: DataFrame, o: Options) -> DataFrame:
@@ -242,7 +243,7 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
     summary: how each search ended and how much it did. A request that can't be searched
     has its fault there; one without a route has no points. A null depart is chosen by
     select_departures. progress: called with the step and its kept points after every
-    every_n_steps steps; a true answer cancels what is not finished.
+    every_n_steps steps; a true answer cancels what is not finished. max_steps: an error beyond.
     """
     t = Steps(requests.sparkSession, "search")
     if around.zones is not None:
@@ -291,6 +292,8 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
         if progress is not None and level % every_n_steps == 0 and progress(level, frontier.select("request_id", "node", "lat", "lon", "elapsed", "dist")):
             ends.append(frontier.select("request_id").distinct().select("request_id", F.lit("cancelled").alias("completion"), F.lit(level).cast("long").alias("level"), F.lit(None).cast("long").alias("node")))
             break
+    else:
+        raise RuntimeError(f"search did not end in {max_steps} steps")
     done = ends[0]
     for e in ends[1:]:
         done = done.union(e)
