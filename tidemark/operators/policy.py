@@ -1,13 +1,36 @@
-"""Routes of alternatives merged by common prefix, and walks along parent pointers."""
+"""Routes of alternatives merged into one graph: by common beginnings, by states, by common endings; walks along parent pointers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Steps
 
 
+def _digest(*parts: Column | str) -> Column:
+    """A name for a list of values that depends on them alone; null and the empty text differ."""
+    return F.sha2(F.to_json(F.array(*(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)), {"ignoreNullFields": "false"}), 256)
+
+
+def chain_names(steps: DataFrame, keys: list[str], order: Column, value: str, name: str = "name") -> DataFrame:
+    """steps with a name of all values from the first step up to each: equal beginnings have equal names.
+
+    Names are chained by doubling, log2 of the longest chain joins: a step's name covers twice
+    as many steps in each round, so nothing grows with the length of a chain.
+    """
+    t = Steps(steps.sparkSession, "chains")
+    cur = steps.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    cur = t.save(cur.withColumn("_d", _digest(value)))
+    most = cur.agg(F.max("_n")).first()[0] or 0
+    reach = 1
+    while reach < most:
+        before = cur.select(*keys, (F.col("_n") + reach).alias("_n"), F.col("_d").alias("_b"))
+        cur = t.save(cur.join(before, [*keys, "_n"], "left").withColumn("_d", F.when(F.col("_b").isNotNull(), _digest("_b", "_d")).otherwise(F.col("_d"))).select(*cur.columns))
+        reach *= 2
+    return cur.withColumnRenamed("_d", name).drop("_n")
+
+
 def prefix_nodes(paths: DataFrame, route: str, seq: str, action: str) -> DataFrame:
     """paths with `node`, the content of the route up to and with the step, and `next_node`."""
     order = Window.partitionBy(route).orderBy(seq)
@@ -26,6 +49,86 @@ def policy_graph(paths: DataFrame, route: str, seq: str, action: str, weight: st
     return n.groupBy("node").agg(F.first("_depth").cast("long").alias("depth"), F.count("*").alias("routes"), F.sum(weight).alias("support"), F.count_distinct("next_node").alias("branches"))
 
 
+def merged_policy(steps: DataFrame, keys: list[str], route: str, seq: str, state: list[str], action: str, cost: str, selected: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, branches) of the graph that routes make when equal states are one node, so those that part may meet again.
+
+    steps: (keys..., route, seq, state..., action, cost, selected), a row for each state of a
+    route; action is the one that led there, null for its first. nodes: (keys..., node, depth,
+    terminal, routes, outgoing); two outgoing branches or more make a decision point. branches:
+    (keys..., branch, from_node, to_node, action, routes, cost, selected, needs_review): cost
+    is the least of the routes that use it, and one that no selected route uses has to be
+    looked at again before it is taken.
+    """
+    order = Window.partitionBy(*keys, route).orderBy(seq)
+    s = steps.withColumn("node", _digest(*state)).withColumn("_from", F.lag("node").over(order)).withColumn("_last", F.lead(seq).over(order).isNull())
+    s = s.withColumn("_depth", F.row_number().over(order) - 1)
+    used = s.where(F.col("_from").isNotNull()).withColumn("branch", _digest("_from", action, "node"))
+    branches = used.groupBy(*keys, "branch").agg(F.first("_from").alias("from_node"), F.first("node").alias("to_node"), F.first(action).alias("action"), F.count_distinct(route).alias("routes"), F.min(cost).alias("cost"), F.max(selected).alias("selected"))
+    branches = branches.withColumn("needs_review", ~F.col("selected"))
+    out = branches.groupBy(*keys, F.col("from_node").alias("node")).agg(F.count("*").alias("outgoing"))
+    nodes = s.groupBy(*keys, "node").agg(F.min("_depth").cast("long").alias("depth"), F.max("_last").alias("terminal"), F.count_distinct(route).alias("routes"))
+    return nodes.join(out, [*keys, "node"], "left").na.fill(0, ["outgoing"]), branches
+
+
+def branch_support(steps: DataFrame, keys: list[str], route: str, seq: str, state: list[str], action: str, outcomes: DataFrame, order: list[str]) -> DataFrame:
+    """(keys..., branch, support): where a node has several branches each member's weight goes to the best of them, in equal parts among equals.
+
+    A branch is as good for a member as the best of the routes that use it. outcomes: (keys..., route,
+    member, weight, the columns of `order`, least first, null last).
+    """
+    w = Window.partitionBy(*keys, route).orderBy(seq)
+    s = steps.withColumn("node", _digest(*state)).withColumn("_from", F.lag("node").over(w)).where("_from is not null")
+    used = s.select(*keys, F.col(route).alias("route"), "_from", _digest("_from", action, "node").alias("branch")).distinct()
+    worth = F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"{c}_none"), F.col(c))))
+    won = used.join(outcomes.withColumnRenamed(route, "route"), [*keys, "route"]).groupBy(*keys, "_from", "branch", "member").agg(F.min(worth).alias("_w"), F.first("weight").alias("weight"))
+    best = Window.partitionBy(*keys, "_from", "member")
+    won = won.withColumn("_top", F.min("_w").over(best)).where(F.col("_w") == F.col("_top"))
+    return won.withColumn("_n", F.count("*").over(best)).groupBy(*keys, "branch").agg(F.sum(F.col("weight") / F.col("_n")).alias("support"))
+
+
+def shared_endings(steps: DataFrame, keys: list[str], route: str, seq: str, action: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, branches) of the smallest graph in which each route is a way from the root to the end.
+
+    Nodes are what may still follow: routes that go on alike share the rest, also where they
+    have come by different ways. nodes: (keys..., node, height, routes, outgoing), the root has
+    every route. branches: (keys..., from_node, action, to_node, routes).
+
+    Built from the ends up, one round for each step of the longest route: a node is named by
+    the actions and names of what follows it.
+    """
+    t = Steps(steps.sparkSession, "endings")
+    by = [*keys, "prefix"]
+    named = chain_names(steps, [*keys, route], F.col(seq), action, "prefix")
+    order = Window.partitionBy(*keys, route).orderBy(seq)
+    tree = t.save(named.select(*keys, F.col(route).alias("route"), F.col(action).alias("action"), "prefix", F.coalesce(F.lag("prefix").over(order), F.lit("")).alias("parent"), F.row_number().over(order).alias("depth")))
+    edges = tree.groupBy(*by).agg(F.first("parent").alias("parent"), F.first("action").alias("action"), F.first("depth").alias("depth"), F.count_distinct("route").alias("routes"))
+    edges = t.save(edges)
+    ends = t.save(tree.groupBy(*keys, "route").agg(F.max_by("prefix", "depth").alias("prefix")).select(*by).distinct().withColumn("ends", F.lit(True)))
+    most = edges.agg(F.max("depth")).first()[0] or 0
+    below, levels = None, []
+    for depth in range(most, -1, -1):
+        here = edges.where(F.col("depth") == depth).select(*by) if depth else edges.select(*keys, F.lit("").alias("prefix")).distinct()
+        if below is None:
+            level = here.withColumns({"_follow": F.lit(None).cast("array<struct<action:string,node:string>>"), "height": F.lit(0).cast("long")})
+        else:
+            after = below.groupBy(*keys, F.col("parent").alias("prefix")).agg(F.sort_array(F.collect_list(F.struct(F.col("action").cast("string").alias("action"), "node"))).alias("_follow"), (F.max("height") + 1).alias("height"))
+            level = here.join(after, by, "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
+        level = level.join(ends, by, "left")
+        level = t.save(level.select(*by, _digest(F.to_json("_follow"), F.coalesce("ends", F.lit(False))).alias("node"), "height"))
+        levels.append(level)
+        below = edges.where(F.col("depth") == depth).join(level, by)
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    every = t.save(every)
+    used = tree.select(*keys, "route", "prefix").unionByName(tree.select(*keys, "route", F.lit("").alias("prefix")).distinct()).join(every, by)
+    ways = tree.join(every.select(*by, F.col("node").alias("to_node")), by).join(every.select(*keys, F.col("prefix").alias("parent"), F.col("node").alias("from_node")), [*keys, "parent"])
+    branches = ways.groupBy(*keys, "from_node", "action", "to_node").agg(F.count_distinct("route").alias("routes"))
+    out = branches.groupBy(*keys, F.col("from_node").alias("node")).agg(F.count("*").alias("outgoing"))
+    nodes = used.groupBy(*keys, "node").agg(F.max("height").alias("height"), F.count_distinct("route").alias("routes")).join(out, [*keys, "node"], "left").na.fill(0, ["outgoing"])
+    return nodes, branches
+
+
 def root_paths(nodes: DataFrame, node: str = "id", parent: str = "parent", rounds: int = 40) -> DataFrame:
     """(id, root, depth) of every node, by doubling the reach of parent pointers: log2(depth) joins.
 
