@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.geodesy import EARTH_RADIUS_NM, angle_between, norm
+from tidemark.functions.geodesy import EARTH_RADIUS_NM, angle_between, cross, dot, let, norm
 
 from .shared import Steps
 
@@ -15,13 +15,16 @@ MAX_LEVEL = 8
 
 
 def _unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x / norm(v))
+    return let(v, lambda w: F.transform(w, lambda x: x / norm(w)))
 
 
-def icosphere(spark: SparkSession, level: int) -> DataFrame:
-    """Faces (face, a, b, c unit vectors, counter-clockwise) of an icosahedron split `level` times: 20 * 4**level rows."""
-    if not 0 <= level <= MAX_LEVEL:
-        raise ValueError(f"level must be 0 to {MAX_LEVEL}")
+def midpoint(p: Column | str, q: Column | str) -> Column:
+    """The middle of an arc."""
+    return _unit(F.zip_with(p, q, lambda x, y: x + y))
+
+
+def _seeds() -> list[tuple[list[float], list[float], list[float]]]:
+    """The faces of an icosahedron, counter-clockwise, two corners at the poles."""
     z, r = 1 / math.sqrt(5), 2 / math.sqrt(5)
     ring = lambda k, up: [r * math.cos(math.radians(36 * k)), r * math.sin(math.radians(36 * k)), z if up else -z]
     north, south = [0.0, 0.0, 1.0], [0.0, 0.0, -1.0]
@@ -29,15 +32,66 @@ def icosphere(spark: SparkSession, level: int) -> DataFrame:
     for k in range(0, 10, 2):
         u, u2, d, d2 = ring(k, True), ring(k + 2, True), ring(k + 1, False), ring(k + 3, False)
         rows += [(north, u, u2), (u, d, u2), (u2, d, d2), (south, d2, d)]
-    df = spark.createDataFrame([(i, *f) for i, f in enumerate(rows)], "face long, a array<double>, b array<double>, c array<double>")
-    mid = lambda p, q: _unit(F.zip_with(p, q, lambda x, y: x + y))
+    return rows
+
+
+#: Corners of the four faces that one is split into, by their names.
+_FOUR = (("a", "ab", "ca"), ("ab", "b", "bc"), ("ca", "bc", "c"), ("ab", "bc", "ca"))
+
+
+def split_faces(faces: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """(keys..., face, a, b, c): the four faces of each face."""
+    df = faces.select(*keys, "face", "a", "b", "c", midpoint("a", "b").alias("ab"), midpoint("b", "c").alias("bc"), midpoint("c", "a").alias("ca"))
+    four = F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(s).alias("c")) for p, q, s in _FOUR))
+    df = df.select(*keys, "face", F.posexplode(four).alias("k", "f"))
+    return df.select(*keys, (F.col("face") * 4 + F.col("k")).alias("face"), "f.a", "f.b", "f.c")
+
+
+def icosphere(spark: SparkSession, level: int) -> DataFrame:
+    """Faces (face, a, b, c unit vectors, counter-clockwise) of an icosahedron split `level` times: 20 * 4**level rows."""
+    if not 0 <= level <= MAX_LEVEL:
+        raise ValueError(f"level must be 0 to {MAX_LEVEL}")
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(_seeds())], "face long, a array<double>, b array<double>, c array<double>")
     for _ in range(level):
-        df = df.select("face", "a", "b", "c", mid("a", "b").alias("ab"), mid("b", "c").alias("bc"), mid("c", "a").alias("ca"))
-        four = F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.col(s).alias("c")) for p, q, s in (("a", "ab", "ca"), ("ab", "b", "bc"), ("ca", "bc", "c"), ("ab", "bc", "ca"))))
-        df = df.select("face", F.posexplode(four).alias("k", "f")).select((F.col("face") * 4 + F.col("k")).alias("face"), "f.a", "f.b", "f.c")
+        df = split_faces(df)
     return df
 
 
+def face_at(v: Column, level: int, slack: float = 1e-12) -> Column:
+    """struct(face, a, b, c): the first face of a level that holds a unit vector, found from the icosahedron downwards.
+
+    An expression of one row: no table of faces is joined or sent anywhere.
+    """
+    vector = lambda x: "array(" + ", ".join(f"{float(n)!r}D" for n in x) + ")"
+    seeds = F.expr("array(" + ", ".join(f"named_struct('face', {i}L, 'a', {vector(a)}, 'b', {vector(b)}, 'c', {vector(c)})" for i, (a, b, c) in enumerate(_seeds())) + ")")
+    side = lambda p, q: dot(cross(p, q), v)
+    inside = lambda f: F.least(side(f["a"], f["b"]), side(f["b"], f["c"]), side(f["c"], f["a"]))
+
+    def held(faces: Column) -> Column:
+        # rounding may leave a point on an edge outside of all; then the face that it misses least has it
+        first = F.get(F.filter(faces, lambda f: inside(f) >= -slack), F.lit(0))
+        return F.coalesce(first, F.element_at(F.array_sort(F.transform(faces, lambda f: F.struct(inside(f).alias("d"), f.alias("f")))), -1)["f"])
+
+    def down(f: Column, _) -> Column:
+        def four(m: Column) -> Column:
+            at = lambda x: f[x] if len(x) == 1 else m[x]
+            return held(F.array(*(F.struct((f["face"] * 4 + k).alias("face"), at(p).alias("a"), at(q).alias("b"), at(s).alias("c")) for k, (p, q, s) in enumerate(_FOUR))))
+
+        return let(F.struct(*(midpoint(f[x[0]], f[x[1]]).alias(x) for x in ("ab", "bc", "ca"))), four)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(level)), held(seeds), down) if level else held(seeds)
+
+
+def nearest_vertex(v: Column, level: int) -> Column:
+    """struct(cell, x): the nearest vertex of a level; its triangles are acute, so it is a corner of the face that holds the point."""
+
+    def pick(f: Column) -> Column:
+        one = lambda x: F.struct((-F.round(dot(f[x], v), 12)).alias("d"), vertex_id(f[x]).alias("cell"), f[x].alias("x"))
+        return F.array_min(F.array(one("a"), one("b"), one("c")))
+
+    return let(let(face_at(v, level), pick), lambda n: F.struct(n["cell"].alias("cell"), n["x"].alias("x")))
+
+
 def vertex_id(v: Column | str) -> Column:
     """A number for a vertex that depends on its rounded place alone."""
     v = F.col(v) if isinstance(v, str) else v

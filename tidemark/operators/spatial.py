@@ -71,13 +71,15 @@ def distance_to_path(rows: DataFrame, key: str, segments: DataFrame, v: str = "v
     return rows.select(key, v).join(small(segments), F.lit(True)).groupBy(key).agg(F.min(d).alias("radians"))
 
 
-def corridor_faces(faces: DataFrame, route: DataFrame, width_nm: float) -> DataFrame:
-    """The faces (face, a, b, c unit vectors) that come within a width of a route (arcs a, b): by centre and radius of each."""
+def corridor_faces(faces: DataFrame, route: DataFrame, width_nm, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """The faces (keys..., face, a, b, c unit vectors) that come within a width of the route (keys..., arcs a, b) of their keys: by centre and radius of each."""
     total = F.zip_with(F.zip_with("a", "b", lambda x, y: x + y), "c", lambda x, y: x + y)
     f = faces.withColumn("_t", total).withColumn("_m", F.transform("_t", lambda x: x / norm(F.col("_t")))).drop("_t")
     f = f.withColumn("_r", F.greatest(*(angle_between(F.col("_m"), F.col(x)) for x in "abc")))
-    near = distance_to_path(f.select("face", F.col("_m").alias("v")), "face", route)
-    return f.join(near, "face").where(F.col("radians") <= width_nm / EARTH_RADIUS_NM + F.col("_r")).drop("_m", "_r", "radians")
+    arcs = route.select(*keys, F.col("a").alias("_p"), F.col("b").alias("_q"))
+    seen = f.select(*keys, "face", "_m").join(small(arcs), keys if keys else F.lit(True))
+    near = seen.groupBy(*keys, "face").agg(F.min(distance_to_arc(F.col("_m"), F.col("_p"), F.col("_q"))).alias("radians"))
+    return f.join(near, [*keys, "face"]).where(F.col("radians") <= c(width_nm) / EARTH_RADIUS_NM + F.col("_r")).drop("_m", "_r", "radians")
 
 
 def planar_points(points: DataFrame, keys: list[str]) -> DataFrame:
