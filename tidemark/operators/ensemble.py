@@ -73,17 +73,60 @@ def audits(elapsed: str = "elapsed", weight: str = "weight") -> list[Column]:
     ]
 
 
+def _grown(parts: Column, x: Column) -> Column:
+    """Doubles that don't overlap, least first, whose sum is exactly that of `parts` and x."""
+
+    def add(s: Column, p: Column) -> Column:
+        total = s["q"] + p
+        back = total - s["q"]
+        lost = (s["q"] - (total - back)) + (p - back)
+        return F.struct(total.alias("q"), F.when(lost != 0, F.array_append(s["h"], lost)).otherwise(s["h"]).alias("h"))
+
+    start = F.struct(x.alias("q"), F.array().cast("array<double>").alias("h"))
+    return F.aggregate(parts, start, add, lambda s: F.when(s["q"] != 0, F.array_append(s["h"], s["q"])).otherwise(s["h"]))
+
+
+def exact_sum(values: Column) -> Column:
+    """The exact sum of an array of doubles, as doubles that don't overlap, least first; none for a sum of 0."""
+    return F.aggregate(values, F.array().cast("array<double>"), _grown)
+
+
+def _first_to_reach(members: Column, n: int, d: int) -> Column:
+    """Number (from 1) of the first member at which the weights so far, times d, reach all of them, times n: settled on exact sums."""
+    times = lambda w, k: F.array_repeat(w, k)
+    short = exact_sum(F.flatten(F.transform(members, lambda m: times(-m["weight"], n))))
+
+    def step(s: Column, m: Column) -> Column:
+        parts = F.aggregate(times(m["weight"], d), s["parts"], _grown)
+        there = F.coalesce(F.element_at(F.when(F.size(parts) > 0, parts), -1) > 0, F.lit(True))
+        return F.struct(parts.alias("parts"), (s["k"] + 1).alias("k"), F.coalesce(s["hit"], F.when(there, s["k"] + 1)).alias("hit"))
+
+    start = F.struct(short.alias("parts"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("hit"))
+    return F.aggregate(members, start, step, lambda s: s["hit"])
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], shares: dict[str, tuple[int, int]], elapsed: str = "elapsed", weight: str = "weight", member: str = "member") -> DataFrame:
     """Weighted nearest-rank quantiles: the first elapsed time, members that did not arrive last, at which the
-    weights so far reach the share (numerator, denominator) of all. Infinite where that member did not arrive.
+    weights so far reach the share (numerator, denominator, small integers) of all. Infinite where that member did not arrive.
 
-    Weights are summed as exact decimals.
+    Sums of weights are exact: where rounding could decide (weights that are no whole numbers
+    and a sum close to the share) they are added without error, of any size side by side. The
+    members of one group are in one row there.
     """
-    exact = F.col(weight).cast("decimal(28,10)")
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(elapsed), member)
-    w = rows.withColumn("_so_far", F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum(exact).over(Window.partitionBy(*keys)))
-    w = w.withColumn("_rank", F.row_number().over(order)).withColumn("_value", F.coalesce(F.col(elapsed).cast("double"), F.lit(float("inf"))))
-    return w.groupBy(*keys).agg(*(F.min_by("_value", F.when(F.col("_so_far") * d >= F.col("_all") * n, F.col("_rank"))).alias(name) for name, (n, d) in shares.items()))
+    every = Window.partitionBy(*keys)
+    x = F.col(weight).cast("double")
+    w = rows.withColumns({"_so_far": F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum(x).over(every), "_rank": F.row_number().over(order), "_value": F.coalesce(F.col(elapsed).cast("double"), F.lit(float("inf")))})
+    whole = F.min((x == F.floor(x)).cast("int")).over(every) * (F.col("_all") < 2**46).cast("int")
+    doubt = F.lit(False)
+    for n, d in shares.values():
+        doubt = doubt | (F.abs(F.col("_so_far") * d - F.col("_all") * n) <= F.col("_all") * 1e-9)
+    w = w.withColumn("_doubt", F.max(((whole == 0) & doubt).cast("int")).over(every) == 1)
+    plain = {name: F.min_by("_value", F.when(F.col("_so_far") * d >= F.col("_all") * n, F.col("_rank"))) for name, (n, d) in shares.items()}
+    held = F.sort_array(F.collect_list(F.when(F.col("_doubt"), F.struct("_rank", x.alias("weight"), F.col("_value").alias("value")))))
+    g = w.groupBy(*keys).agg(*(v.alias(name) for name, v in plain.items()), F.max("_doubt").alias("_doubt"), held.alias("_members"))
+    exact = lambda n, d: F.get(F.col("_members"), _first_to_reach(F.col("_members"), n, d) - 1)["value"]
+    return g.select(*keys, *(F.when(F.col("_doubt"), exact(n, d)).otherwise(F.col(name)).alias(name) for name, (n, d) in shares.items()))
 
 
 def rival_score(rows: DataFrame, rival: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:

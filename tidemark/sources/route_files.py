@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import format_utc
 
 
+#: How a GPX 1.1 file begins.
+GPX_HEAD = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1">'
+
+
 def finite_only(routes: DataFrame, columns: list[str]) -> DataFrame:
     """routes, with an error where a number isn't finite."""
     bad = F.lit(False)
@@ -37,10 +41,58 @@ def isochrone_geojson(points: DataFrame) -> DataFrame:
     return g.select("request_id", "time", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(format_utc("time").alias("time")).alias("properties"), geometry.alias("geometry"))).alias("json"))
 
 
+def _whole(line: Column, closed: Column) -> Column:
+    """A line as it is written: closed ones and lone points end where they begin."""
+    return F.when(closed | (F.size(line) == 1), F.concat(line, F.slice(line, 1, 1))).otherwise(line)
+
+
+def _parts(lines: DataFrame, fields: list[Column]) -> DataFrame:
+    """(request_id, time, kept, parts): for each isochrone its parts in order, each an array of its points."""
+    point = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.struct(*fields).alias("p")))), lambda x: x["p"])
+    good = finite_only(lines, ["lat", "lon"])
+    part = good.groupBy("request_id", "time", "part").agg(point.alias("line"), F.max("closed").alias("closed"), F.max("kept").alias("kept"))
+    part = part.withColumn("line", _whole(F.col("line"), F.col("closed")))
+    return part.groupBy("request_id", "time").agg(F.max("kept").alias("kept"), F.transform(F.sort_array(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]).alias("parts"))
+
+
+def isochrones_geojson(lines: DataFrame) -> DataFrame:
+    """(request_id, json): a FeatureCollection with a feature for each time.
+
+    lines: (request_id, time, part, seq, lat, lon, closed, kept), as split_at_antimeridian gives
+    them; kept: how many points the isochrone has. One part is a LineString, several are a
+    MultiLineString.
+    """
+    g = _parts(lines, [F.col("lon").alias("x"), F.col("lat").alias("y")])
+    pairs = lambda line: F.transform(line, lambda p: F.array(p["x"], p["y"]))
+    many = F.size("parts") != 1
+    text = F.when(many, F.to_json(F.transform("parts", pairs))).otherwise(F.to_json(pairs(F.get("parts", F.lit(0)))))
+    kind = F.when(many, F.lit("MultiLineString")).otherwise(F.lit("LineString"))
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"time":"'), format_utc("time"), F.lit('","retainedPointCount":'), F.col("kept").cast("string"), F.lit('},"geometry":{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}}"))
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("time", feature.alias("f")))), lambda x: x["f"]), ",")
+    return g.groupBy("request_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), every, F.lit("]}")).alias("json"))
+
+
+def isochrones_gpx(lines: DataFrame, about: str = "", started: Column | None = None) -> DataFrame:
+    """(request_id, gpx): GPX 1.1 with a track for each time and a segment for each part of its line; lines as isochrones_geojson takes them.
+
+    about: the description of the file. started: its time, by default that of the first isochrone.
+    """
+    g = _parts(lines, [coordinate("lat").alias("lat"), coordinate("lon").alias("lon"), format_utc("time").alias("t")])
+    point = lambda p: F.concat(F.lit('<trkpt lat="'), p["lat"], F.lit('" lon="'), p["lon"], F.lit('"><time>'), p["t"], F.lit("</time></trkpt>"))
+    segments = F.array_join(F.transform("parts", lambda line: F.concat(F.lit("<trkseg>"), F.array_join(F.transform(line, point), ""), F.lit("</trkseg>"))), "")
+    track = F.concat(F.lit("<trk><name>isochrone "), format_utc("time"), F.lit("</name><desc>Retained frontier with "), F.col("kept").cast("string"), F.lit(" points</desc>"), segments, F.lit("</trk>"))
+    every = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("time", track.alias("t")))), lambda x: x["t"]), "")
+    first = format_utc("_first") if started is None else format_utc(started)
+    g = g.groupBy("request_id").agg(every.alias("_t"), F.min("time").alias("_first"))
+    head = F.concat(F.lit(GPX_HEAD + "<metadata><name>isochrones</name><desc>"), xml_escape(F.lit(about)), F.lit("</desc><time>"), first, F.lit("</time></metadata>"))
+    return g.select("request_id", F.concat(head, F.col("_t"), F.lit("</gpx>")).alias("gpx"))
+
+
 def xml_escape(x: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    """Text for XML: the five marks as entities; an error for a character that XML has no place for."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+    return F.when(x.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"), F.raise_error(F.lit("a character that XML can't hold"))).otherwise(x)
 
 
 def coordinate(x: str) -> Column:
@@ -53,5 +105,4 @@ def route_gpx(routes: DataFrame, name: str = "route") -> DataFrame:
     point = F.concat(F.lit('<trkpt lat="'), coordinate("lat"), F.lit('" lon="'), coordinate("lon"), F.lit('"><time>'), format_utc("time"), F.lit("</time></trkpt>"))
     p = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", point.alias("x")))), lambda s: s["x"]), "")
     g = finite_only(routes, ["lat", "lon"]).groupBy("request_id").agg(p.alias("points"))
-    head = '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'
-    return g.select("request_id", F.concat(F.lit(head), xml_escape(F.lit(name)), F.lit("</name><trkseg>"), F.col("points"), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    return g.select("request_id", F.concat(F.lit(GPX_HEAD + "<trk><name>"), xml_escape(F.lit(name)), F.lit("</name><trkseg>"), F.col("points"), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
