@@ -178,10 +178,10 @@ class Field:
 
 
 def blend_directions(a, b, share) -> Column:
-    """Direction between two directions, blended as unit vectors."""
+    """Direction between two directions, blended as unit vectors; the first one where they cancel."""
     e = F.sin(F.radians(c(a))) * (1 - c(share)) + F.sin(F.radians(c(b))) * c(share)
     n = F.cos(F.radians(c(a))) * (1 - c(share)) + F.cos(F.radians(c(b))) * c(share)
-    return F.pmod(F.degrees(F.atan2(e, n)), F.lit(360.0))
+    return F.pmod(F.when(e * e + n * n < 1e-24, c(a)).otherwise(F.degrees(F.atan2(e, n))), F.lit(360.0))
 
 
 def mosaic_conflicts(tiles: DataFrame, tolerance: float = 1e-6) -> DataFrame:

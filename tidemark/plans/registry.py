@@ -15,17 +15,20 @@ from tidemark.functions import geodesy as G
 from tidemark.functions import sailing as S
 from tidemark.functions import text as X
 from tidemark.functions.polar import Polar
+from tidemark.operators import contours as C
 from tidemark.operators import ensemble as E
 from tidemark.operators import environment as V
 from tidemark.operators import exclusions as N
 from tidemark.operators import front as D
 from tidemark.operators import interpolation as I
 from tidemark.operators import lattice as L
+from tidemark.operators import lattice_search as T
 from tidemark.operators import policy as P
 from tidemark.operators import ranking as K
 from tidemark.operators import spatial as Z
 from tidemark.operators.ensemble_search import ensemble_search
 from tidemark.operators.frontier import Options, search
+from tidemark.operators.transition import target_legs as fixed_legs
 from tidemark.sources import route_files
 
 from . import sql as Q
@@ -243,7 +246,7 @@ _EVT = f"(SELECT k, lat, lon, (floor(e / 21600e0) + dt)::BIGINT AS t, CASE WHEN
 def wind_trilinear(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     rows = _t(spark, d, "events").select(k.alias("k"), F.date_trunc("second", "ts").alias("ts"), _lat(k).alias("lat"), _lon(k).alias("lon"))
-    got = I.trilinear(rows, "k", _wind(spark), _SPEC, ["u", "v"])
+    got = I.Field(_wind(spark), _SPEC, ["u", "v"]).at(rows, ["k"])
     return got.select("k", _r(F.col("u"), "u"), _r(F.col("v"), "v"), "status")
 
 
@@ -260,10 +263,10 @@ _BE = "(sin(radians(h)) * (1 - t) + sin(radians(h2)) * t)"
 _BN = "(cos(radians(h)) * (1 - t) + cos(radians(h2)) * t)"
 
 
-@query(f"SELECT k, {Q.r(Q.norm(f'degrees(atan2({_BE}, {_BN}))'), 'direction', 5)}, {Q.r('u + t * (v - u)', 'lerp')} FROM (SELECT *, (k % 7) / 8e0 AS t FROM {_UV} WHERE (h - h2) % 180 <> 0)")
+@query(f"SELECT k, {Q.r(f'CASE WHEN power({_BE}, 2) + power({_BN}, 2) < 1e-24 THEN h ELSE {Q.norm(f'degrees(atan2({_BE}, {_BN}))')} END % 360', 'direction', 5)}, {Q.r('u + t * (v - u)', 'lerp')} FROM (SELECT *, (k % 7) / 8e0 AS t FROM {_UV})")
 def direction_vector_blend(spark: SparkSession, d: str) -> DataFrame:
-    df = _uv(spark, d).where("(h - h2) % 180 <> 0").withColumn("t", F.col("k") % 7 / 8.0)
-    return df.select("k", _r(I.blend_directions("h", "h2", "t"), "direction", 5), _r(F.col("u") + F.col("t") * (F.col("v") - F.col("u")), "lerp"))
+    df = _uv(spark, d).withColumn("t", F.col("k") % 7 / 8.0)
+    return df.select("k", _r(I.blend_directions("h", "h2", "t") % 360, "direction", 5), _r(F.col("u") + F.col("t") * (F.col("v") - F.col("u")), "lerp"))
 
 
 def _tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -397,12 +400,12 @@ def alignment_check(spark: SparkSession, d: str) -> DataFrame:
     return E.alignment(n, ["n_regionkey", "zero"])
 
 
-@query("SELECT coalesce(a.k, b.k) AS member, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'repeated' ELSE 'contradictory' END AS fault FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n, bool_or(o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND o_orderkey % 2 = 1) AS bad FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1) b ON a.k = b.k WHERE b.k IS NULL OR a.k IS NULL OR b.n > 1 OR b.bad")
+@query("SELECT coalesce(a.k, b.k) AS member, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'unknown' WHEN b.n > 1 THEN 'repeated' ELSE 'contradictory' END AS fault FROM (SELECT c_custkey AS k FROM customer) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n, bool_or(o_orderkey % 3 = 0 OR o_orderkey % 3 = 1 AND o_orderkey % 2 = 1) AS bad FROM orders GROUP BY 1) b ON a.k = b.k WHERE b.k IS NULL OR a.k IS NULL OR b.n > 1 OR b.bad")
 def outcome_faults(spark: SparkSession, d: str) -> DataFrame:
     """Of every third order the arrival lacks its time; of every third one that failed each odd one has a time."""
     k = F.col("o_orderkey")
     rank = F.when(k % 3 == 1, 3).otherwise(0)
-    rows = _t(spark, d, "orders").where(k % 7 == 0).select(F.lit(0).alias("run"), F.col("o_custkey").alias("member"), rank.alias("class_rank"), F.when((k % 3 == 2) | (k % 3 == 1) & (k % 2 == 1), 1.0).alias("elapsed"))
+    rows = _t(spark, d, "orders").select(F.lit(0).alias("run"), F.col("o_custkey").alias("member"), rank.alias("class_rank"), F.when((k % 3 == 2) | (k % 3 == 1) & (k % 2 == 1), 1.0).alias("elapsed"))
     members = _t(spark, d, "customer").select(F.lit(0).alias("run"), F.col("c_custkey").alias("member"))
     return E.outcome_faults(rows, members, ["run"]).select("member", "fault")
 
@@ -568,7 +571,8 @@ def nearest_cell(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def containing_face(spark: SparkSession, d: str) -> DataFrame:
     """Face of a 320-face icosphere each customer lies in."""
-    return Z.containing_face(_customers(spark, d).withColumn("v", G.unit_vector("lat", "lon")), "k", L.icosphere(spark, 2))
+    v = _customers(spark, d).select("k", G.unit_vector("lat", "lon").alias("v"))
+    return v.select("k", L.face_at(F.col("v"), 2)["face"].alias("face"))
 
 
 @query("SELECT q.vec_id, arg_min(c.label, (-round(d, 9), c.label)) AS label FROM (SELECT q.vec_id, c.label, sum(q.x::DOUBLE * c.x) AS d FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) q JOIN (SELECT label, p, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY label, p) c ON q.p = c.p GROUP BY q.vec_id, c.label) q, LATERAL (SELECT q.label AS label) c GROUP BY q.vec_id")
@@ -860,6 +864,111 @@ def ensemble_route(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.join(courses, "request_id").select("request_id", "member", "elapsed_s", _r(F.col("mean_s"), "mean_s"))
 
 
+# --- legs to a place, the lattice in time, policies that meet again, lines -------------------
+
+#: A boat of 4 knots into the wind and 12 before it at 40 knots of wind, less in proportion.
+_STRAIGHT = Polar([0.0, 180.0], [0.0, 40.0], [[0.0, 4.0], [0.0, 12.0]])
+_LEG_SQL = f"""
+WITH l AS (SELECT k, lat1, lon1, lat2, lon2, (k * 17) % 360 + 0e0 AS h0, k % 3 - 1 AS s0, {Q.dist('lat1', 'lon1', 'lat2', 'lon2')} AS nm, {Q.bearing('lat1', 'lon1', 'lat2', 'lon2')} AS course FROM {_LEGS}),
+v AS (SELECT *, {Q.diff('course', '0e0')} AS angle, {Q.side('course', '0e0')} AS s1, 10 * 1.9438444924406048e0 / 40 * (4 + 8 * {Q.diff('course', '0e0')} / 180) AS kn FROM l),
+t AS (SELECT *, CASE WHEN s0 <> 0 AND s1 <> 0 AND s0 <> s1 THEN CASE WHEN ({Q.diff('h0', '0e0')} + angle) / 2 >= 90 THEN 300 ELSE 120 END ELSE 0 END AS lost FROM v)
+SELECT k, lost::BIGINT AS lost, (lost + ceil(nm / kn * 3600))::BIGINT AS seconds, {Q.r('kn', 'speed')}, {Q.r('course', 'heading', 5)}, CASE WHEN lost + ceil(nm / kn * 3600) > (k % 5 + 1) * 1000000 THEN 'duration_exhausted' END AS fault FROM t
+"""
+
+
+@query(_LEG_SQL)
+def target_legs(spark: SparkSession, d: str) -> DataFrame:
+    """Legs to fixed places in a steady northerly: heading, maneuver, time and what rules a leg out."""
+    noon, k = F.lit("2026-07-14 12:00:00").cast("timestamp"), F.col("k")
+    grid = spark.range(8).select(F.timestamp_seconds(F.unix_timestamp(noon) + F.floor(F.col("id") / 4) * 86400 * 365).alias("valid_time"), (F.floor(F.col("id") / 2) % 2).cast("int").alias("j"), (F.col("id") % 2).cast("int").alias("i"), F.lit(0.0).alias("u"), F.lit(-10.0).alias("v"))
+    wind = I.Field(grid, I.GridSpec(-90.0, -180.0, 180.0, 180.0, 2, 2, wraps=True), ["u", "v"])
+    legs = _legs(spark, d).select("k", F.col("lat1").alias("lat"), F.col("lon1").alias("lon"), F.col("lat2").alias("to_lat"), F.col("lon2").alias("to_lon"), noon.alias("ts"), (k * 17 % 360).cast("double").alias("heading"), (k % 3 - 1).cast("int").alias("side"), F.timestamp_seconds(F.unix_timestamp(noon) + (k % 5 + 1) * 1000000).alias("until"))
+    got = fixed_legs(legs, ["k"], wind, _STRAIGHT, Options(tack_s=120, gybe_s=300))
+    return got.select("k", "lost", "seconds", _r(F.col("speed"), "speed"), _r(F.col("new_heading"), "heading", 5), "fault")
+
+
+@query()
+def lattice_time_route(spark: SparkSession, d: str) -> DataFrame:
+    """Fastest ways over a lattice for one request of each supplier, in a wind that fills in after twelve hours; waiting is allowed."""
+    noon = F.unix_timestamp(F.lit("2026-07-14 12:00:00").cast("timestamp"))
+    slices = spark.createDataFrame([(0, 0.5, -1.5), (12, -4.0, -6.0), (36, 3.0, -8.0), (120, 3.0, -8.0)], "h long, u double, v double")
+    cells = spark.range(9).select((F.col("id") % 3).cast("int").alias("i"), F.floor(F.col("id") / 3).cast("int").alias("j"))
+    grid = slices.join(F.broadcast(cells), F.lit(True)).select(F.timestamp_seconds(noon + F.col("h") * 3600).alias("valid_time"), "j", "i", "u", "v")
+    wind = I.Field(grid, I.GridSpec(-10.0, -10.0, 20.0, 20.0, 3, 3), ["u", "v"])
+    k = F.col("s_suppkey").cast("long")
+    requests = _t(spark, d, "supplier").select(k.alias("request_id"), (0.8 + k % 5 / 10.0).alias("lat"), (0.2 + k % 11 / 10.0).alias("lon"), (2.0 + k % 7 / 5.0).alias("to_lat"), (2.1 + k % 3 / 2.0).alias("to_lon"), F.timestamp_seconds(noon).alias("depart"))
+    lat, lon = L.position_of(L.midpoint("a", "b"))
+    leaves = L.icosphere(spark, 5).withColumn("level", F.lit(5)).where(lat.between(-4, 8) & lon.between(-4, 8))
+    _, summary = T.lattice_search(requests, T.lattice_links(leaves), T.connectors(requests, leaves, 5), wind, Polar.builtin(), Options(max_duration=72 * 3600, tack_s=120, gybe_s=60), 12 * 3600)
+    return summary.select("request_id", "completion", "elapsed", "settled")
+
+
+_STEPS = "(SELECT o_custkey % 50 AS g, o_custkey AS route, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderpriority || ' ' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, o_orderstatus AS action, o_custkey % 13 + 0e0 AS cost, o_custkey % 17 = 0 AS selected FROM orders)"
+_NODE = "sha256('[\"' || place || '\"]')"
+
+
+@query(
+    f"WITH s AS (SELECT *, {_NODE} AS node, lag({_NODE}) OVER w AS f FROM {_STEPS} WINDOW w AS (PARTITION BY route ORDER BY seq)) "
+    "SELECT g, f AS from_node, node AS to_node, action, count(DISTINCT route) AS routes, min(cost) AS cost, max(selected::INT)::BOOLEAN AS selected, NOT max(selected::INT)::BOOLEAN AS needs_review FROM s WHERE f IS NOT NULL GROUP BY g, f, node, action"
+)
+def policy_branches(spark: SparkSession, d: str) -> DataFrame:
+    """Branches of the graphs in which the states of many routes are shared, also behind different beginnings."""
+    c = F.col("o_custkey")
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    steps = _t(spark, d, "orders").select((c % 50).alias("g"), c.alias("route"), n.alias("seq"), F.concat_ws(" ", "o_orderpriority", n.cast("string")).alias("place"), F.col("o_orderstatus").alias("action"), (c % 13).cast("double").alias("cost"), (c % 17 == 0).alias("selected"))
+    return P.merged_policy(steps, ["g"], "route", "seq", ["place"], "action", "cost", "selected")[1].drop("branch")
+
+
+_TAILS = "WITH l AS (SELECT l_orderkey % 10 AS g, l_orderkey AS route, l_returnflag || l_partkey % 3 AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), w AS (SELECT g, route, list(a ORDER BY n) AS w FROM l GROUP BY ALL), p AS (SELECT g, route, w[:k] AS pre, w[k + 1:] AS tail FROM w, LATERAL (SELECT unnest(range(0, len(w) + 1)) AS k)), f AS (SELECT g, pre, list_sort(list_distinct(list(tail))) AS lang FROM p GROUP BY ALL)"
+
+
+@query(f"{_TAILS} SELECT g, height, routes, outgoing FROM (SELECT g, lang, list_max(list_transform(lang, lambda t: len(t)))::BIGINT AS height, len(list_distinct(list_filter(list_transform(lang, lambda t: t[1]), lambda x: x IS NOT NULL)))::BIGINT AS outgoing, count(DISTINCT route) AS routes FROM p JOIN f USING (g, pre) GROUP BY g, lang)")
+def policy_shared_endings(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the smallest graphs whose ways are what became of orders, line after line."""
+    act = F.concat("l_returnflag", (F.col("l_partkey") % 3).cast("string"))
+    steps = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 10).alias("g"), F.col("l_orderkey").alias("route"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"), act.alias("action"))
+    return P.shared_endings(steps, ["g"], "route", "seq", "action")[0].drop("node")
+
+
+_LINE = f"(SELECT c_nationkey AS nation, k AS n, lat, lon, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM {_CUST} WINDOW w AS (PARTITION BY c_nationkey ORDER BY k))"
+
+
+@query(f"""
+WITH e AS (SELECT *, {Q.wrap('lon2 - lon')} AS way, coalesce(abs(lon2 - lon) > 180, false) AS broken FROM {_LINE}),
+c AS (SELECT nation, n, broken, lat, lon, CASE WHEN way > 0 THEN 180e0 ELSE -180e0 END AS edge, way, lat2 FROM e),
+p AS (SELECT nation, n, 0 AS k, lat, lon, 0 AS start FROM e WHERE NOT (coalesce(abs(lon - lon0) > 180, false) AND abs(lon) = 180)
+  UNION ALL SELECT nation, n, 1, lat + coalesce((edge - lon) / nullif(way, 0), 1) * (lat2 - lat), edge, 0 FROM c WHERE broken
+  UNION ALL SELECT nation, n, 2, lat + coalesce((edge - lon) / nullif(way, 0), 1) * (lat2 - lat), -edge, 1 FROM c WHERE broken),
+q AS (SELECT *, sum(start) OVER (PARTITION BY nation ORDER BY n, k)::BIGINT AS part FROM p)
+SELECT nation, part, row_number() OVER (PARTITION BY nation, part ORDER BY n, k) - 1 AS seq, {Q.r('lat', 'lat')}, {Q.r('lon', 'lon')}, false AS closed FROM q
+""")
+def antimeridian_split(spark: SparkSession, d: str) -> DataFrame:
+    """A line through the customers of each nation, broken where it crosses the antimeridian."""
+    line = _customers(spark, d).select(F.col("c_nationkey").alias("nation"), F.col("k").alias("n"), "lat", "lon")
+    got = C.split_at_antimeridian(line, ["nation"], "n")
+    return got.select("nation", "part", "seq", _r(F.col("lat"), "lat"), _r(F.col("lon"), "lon"), "closed")
+
+
+@query(f"SELECT k, coalesce(sum(CASE WHEN gap > 20 THEN 1 END) OVER (PARTITION BY c_nationkey ORDER BY k), 0)::BIGINT AS chain FROM (SELECT *, sqrt(power(lon - lag(lon) OVER w, 2) + power(lat - lag(lat) OVER w, 2)) AS gap FROM {_CUST} WINDOW w AS (PARTITION BY c_nationkey ORDER BY k))")
+def point_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of each nation in chains without wide gaps."""
+    p = _customers(spark, d).withColumns({"x": F.col("lon"), "y": F.col("lat")})
+    return C.chains(p, ["c_nationkey"], ["k"], 10.0).select("k", "chain")
+
+
+@query(f"""
+WITH s AS (SELECT c_nationkey AS request_id, k % 3 AS h, k, lat, lon FROM {_CUST}),
+p AS (SELECT request_id, h, count(*) AS n, '<trkseg>' || string_agg('<trkpt lat="' || {_coord('lat')} || '" lon="' || {_coord('lon')} || '"><time>2026-07-14T1' || (2 + h) || ':00:00Z</time></trkpt>', '' ORDER BY k) || CASE WHEN count(*) = 1 THEN any_value('<trkpt lat="' || {_coord('lat')} || '" lon="' || {_coord('lon')} || '"><time>2026-07-14T1' || (2 + h) || ':00:00Z</time></trkpt>') ELSE '' END || '</trkseg>' AS seg FROM s GROUP BY ALL)
+SELECT request_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="tidemark" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>isochrones</name><desc>customers</desc><time>' || '2026-07-14T1' || (2 + min(h)) || ':00:00Z</time></metadata>' || string_agg('<trk><name>isochrone 2026-07-14T1' || (2 + h) || ':00:00Z</name><desc>Retained frontier with ' || n || ' points</desc>' || seg || '</trk>', '' ORDER BY h) || '</gpx>' AS gpx FROM p GROUP BY 1
+""")
+def isochrone_gpx(spark: SparkSession, d: str) -> DataFrame:
+    """Isochrones as GPX, a track for each time."""
+    time = F.timestamp_seconds(F.unix_timestamp(F.lit("2026-07-14 12:00:00").cast("timestamp")) + F.col("k") % 3 * 3600)
+    p = _customers(spark, d).select(F.col("c_nationkey").alias("request_id"), time.alias("time"), F.lit(0).cast("long").alias("part"), F.col("k").alias("seq"), "lat", "lon", F.lit(False).alias("closed"))
+    kept = p.groupBy("request_id", "time").agg(F.count("*").alias("kept"))
+    return route_files.isochrones_gpx(p.join(kept, ["request_id", "time"]), "customers")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fastest-route search seeded from supplier rows."""
     return beam_route(spark, sf_dir)
