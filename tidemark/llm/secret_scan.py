@@ -1,10 +1,12 @@
 """Secret scan: candidates judged by a random forest.
 
 Candidates are runs of at least MIN_RUN characters of [A-Za-z0-9+/_-] with a letter or
-digit, values of at least MIN_VALUE characters without spaces that are assigned to a
-name with a secret word in it, and private key blocks; candidates that overlap are one.
+digit, values of at least MIN_VALUE characters that are assigned to a name with a secret
+word in it (with spaces where they are quoted), passwords inside URLs, and blocks of armoured
+keys and certificates; candidates that overlap are one.
 A random forest on candidate length, character transitions, dictionary coverage, path
-and neighbouring words, trained from labelled findings, removes false positives. The
+and neighbouring words, trained from labelled findings, removes false positives: also
+data URIs, public keys, integrity hashes and ids in URLs. The
 forest is fitted with MLlib and scored next to the text, so no finding has to be joined
 back to its document.
 
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 
-MIN_RUN, MIN_VALUE = 16, 8
+MIN_RUN, MIN_VALUE = 16, 6
 #: Bytes before and behind a candidate in which neighbouring words are looked for.
-CONTEXT = 48
+CONTEXT = 96
 TREES, DEPTH = 40, 10
 #: Bound of the labelled findings that a forest is fitted on.
-FINDINGS = 6000
+FINDINGS = 9000
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x2B, 0x2F, 0x5F, 0x2D]] = True
@@ -50,10 +52,20 @@ PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_
 
 _NAME = re.compile(rb"(?i)(?:secret|token|passw|passphrase|pwd|api.?key|access.?key|private.?key|auth|credential)[a-z0-9_.\-]{0,20}[\"'`\]]{0,2}[ \t]{0,3}$")
 _VALUE = re.compile(rb"[=>]?[ \t]{0,3}(?:(?:bearer|basic|token)[ \t]+)?[\"'`]?([^\s\"'`]{%d,})" % MIN_VALUE, re.IGNORECASE)
-_KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
-_BLOCK_END = re.compile(rb"-----END [A-Z0-9 ]*PRIVATE KEY-----")
+_QUOTED = re.compile(rb"[=>]?[ \t]{0,3}([\"'`])([^\"'`\r\n]{%d,200})\1" % MIN_VALUE)
+_LOGIN = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/@:\"']{0,80}:([^\s/@\"']{4,200})@")
+_BLOCK = re.compile(rb"-----BEGIN [A-Z0-9 ]+-----")
+_BLOCK_END = re.compile(rb"-----END [A-Z0-9 ]+-----")
 
-FEATURES = ["length", "class_changes", "digit_share", "upper_share", "letter_share", "entropy", "hex_only", "digits_only", "vowel_follows", "pair_likelihood", "dictionary_share", "separators", "other_signs", "known_prefix", "key_block", "path_test", "secret_word", "other_word", "assigned", "quoted"]
+#: Whole keys of well-known services.
+_FORMS = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_\w{60,}|AIza[\w-]{35}|xox[abps]-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{20,}|glpat-[\w-]{20}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}")
+_IN_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]*$")
+_DATA = re.compile(r"(?i)(?:data:[\w./+;=-]*|base64),\s*$")
+_PUBLIC = re.compile(r"(?i)(?:ssh-(?:rsa|ed25519|dss)|ecdsa-[\w-]+|public.?key\S{0,4}|integrity\S{0,3}|checksum\S{0,3}|digest\S{0,3})\s*[\"']?\s*$")
+_SUM = re.compile(r"sha(?:1|256|384|512)-[A-Za-z0-9+/]+")
+_PASS = re.compile(r"(?i)(?:passw|passphrase|pwd)[\w.-]*[\"'`\]]*\s*[:=]?[=>]?\s*[\"'`]?$")
+
+FEATURES = ["length", "class_changes", "digit_share", "upper_share", "letter_share", "entropy", "hex_only", "digits_only", "vowel_follows", "pair_likelihood", "dictionary_share", "separators", "other_signs", "known_prefix", "key_block", "path_test", "secret_word", "other_word", "assigned", "quoted", "known_form", "in_url", "login", "hook", "data_uri", "public", "sum", "pass_name", "spaces", "public_block"]
 
 
 def _letter_pairs() -> np.ndarray:
@@ -104,12 +116,22 @@ def finding_features(token: str, before: str, after: str, path: str) -> list[flo
         float((kinds == 3).sum()),
         float((kinds == 4).mean()),
         float(token.startswith(PREFIXES)),
-        float(token.startswith("-----BEGIN ")),
+        float(token.startswith("-----BEGIN ") and "PRIVATE KEY-----" in token[:60]),
         float(any(w in PATH_WORDS for w in "".join(c if c.isalnum() else " " for c in path.lower()).split())),
         float(any(s in w for w in near[-4:] for s in SECRET_WORDS)),
         float(any(w in OTHER_WORDS for w in near[-3:])),
         float(tail.endswith(("=", ":", ":="))),
         float(before.endswith(('"', "'", "`")) and after[:1] in ('"', "'", "`")),
+        float(_FORMS.fullmatch(token) is not None),
+        float(_IN_URL.search(before) is not None),
+        float(after[:1] == "@" and before.endswith(":")),
+        float("hook" in before.lower()[-60:] or "hook" in low),
+        float(_DATA.search(before) is not None),
+        float(_PUBLIC.search(before) is not None or token.startswith("AAAA")),
+        float(_SUM.match(token) is not None),
+        float(_PASS.search(before) is not None),
+        float(token.count(" ")) / n,
+        float(token.startswith("-----BEGIN ") and "PRIVATE KEY-----" not in token[:60]),
     ]
 
 
@@ -151,7 +173,30 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         lambda: pick(alnum, r.randint(10, 40)),
         lambda: word(2).title() + pick(digits, r.randint(2, 4)) + r.choice(signs) + pick(digits, 1),
     ]
+    site = lambda: r.choice(["https://", "http://", "https://www."]) + word(2) + r.choice([".com", ".org", ".io", ".net"])
+    padded = lambda k: pick(b64, k) + "=" * r.choice([0, 1, 2])
+    # keys and passwords that stand in URLs, and passwords of several words: (token, before, after)
+    placed_keys = [
+        lambda: (r.choice([mixed(r.randint(8, 16)), word(2) + pick(digits, 3), pick(alnum, r.randint(6, 20))]), f"{prose(2)} {r.choice(['postgres', 'https', 'mysql', 'amqp', 'redis', 'ftp'])}://{word(2)}:", f"@{word(2)}.com/{word(1)}"),
+        lambda: (r.choice(["com", "io"]) + "/services/T" + pick(big + digits, 8) + "/B" + pick(big + digits, 8) + "/" + pick(alnum, 24), f"{prose(2)} https://hooks.{word(2)}.", " "),
+        lambda: ("/api/webhooks/" + pick(digits, 18) + "/" + pick(alnum + "_-", 68), f"{prose(2)} https://{word(2)}.com", " "),
+        lambda: (pick(alnum, r.randint(20, 44)), f"{prose(2)} {site()}/{word(1)}?{r.choice(['access_token', 'token', 'api_key', 'apikey', 'auth', 'secret'])}=", r.choice([" ", "&", '"'])),
+        lambda: (r.choice(["AKIA", "ASIA"]) + pick(big + "234567", 16), r.choice([f"{prose(1)} key ", f"{prose(2)} id ", f"the {r.choice(DICTIONARY)} {r.choice(DICTIONARY)} ", f"{prose(1)} {r.choice(OTHER_WORDS)} "]), r.choice([f" in {prose(1)}", " is ", ", ", ". "])),
+        lambda: (" ".join(word(2) for _ in range(r.randint(3, 6))), f"{prose(1)} {r.choice(['passphrase', 'password', 'PASSPHRASE', 'pwd', 'db_password'])}{r.choice([' = ', ': ', '='])}" + '"', '"' + " "),
+        lambda: (mixed(7)[:7], f"{prose(1)} {r.choice(['password', 'passwd', 'pwd', 'PASSWORD', 'db_pass' + 'word'])}{r.choice([' = ', ': ', '='])}{r.choice(['', chr(34)])}", r.choice([" ", "\n"])),
+    ]
     others = [
+        # encoded files, public halves, sums, names in URLs
+        lambda: (padded(r.choice([24, 60, 200, 800, 2000])), f"{prose(1)} {r.choice(['src=', 'url(', '', 'href=', '![x]('])}{r.choice(['', chr(34)])}data:{r.choice(['image/png', 'image/gif', 'image/svg+xml', 'font/woff2', 'application/pdf'])};base64,", r.choice([" ", chr(34), ")"])),
+        lambda: ("AAAAB3NzaC1yc2EAAAADAQABAAAB" + pick(b64, r.choice([60, 200, 340])), f"{prose(1)} ssh-rsa ", f" {word(2)}@{word(2)}"),
+        lambda: ("AAAAC3NzaC1lZDI1NTE5AAAAI" + pick(b64, 43), f"{prose(1)} ssh-ed25519 ", f" {word(2)}"),
+        lambda: ("-----BEGIN " + r.choice(["PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY", "PGP PUBLIC KEY BLOCK", "PGP SIGNATURE", "CERTIFICATE REQUEST"]) + "-----\n" + "\n".join(pick(b64, 64) for _ in range(r.randint(1, 20))) + "\n-----END CERTIFICATE-----", prose(2) + "\n", "\n"),
+        lambda: (r.choice(["sha256-", "sha384-", "sha512-"]) + pick(b64, r.choice([43, 64, 86])), f"{prose(1)} integrity{r.choice(['=' + chr(34), ' ', ': ' + chr(34)])}", r.choice(["=", "==", chr(34)])),
+        lambda: (pick(b64, r.choice([43, 86])), f"{prose(1)} {r.choice(['checksum', 'digest', 'public key', 'public_key', 'fingerprint SHA256'])}{r.choice([': ', ' = ', ':'])}", "="),
+        lambda: (pick(alnum + "_-", r.choice([11, 20, 22, 28, 33, 33, 34, 44])), f"{prose(2)} {site()}/{r.choice(['file/d/', 'watch?v=', 'playlist?list=', 'open?id=', 'p/', 'share/', 'folders/', 'doc?id=', 's/', 'e/'])}", r.choice([" ", "/view", "&t=1", ")", chr(34)])),
+        lambda: ("com/" + r.choice(["file/d/", "drive/folders/", "document/d/", "p/", "s/", "channel/"]) + pick(alnum + "_-", r.choice([22, 28, 33, 44])) + r.choice(["", "/view", "/edit"]), f"{prose(2)} https://{r.choice(['drive', 'docs', 'www', 'share'])}.{word(2)}.", r.choice([" ", "?usp=sharing", ")"])),
+        lambda: ("com/" + "/".join(word(2) for _ in range(r.randint(2, 5))) + r.choice(["", "-" + pick(digits, 6), "/" + pick(hexes, 8)]), f"{prose(2)} https://www.{word(2)}.", r.choice([" ", ".html", "?x=1"])),
+        lambda: (prose(r.randint(3, 8)), f"{prose(1)} {r.choice(['token', 'key', 'secret_name', 'auth', 'access', 'credential'])}{r.choice([': ', ' = '])}" + '"', '"' + " "),
         lambda: (pick(digits, r.choice([16, 16, 18, 20])), r.choice([prose(3) + " ", f"{prose(1)} {r.choice(OTHER_WORDS)} "]), " "),
         lambda: (cased(pick(hexes, r.choice([32, 40, 64]))), f"{prose(2)} {r.choice(OTHER_WORDS)} {r.choice(['', '= ', ': '])}", " "),
         lambda: (cased(pick(hexes, r.choice([32, 40, 64]))), prose(3) + " ", " "),
@@ -177,10 +222,13 @@ def labelled_findings(n: int = FINDINGS, seed: int = 5) -> list[tuple[str, str,
         quote = r.choice(['"', '"', "'", ""])
         path = r.choice(["src/app.py", "config/prod.yml", "deploy/env", "web/index.js", "notes.txt", "infra", "crawl", "books", ""])
         kind = r.random()
-        if kind < 0.2:
+        if kind < 0.13:
+            token, lead, follow = r.choice(placed_keys)()
+            out.append((token, lead, follow, path, 1))
+        elif kind < 0.28:
             lead, follow = r.choice([(prose(4) + " ", " " + prose(1)), (f"{prose(2)} = {quote}", f"{quote} "), (f"{named()}={quote}", f"{quote}\n")])
             out.append((r.choice(plain_keys)(), lead, follow, path, 1))
-        elif kind < 0.5:
+        elif kind < 0.52:
             out.append((r.choice(assigned_keys)(), f"{r.choice([prose(3), prose(1), ''])} {named()}{r.choice([' = ', ' = ', ': ', '='])}{quote}", f"{quote} {prose(2)}", path, 1))
         else:
             token, lead, follow = r.choice(others)()
@@ -246,13 +294,20 @@ def _candidates(data: np.ndarray, off: np.ndarray, raw: bytes) -> list[tuple[int
     signs = np.flatnonzero((data == 0x3D) | (data == 0x3A))
     for p, d in zip(signs.tolist(), (np.searchsorted(off, signs, "right") - 1).tolist(), strict=True):
         if _NAME.search(raw, max(int(off[d]), p - CONTEXT), p):
-            value = _VALUE.match(raw, p + 1, int(off[d + 1]))
-            if value:
+            words = _QUOTED.match(raw, p + 1, int(off[d + 1]))
+            value = None if words else _VALUE.match(raw, p + 1, int(off[d + 1]))
+            if words:
+                spans.append((d, words.start(2), words.end(2)))
+            elif value:
                 end = value.end(1)
                 while end - value.start(1) > MIN_VALUE and raw[end - 1] in b",;.)]}>" and raw[value.start(1)] not in b"<{$(%[":
                     end -= 1
                 spans.append((d, value.start(1), end))
-    for begin in _KEY_BLOCK.finditer(raw):
+    for login in _LOGIN.finditer(raw):
+        d = int(np.searchsorted(off, login.start(), "right")) - 1
+        if login.end() <= off[d + 1]:
+            spans.append((d, *login.span(1)))
+    for begin in _BLOCK.finditer(raw):
         d = int(np.searchsorted(off, begin.start(), "right")) - 1
         end = _BLOCK_END.search(raw, begin.end(), int(off[d + 1]))
         if end and begin.end() <= off[d + 1]:
