@@ -96,19 +96,22 @@ class Polar:
     def _cubic(self, p: Column) -> Column:
         x, i = _literal(self.twa), p["i"]
         h = F.get(x, i + 1) - F.get(x, i)
-        rows = F.transform(F.sequence(F.lit(0), F.lit(len(self.twa) - 1)), lambda k: self._cell(k, p["w"]))
+        # the slopes at both ends of an interval depend on the rows beside it alone
+        n = min(4, len(self.twa))
+        first = F.greatest(F.lit(0), F.least(i - 1, F.lit(len(self.twa) - n)))
 
         def curve(y):
-            knots = F.struct(((p["a"] - F.get(x, i)) / h).alias("s"), self._slope(i, y).alias("d0"), self._slope(i + 1, y).alias("d1"))
-            return let(knots, lambda k: hermite(k["s"], h, F.get(y, i), F.get(y, i + 1), k["d0"], k["d1"]))
+            at = lambda k: F.get(y, k - first)
+            knots = F.struct(((p["a"] - F.get(x, i)) / h).alias("s"), self._slope(i, at).alias("d0"), self._slope(i + 1, at).alias("d1"))
+            return let(knots, lambda k: hermite(k["s"], h, at(i), at(i + 1), k["d0"], k["d1"]))
 
-        return let(rows, curve)
+        return let(F.array(*(self._cell(first + k, p["w"]) for k in range(n))), curve)
 
-    def _slope(self, i: Column, y: Column) -> Column:
-        """Slope at row i of speeds y that keeps a cubic monotone where the table is (Fritsch and Carlson)."""
+    def _slope(self, i: Column, at) -> Column:
+        """Slope at row i of speeds at(row) that keeps a cubic monotone where the table is (Fritsch and Carlson)."""
         n, x = len(self.twa), _literal(self.twa)
         gap = lambda k: F.get(x, k + 1) - F.get(x, k)
-        rise = lambda k: (F.get(y, k + 1) - F.get(y, k)) / gap(k)
+        rise = lambda k: (at(k + 1) - at(k)) / gap(k)
 
         def inner(l, r, hl, hr):
             return F.when(l * r <= 0, 0.0).otherwise(3 * (hl + hr) / ((2 * hr + hl) / l + (hr + 2 * hl) / r))

@@ -104,6 +104,7 @@ def lattice_search(requests: DataFrame, links: DataFrame, ends: DataFrame, wind:
     own = ["request_id"] if "request_id" in links.columns else []
     last = F.timestamp_seconds(F.unix_timestamp("depart") + options.max_duration) if until is None else F.least(until, F.timestamp_seconds(F.unix_timestamp("depart") + options.max_duration))
     fast = polar.maximum_speed() if around.current is None else None
+    links, ends = t.save(links), t.save(ends)  # read in every round
     zero = F.lit(0).cast("long")
     start = requests.select("request_id", F.lit(ORIGIN).cast("long").alias("cell"), zero.alias("bucket"), F.lit(0).alias("side"), zero.alias("elapsed"), "lat", "lon", F.lit(0.0).alias("heading"), F.lit(0.0).alias("speed"), F.lit(0.0).alias("cum"), F.lit(False).alias("waited"), zero.alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("parent_round"))
     names = start.columns
@@ -223,8 +224,7 @@ def refined_search(requests: DataFrame, coarse: DataFrame, level: int, refinemen
                 break
             width = corridor_nm * 2**retry
             mixed = t.save(mixed_leaves(todo, coarse, routes.select("request_id", "seq", "lat", "lon"), level, r, width))
-            links = t.save(lattice_links(mixed))
-            ways, found = lattice_search(todo, links, t.save(connectors(todo, mixed, level + r)), wind, polar, options, bucket_s, **search)
+            ways, found = lattice_search(todo, lattice_links(mixed), connectors(todo, mixed, level + r), wind, polar, options, bucket_s, **search)
             n = best.select("request_id", *(F.col(c).alias(f"o_{c}") for c in best.columns[1:])).join(found, "request_id", "left")
             tried, better = F.col("completion").isNotNull(), F.col("elapsed") <= F.col("o_elapsed")
             taken = F.coalesce(better, F.lit(False))
