@@ -1,9 +1,11 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import interpolation as I
 from tidemark.sources import grids, polar_text, route_files
 from tidemark.streaming import cycles
 
@@ -37,6 +39,65 @@ def test_grids(spark):
     assert grids.coverage(grid).first()["rows"] == 9
 
 
+def test_axes():
+    spec, repeated = grids.grid_of_axes(80, -80, 0, 315, 5, 8)
+    assert (spec, repeated) == (I.GridSpec(-80, 0, 40, 45, 5, 8, True), False)
+    assert grids.grid_of_axes(-80, 80, 0, 360, 5, 9) == (I.GridSpec(-80, 0, 40, 45, 5, 8, True), True)
+    assert grids.grid_of_axes(0, 2, 190, 188, 3, 3, eastward=False, dlon=1.0) == (I.GridSpec(0, -172, 1, 1, 3, 3), False)
+    assert grids.grid_of_axes(0, 2, 359, 1, 3, 3)[0] == I.GridSpec(0, -1, 1, 1, 3, 3)
+    for bad in ((0, 2, 0, 2, 3, 3, 0.5), (0, 2, 0, 2, 3, 3, 1.0, 0.7), (0, 0, 0, 2, 3, 3), (0, 2, 0, 2, 1, 3)):
+        with pytest.raises(ValueError):
+            grids.grid_of_axes(*bad)
+
+
+@pytest.mark.parametrize(("spec", "boxes"), [
+    (I.GridSpec(-90.0, 0.0, 10.0, 15.0, 19, 24, True), [(-12, 33, 170, -170), (0, 0, 0, 0), (-90, 90, -180, 180), (5, 6, -20, 40), (10, 20, -180, 180), (40, 50, 179, -179), (1, 2, -10, -20)]),
+    (I.GridSpec(-20.0, 150.0, 5.0, 5.0, 9, 13), [(-3, 3, 170, -170), (-20, 20, 150, -150), (0, 1, 150, 151), (20, 20, -151, -150), (2.5, 7, 178, -177)]),
+])
+def test_crop_to_bounds(spark, spec, boxes):
+    cells = [(dt.datetime(2026, 1, 1), j, i, float(j * 100 + i)) for j in range(spec.nj) for i in range(spec.ni)]
+    grid = spark.createDataFrame(cells, "valid_time timestamp, j int, i int, u double").cache()
+    lat, lon = (lambda s, j: s.south + j * s.dlat), (lambda s, i: (s.west + i * s.dlon + 180) % 360 - 180)
+    for south, north, west, east in boxes:
+        got, own = grids.crop_to_bounds(grid, spec, south, north, west, east)
+        assert got.schema == grid.schema
+        rows = {(round(lat(own, r.j), 6), round(lon(own, r.i), 6)): r.u for r in got.collect()}
+        assert len(rows) == own.nj * own.ni and own.nj >= 2 and own.ni >= 2
+        # each cell is the one of that place, and all that enclose the box are there
+        assert all(grid_value == cells[[k for k, c in enumerate(cells) if (round(lat(spec, c[1]), 6), round(lon(spec, c[2]), 6)) == place][0]][3] for place, grid_value in list(rows.items())[:40])
+        span = 360.0 if (west, east) == (-180, 180) else (east - west) % 360
+        inside = lambda c: south <= lat(spec, c[1]) <= north and (lon(spec, c[2]) - west) % 360 <= span  # noqa: B023, E731
+        assert {(round(lat(spec, c[1]), 6), round(lon(spec, c[2]), 6)) for c in cells if inside(c)} <= set(rows)
+        # a lookup gives the same before and after
+        r = random.Random(1)
+        points = [(k, south + r.random() * (north - south), (west + r.random() * span + 180) % 360 - 180) for k in range(8)]
+        at = spark.createDataFrame(points, "k int, lat double, lon double")
+        a, b = ({x.k: x.u for x in I.bilinear(at, "k", g.drop("valid_time"), s, ["u"]).collect()} for g, s in ((grid, spec), (got, own)))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    if not spec.wraps:
+        for box in ((-30, 0, 160, 170), (0, 1, 140, 160), (0, 1, 170, -140)):
+            with pytest.raises(ValueError, match="outside"):
+                grids.window_of(spec, *box)
+    with pytest.raises(ValueError):
+        grids.window_of(spec, 10, 0, 160, 170)
+
+
+def test_crop_reaches_the_scan(spark, tmp_path):
+    spec = I.GridSpec(-90.0, -180.0, 1.0, 1.0, 181, 360, True)
+    spark.range(181 * 360).select((F.col("id") / 360).cast("int").alias("j"), (F.col("id") % 360).cast("int").alias("i"), F.lit(1.0).alias("u")).write.parquet(str(tmp_path / "g"))
+    got, own = grids.crop_to_bounds(spark.read.parquet(str(tmp_path / "g")), spec, 10, 20, 175, -175)
+    assert got.count() == own.nj * own.ni == 121
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(j), GreaterThanOrEqual(j,100), LessThanOrEqual(j,110)" in plan
+
+
+def test_unpaired_cells_raise(spark):
+    u = spark.createDataFrame([(dt.datetime(2026, 1, 1), 0, i, 1.0) for i in range(2)], "valid_time timestamp, j int, i int, value double")
+    assert grids.require_paired(grids.pair_components(u, u)).count() == 2
+    with pytest.raises(Exception, match="unpaired"):
+        grids.require_paired(grids.pair_components(u, u.where("i = 0"))).collect()
+
+
 def test_route_files(spark):
     rows = [(1, s, dt.datetime(2026, 7, 14, 12, s), 1.0 + s / 3, 2.0, 90.0, 5.0, 10.0, 0.0, float(s)) for s in (1, 0)]
     df = spark.createDataFrame(rows, "request_id long, seq long, time timestamp, lat double, lon double, heading double, boat_speed double, tws double, twd double, cum_nm double")
