@@ -312,6 +312,48 @@ def load_members(members: DataFrame, forecasts: DataFrame, strict: bool = False)
     return normalize_weights(members, []).orderBy("member"), aligned
 
 
+def member_report(members: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """(member, weight, normalized_weight, fault, message, differs): a row for each member, broken ones too.
+
+    members and forecasts as load_members takes them. fault: null, or the error that
+    outcome_of_error knows: invalid_argument (no name, a name twice, a weight that is negative
+    or not finite), file_io (no forecast), incomplete_forecast (no times, or not both wind
+    components). normalized_weight is a share of all valid weights, so what a broken member had
+    is missing from the others' sum. differs: the facts in which a sound member is unlike the
+    first sound one by name.
+    """
+    w = F.col("weight")
+    named = F.coalesce(F.col("member"), F.lit("")) != ""
+    valid = F.coalesce(~F.isnan(w) & (w >= 0) & (w < float("inf")), F.lit(False))
+    per_name = F.count("*").over(Window.partitionBy("member"))
+    held = forecasts.select(F.col("member").alias("_member"), F.struct(*(F.col(x) for x in forecasts.columns if x != "member")).alias("_f"))
+    m = members.withColumn("_n", per_name).join(held, F.col("member") == F.col("_member"), "left")
+    times, both = F.size("_f.valid_times"), F.array_contains("_f.variables", "u") & F.array_contains("_f.variables", "v")
+    why = F.when(~named, F.struct(F.lit("invalid_argument").alias("fault"), F.lit("no name").alias("message")))
+    for wrong, fault, message in (
+        (F.col("_n") > 1, "invalid_argument", "name twice"),
+        (~valid, "invalid_argument", "weight must be finite and not negative"),
+        (F.col("_member").isNull(), "file_io", "no forecast"),
+        (F.coalesce(times < 1, F.lit(True)), "incomplete_forecast", "no times"),
+        (~F.coalesce(both, F.lit(False)), "incomplete_forecast", "wind components are missing"),
+    ):
+        why = why.when(wrong, F.struct(F.lit(fault).alias("fault"), F.lit(message).alias("message")))
+    m = m.withColumn("_w", why).withColumn("_ok", F.when(valid, w).otherwise(0.0))
+    m = m.join(F.broadcast(m.agg(F.max("_ok").alias("_most"), F.sum("_ok").alias("_sum"))), F.lit(True))
+    first = m.where("_w is null").agg(F.min_by("_f", "member").alias("_first"))
+    m = m.join(F.broadcast(first), F.lit(True))
+    lon = lambda f, x: F.pmod(f[x], F.lit(360.0))
+    facts = {
+        "initialization": lambda f: f["initialized"],
+        "valid_times": lambda f: F.array_sort(f["valid_times"]),
+        "grid": lambda f: F.struct(f["south"], f["dlat"], f["dlon"], f["nj"], f["ni"], lon(f, "west")),
+        "variables": lambda f: F.array_sort(f["variables"]),
+    }
+    unlike = F.filter(F.array(*(F.when(~of(F.col("_f")).eqNullSafe(of(F.col("_first"))), name) for name, of in facts.items())), lambda x: x.isNotNull())
+    share = F.when(F.col("_sum") > 0, F.col("_ok") / F.col("_sum"))
+    return m.select("member", "weight", share.alias("normalized_weight"), "_w.fault", "_w.message", F.when(F.col("_w").isNull(), unlike).alias("differs"))
+
+
 def rival_json(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., json): the outcomes (member, class_rank, elapsed) of a rival as a document, by member."""
     name = F.get(F.array(*map(F.lit, OUTCOMES)), F.col("class_rank").cast("int"))

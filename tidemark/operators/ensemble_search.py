@@ -22,7 +22,7 @@ from tidemark.functions import geodesy as G
 from tidemark.functions import sailing as S
 from tidemark.functions.polar import Polar
 
-from .ensemble import beam_order, objective_order
+from .ensemble import beam_order, objective_order, outcome_of_error
 from .front import two_level_beam
 from .frontier import Options
 from .interpolation import Field, GridSpec, small
@@ -62,7 +62,8 @@ def _both(now: str, before: str) -> list[Column]:
 def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, options: Options = Options(), width: int = 64, max_steps: int = 2000, keep_infeasible: bool = False, bounded: bool = True, progress: Callable[[int, DataFrame], bool | None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(courses, outcomes) of requests (request_id, lat, lon, to_lat, to_lon, depart).
 
-    members: (member, weight). wind: (member, valid_time, j, i, u, v). courses: for each
+    members: (member, weight), and fault where one could not be loaded: it has its outcome from
+    the start. wind: (member, valid_time, j, i, u, v). courses: for each
     request the headings of the best course, its objective (mean arrival in seconds, infinite
     where a member of positive weight does not arrive), mean_s (over those that do),
     incomplete_weight, worst_s, and the labels settled and dropped by the bound. outcomes: each
@@ -76,10 +77,11 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     air = Field(wind, spec, ["u", "v"], ["member"])
     total = float(members.agg(F.sum("weight")).first()[0])
     near = lambda lat, lon: G.distance_nm(lat, lon, "to_lat", "to_lon")
-    state = requests.select("request_id", "lat", "lon", "to_lat", "to_lon", "depart").join(small(members.select("member", "weight")), F.lit(True))
+    state = requests.select("request_id", "lat", "lon", "to_lat", "to_lon", "depart").join(small(members.select("member", "weight", F.col("fault") if "fault" in members.columns else F.lit(None).cast("string").alias("fault"))), F.lit(True))
     none = {c: F.lit(0.0) for c in _LEFT}
     state = state.withColumns({"label": F.lit(0).cast("long"), "elapsed": F.lit(0).cast("long"), "to_go": near("lat", "lon")})
-    state = t.save(state.withColumn("outcome", F.when(F.col("to_go") <= options.arrival_radius, "reached")))
+    begun = F.when(F.col("fault").isNotNull(), outcome_of_error("fault")).when(F.col("to_go") <= options.arrival_radius, "reached")
+    state = t.save(state.withColumn("outcome", begun).drop("fault"))
     ends = [(state.where("outcome is not null").select("request_id", "label", "member", "weight", "outcome", "elapsed", "lat", "lon"), 0)]
     facts = state.groupBy("request_id", "label").agg(F.count(F.when(F.col("outcome").isNull(), 1)).alias("active"), *_gone())
     facts = t.save(facts.withColumns({"parent": F.lit(None).cast("long"), "heading": F.lit(None).cast("double")}))

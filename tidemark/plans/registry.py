@@ -29,6 +29,7 @@ from tidemark.operators import spatial as Z
 from tidemark.operators.ensemble_search import ensemble_search
 from tidemark.operators.frontier import Options, search
 from tidemark.operators.transition import target_legs as fixed_legs
+from tidemark.sources import ensemble_documents as M
 from tidemark.sources import route_files
 
 from . import sql as Q
@@ -969,6 +970,19 @@ def isochrone_gpx(spark: SparkSession, d: str) -> DataFrame:
     return route_files.isochrones_gpx(p.join(kept, ["request_id", "time"]), "customers")
 
 
+@query("SELECT run, choice, member::VARCHAR AS member, weight::DOUBLE AS weight, class_rank, elapsed FROM " + _OUT)
+def ensemble_document(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of runs written as documents, a document for each choice, and read back."""
+    keys = ["run", "choice"]
+    o = _outcomes(spark, d)
+    share = F.col("weight").cast("double") / F.sum(F.col("weight").cast("double")).over(Window.partitionBy(*keys))
+    rows = o.select(*keys, F.lpad(F.col("member").cast("string"), 12, "0").alias("member"), "weight", share.alias("normalized_weight"), F.get(F.array(*map(F.lit, E.OUTCOMES)), "class_rank").alias("outcome"), F.when(F.col("class_rank") == 0, F.col("elapsed")).alias("elapsed_s"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    courses = o.groupBy(*keys).agg(E.weighted_mean().alias("objective"), *E.audits()).select(*keys, "objective", "incomplete_weight", F.col("finite_mean").alias("mean_s"), F.col("worst_finite").alias("worst_s"), F.array(F.lit(90.0)).alias("headings"))
+    written = M.ensemble_documents(courses, rows, rows.select(*keys, "member", "weight", "normalized_weight"), keys, "run", "model")
+    back = M.document_outcomes(M.read_ensemble_documents(written, keys), keys)
+    return back.select(*keys, F.ltrim("member", F.lit("0")).alias("member"), "weight", "class_rank", "elapsed")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fastest-route search seeded from supplier rows."""
     return beam_route(spark, sf_dir)
