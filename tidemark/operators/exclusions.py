@@ -3,7 +3,7 @@
 Zones are rows (zone_id, revision, active_from, active_until) with either `polygons`, an
 array of struct(outer ring, holes array of rings) of struct(lat, lon), or `ring`, an array
 of unit vectors. A zone is active in [active_from, active_until), open where null. The
-join by time and bounding cap is Spark's; what it leaves is settled pair by pair.
+join by time and bounding cap is Spark's; what it leaves is settled for all rows of a zone at once.
 """
 
 from __future__ import annotations
@@ -50,60 +50,91 @@ def arc_distance(v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(within, off, np.minimum(_angle(a, v), _angle(b, v)))
 
 
-def arc_contacts(s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, slack: float = 1e-12) -> np.ndarray:
-    """The points that the arc s, e shares with the arcs a, b: crossings, or the ends that lie within where both follow one great circle."""
+def contacts_of_legs(s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, slack: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """(leg, point) of all points that the arcs s, e share with the arcs a, b: crossings, or the ends that lie within where both follow one great circle."""
     n, m = np.cross(s, e), np.cross(a, b)
-    real = (np.linalg.norm(m, axis=-1) > COINCIDENT) & (np.linalg.norm(n) > COINCIDENT)
+    real = np.linalg.norm(m, axis=-1) > COINCIDENT
     a, b, m = a[real], b[real], m[real]
-    line = np.cross(np.broadcast_to(n, m.shape), m)
+    moves = np.linalg.norm(n, axis=-1) > COINCIDENT
+    line = np.cross(n[:, None], m[None])
     size = np.linalg.norm(line, axis=-1)
-    same = size <= COINCIDENT
-    cross = line[~same] / size[~same, None]
-    points = [p[(arc_distance(p, s, e) <= slack) & (arc_distance(p, a[~same], b[~same]) <= slack)] for p in (cross, -cross)]
-    points += [p[same][arc_distance(p[same], s, e) <= slack] for p in (a, b)]
-    points += [p[None] for p in (s, e) if same.any() and (arc_distance(p, a[same], b[same]) <= slack).any()]
-    return np.concatenate(points)
+    same = (size <= COINCIDENT) & moves[:, None]
+    apart = (size > COINCIDENT) & moves[:, None]
+    legs, points = [], []
+
+    def add(leg: np.ndarray, point: np.ndarray) -> None:
+        legs.append(leg)
+        points.append(point)
+
+    k, j = np.nonzero(apart)
+    for sign in (1, -1):
+        p = sign * line[k, j] / size[k, j][:, None]
+        on = (arc_distance(p, s[k], e[k]) <= slack) & (arc_distance(p, a[j], b[j]) <= slack)
+        add(k[on], p[on])
+    k, j = np.nonzero(same)
+    for end in (a, b):
+        on = arc_distance(end[j], s[k], e[k]) <= slack
+        add(k[on], end[j][on])
+    for end in (s, e):
+        on = np.unique(k[arc_distance(end[k], a[j], b[j]) <= slack])
+        add(on, end[on])
+    return np.concatenate(legs), np.concatenate(points)
+
+
+def arc_contacts(s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, slack: float = 1e-12) -> np.ndarray:
+    """The points of contacts_of_legs for one arc."""
+    return contacts_of_legs(s[None], e[None], a, b, slack)[1]
+
+
+def ring_classes(ring: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The class of each point, by the angles it sees the edges under; even and odd turns decide, so a ring that crosses itself has holes."""
+    a, b, p = ring, np.roll(ring, -1, 0), v[:, None, :]
+    touches = (arc_distance(p, a, b) <= TOUCH).any(1)
+    na, nb = np.cross(p, a), np.cross(p, b)
+    turned = np.arctan2((np.cross(na, nb) * p).sum(-1), (na * nb).sum(-1)).sum(1)
+    inside = (np.round(np.abs(turned) / (2 * np.pi)) % 2 == 1) & (v @ ring.sum(0) > 0)  # a ring stays within a hemisphere
+    return np.where(touches, BOUNDARY, np.where(inside, INSIDE, OUTSIDE))
 
 
 def ring_class(ring: np.ndarray, v: np.ndarray) -> int:
-    """By the angles a point sees the edges under; even and odd turns decide, so a ring that crosses itself has holes."""
-    a, b = ring, np.roll(ring, -1, 0)
-    if (arc_distance(v, a, b) <= TOUCH).any():
-        return BOUNDARY
-    if (v * ring.sum(0)).sum() <= 0:  # a ring stays within a hemisphere
-        return OUTSIDE
-    na, nb = np.cross(v, a), np.cross(v, b)
-    turned = np.arctan2((np.cross(na, nb) * v).sum(-1), (na * nb).sum(-1)).sum()
-    return INSIDE if round(abs(turned) / (2 * np.pi)) % 2 else OUTSIDE
-
-
-def polygon_class(outer: np.ndarray, holes: list[np.ndarray], v: np.ndarray) -> int:
-    kind = ring_class(outer, v)
-    for hole in holes if kind == INSIDE else []:
-        in_hole = ring_class(hole, v)
-        if in_hole != OUTSIDE:
-            return BOUNDARY if in_hole == BOUNDARY else OUTSIDE
+    return int(ring_classes(ring, v[None])[0])
+
+
+def polygon_classes(outer: np.ndarray, holes: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+    kind = ring_classes(outer, v)
+    for hole in holes:
+        at = np.flatnonzero(kind == INSIDE)
+        in_hole = ring_classes(hole, v[at])
+        kind[at] = np.where(in_hole == OUTSIDE, INSIDE, np.where(in_hole == BOUNDARY, BOUNDARY, OUTSIDE))
     return kind
 
 
-def leg_violates(outer: np.ndarray, holes: list[np.ndarray], s: np.ndarray, e: np.ndarray, open_end: bool, boundary_excluded: bool) -> bool:
-    """Whether the arc s, e meets a polygon. open_end: its end does not count."""
+def legs_violate(outer: np.ndarray, holes: list[np.ndarray], s: np.ndarray, e: np.ndarray, open_end: np.ndarray, boundary_excluded: bool) -> np.ndarray:
+    """Which of the arcs s, e meet a polygon. open_end: an arc's end does not count."""
     rings = [outer, *holes]
-    points = np.concatenate([arc_contacts(s, e, r, np.roll(r, -1, 0)) for r in rings])
-    whole = float(_angle(s, e))
-    along = np.clip(_angle(s, points) / whole, 0, 1) if whole > 0 else np.zeros(len(points))
-    along = along[along < 1 - 1e-14] if open_end else along
-    ends = [polygon_class(outer, holes, s), *([] if open_end else [polygon_class(outer, holes, e)])]
-    if INSIDE in ends or boundary_excluded and (len(along) or BOUNDARY in ends):
-        return True
-    cuts = np.unique(np.concatenate([[0.0, 1.0], along]))
-    if not len(along) or whole <= 0:
-        return False
-    for t in (cuts[1:] + cuts[:-1]) / 2:
-        middle = (np.sin((1 - t) * whole) * s + np.sin(t * whole) * e) / np.sin(whole)
-        if polygon_class(outer, holes, middle) == INSIDE:
-            return True
-    return False
+    leg, point = contacts_of_legs(s, e, np.concatenate(rings), np.concatenate([np.roll(r, -1, 0) for r in rings]))
+    whole = _angle(s, e)
+    long = np.where(whole > 0, whole, 1.0)
+    along = np.where(whole[leg] > 0, np.clip(_angle(s[leg], point) / long[leg], 0, 1), 0.0)
+    counts = ~open_end[leg] | (along < 1 - 1e-14)
+    leg, along = leg[counts], along[counts]
+    first, last = polygon_classes(outer, holes, s), np.where(open_end, OUTSIDE, polygon_classes(outer, holes, e))
+    met = (first == INSIDE) | (last == INSIDE)
+    if boundary_excluded:
+        met |= (first == BOUNDARY) | (last == BOUNDARY)
+        met[leg] = True
+    # between two contacts an arc is all inside or all outside
+    left = np.flatnonzero(~met & np.isin(np.arange(len(s)), leg) & (whole > 0))
+    cut = np.isin(leg, left)
+    leg, along = np.concatenate([leg[cut], left, left]), np.concatenate([along[cut], np.zeros(len(left)), np.ones(len(left))])
+    order = np.lexsort((along, leg))
+    leg, along = leg[order], along[order]
+    pair = (leg[1:] == leg[:-1]) & (along[1:] > along[:-1])
+    k, t = leg[1:][pair], ((along[1:] + along[:-1]) / 2)[pair]
+    w = whole[k]
+    middle = (np.sin((1 - t) * w)[:, None] * s[k] + np.sin(t * w)[:, None] * e[k]) / np.sin(w)[:, None]
+    met[k[polygon_classes(outer, holes, middle) == INSIDE]] = True
+    return met
 
 
 def _ring(units: np.ndarray) -> np.ndarray:
@@ -195,24 +226,34 @@ def zone_summary(zones: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("zones"), F.max("revision").cast("long").alias("last"), F.count("active_until").alias("bounded"), F.min("active_from").alias("first_active"))
 
 
-def _rings(outer, holes) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.array(outer, float), [np.array(h, float) for h in holes]
+#: Points or legs times edges of a zone that are looked at at once.
+_CELLS = 200_000
+
 
+def _settle(key: str, columns: list[str], test):
+    """Rows for which test(outer, holes, *columns) holds: their key and zone; the rows of a zone together."""
 
-def _settle(key: str, test):
-    """Rows for which test(outer, holes, row) holds: their key and zone."""
+    def values(column: pa.Array) -> np.ndarray:
+        return np.asarray(column.flatten()).reshape(-1, 3) if pa.types.is_list(column.type) else np.asarray(column.to_numpy(zero_copy_only=False))
 
     def run(batches):
         for b in batches:
-            known: dict = {}
-            rows = b.drop_columns([key]).to_pylist()
-            hit = []
-            for r in rows:
-                k = (r["zone_id"], r["revision"], tuple(r["cap_x"]))
-                if k not in known:
-                    known[k] = _rings(r["outer"], r["holes"])
-                hit.append(test(*known[k], r))
-            keep = pa.array(hit, pa.bool_())
+            if not b.num_rows:
+                continue
+            caps = values(b.column("cap_x"))
+            zone = pd.MultiIndex.from_arrays([b.column("zone_id").to_pandas(), b.column("revision").to_pandas(), *caps.T]).factorize()[0]
+            given = [values(b.column(c)) for c in columns]
+            keep = np.zeros(b.num_rows, bool)
+            for z in range(zone.max() + 1):
+                at = np.flatnonzero(zone == z)
+                # the rings are read from one row of each zone
+                outer = np.array(b.column("outer")[int(at[0])].as_py(), float)
+                holes = [np.array(h, float) for h in b.column("holes")[int(at[0])].as_py()]
+                step = max(1, _CELLS // (len(outer) + sum(map(len, holes))))
+                for k in range(0, len(at), step):
+                    part = at[k : k + step]
+                    keep[part] = test(outer, holes, *(x[part] for x in given))
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(keep) for c in (key, "zone_id", "revision")], names=[key, "zone_id", "revision"])
 
     return run
@@ -221,7 +262,7 @@ def _settle(key: str, test):
 def _first_zone(pairs: DataFrame, key: str, columns: list[str], test) -> DataFrame:
     kind = pairs.schema[key].dataType.simpleString()
     rows = pairs.select(key, "zone_id", "revision", "outer", "holes", "cap_x", *columns)
-    hit = rows.mapInArrow(_settle(key, test), f"{key} {kind}, zone_id string, revision long")
+    hit = rows.mapInArrow(_settle(key, columns, test), f"{key} {kind}, zone_id string, revision long")
     return hit.groupBy(key).agg(F.min(F.struct("zone_id", "revision")).alias("z")).select(key, "z.zone_id", "z.revision")
 
 
@@ -231,7 +272,7 @@ def zones_at(points: DataFrame, key: str, zones: DataFrame, at: str = "ts", boun
     live = F.coalesce(F.col("active_from") <= F.col(at), F.lit(True)) & F.coalesce(F.col(at) < F.col("active_until"), F.lit(True))
     p = points.withColumn("_v", unit_vector("lat", "lon"))
     near = p.join(small(_prepared(zones)), live & (dot(F.col("_v"), F.col("cap_x")) >= F.cos(F.least(F.lit(3.14), F.col("cap_radius") + 1e-8))))
-    return _first_zone(near, key, ["_v"], lambda outer, holes, r: polygon_class(outer, holes, np.array(r["_v"])) >= least)
+    return _first_zone(near, key, ["_v"], lambda outer, holes, v: polygon_classes(outer, holes, v) >= least)
 
 
 def segment_zone_hits(legs: DataFrame, key: str, zones: DataFrame, boundary_excluded: bool = True) -> DataFrame:
@@ -258,4 +299,4 @@ def segment_zone_hits(legs: DataFrame, key: str, zones: DataFrame, boundary_excl
     j = j.where((F.col("_begin") < F.col("_end")) | (long == 0))
     a, b = F.col("_a"), F.col("_b")
     j = j.withColumn("_s", F.when(F.col("_begin") > 0, slerp(a, b, F.col("_begin"))).otherwise(a)).withColumn("_e", F.when(F.col("_end") < 1, slerp(a, b, F.col("_end"))).otherwise(b))
-    return _first_zone(j, key, ["_s", "_e", "_open"], lambda outer, holes, r: leg_violates(outer, holes, np.array(r["_s"]), np.array(r["_e"]), r["_open"], boundary_excluded))
+    return _first_zone(j, key, ["_s", "_e", "_open"], lambda outer, holes, s, e, open_end: legs_violate(outer, holes, s, e, open_end, boundary_excluded))
