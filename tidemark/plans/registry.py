@@ -970,11 +970,12 @@ def isochrone_gpx(spark: SparkSession, d: str) -> DataFrame:
     return route_files.isochrones_gpx(p.join(kept, ["request_id", "time"]), "customers")
 
 
-@query("SELECT run, choice, member::VARCHAR AS member, weight::DOUBLE AS weight, class_rank, elapsed FROM " + _OUT)
+@query(f"SELECT run, choice, member::VARCHAR AS member, sum(weight)::DOUBLE AS weight, max(class_rank)::INT AS class_rank, CASE WHEN max(class_rank) = 0 THEN min(elapsed) END AS elapsed FROM {_OUT} GROUP BY 1, 2, 3")
 def ensemble_document(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes of runs written as documents, a document for each choice, and read back."""
     keys = ["run", "choice"]
-    o = _outcomes(spark, d)
+    o = _outcomes(spark, d).groupBy(*keys, "member").agg(F.sum("weight").cast("double").alias("weight"), F.max("class_rank").alias("class_rank"), F.min("elapsed").alias("elapsed"))
+    o = o.withColumn("elapsed", F.when(F.col("class_rank") == 0, F.col("elapsed")))
     share = F.col("weight").cast("double") / F.sum(F.col("weight").cast("double")).over(Window.partitionBy(*keys))
     rows = o.select(*keys, F.lpad(F.col("member").cast("string"), 12, "0").alias("member"), "weight", share.alias("normalized_weight"), F.get(F.array(*map(F.lit, E.OUTCOMES)), "class_rank").alias("outcome"), F.when(F.col("class_rank") == 0, F.col("elapsed")).alias("elapsed_s"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
     courses = o.groupBy(*keys).agg(E.weighted_mean().alias("objective"), *E.audits()).select(*keys, "objective", "incomplete_weight", F.col("finite_mean").alias("mean_s"), F.col("worst_finite").alias("worst_s"), F.array(F.lit(90.0)).alias("headings"))
