@@ -161,11 +161,17 @@ def member_support(rows: DataFrame, keys: list[str], choice: str, weight: str =
     return won.groupBy(*keys, choice).agg(F.sum(F.col(weight) / F.col("_n")).alias("support"))
 
 
-def wrong_choice_cost(rows: DataFrame, keys: list[str], choice: str, selected: str) -> DataFrame:
-    """(keys..., choice, cost): mean arrival of each choice less that of the selected one, at least 0."""
-    mean = rows.groupBy(*keys, choice).agg(weighted_mean().alias("mean"))
+def wrong_choice_cost(rows: DataFrame, keys: list[str], choice: str, selected: str, objective: Column | None = None, maximize: bool = False) -> DataFrame:
+    """(keys..., choice, cost): how much worse each choice's objective is than that of the selected one, at least 0.
+
+    objective: an aggregate, the mean arrival where none is given; less is better unless
+    maximize. Infinite where only the worse one of both is without bound, 0 where both are.
+    """
+    mean = rows.groupBy(*keys, choice).agg((weighted_mean() if objective is None else objective).alias("mean"))
     own = F.max(F.when(F.col(choice) == selected, F.col("mean"))).over(Window.partitionBy(*keys))
-    cost = F.when(F.isnull(own), F.lit(None).cast("double")).when(F.col("mean") == own, 0.0).when(own == float("inf"), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("mean") - own))
+    bad, good = (own, F.col("mean")) if maximize else (F.col("mean"), own)
+    cost = F.when(F.isnull(own), F.lit(None).cast("double")).when(F.col("mean") == own, 0.0).when(good == float("inf"), 0.0).when(bad == float("inf"), float("inf"))
+    cost = cost.otherwise(F.greatest(F.lit(0.0), F.when(F.lit(maximize), own - F.col("mean")).otherwise(F.col("mean") - own)))
     return mean.select(*keys, choice, cost.alias("cost"))
 
 

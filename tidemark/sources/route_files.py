@@ -32,6 +32,41 @@ def route_json(routes: DataFrame) -> DataFrame:
     return good.groupBy("request_id").agg(p.alias("points")).select("request_id", F.to_json(F.struct("points")).alias("json"))
 
 
+def route_documents(requests: DataFrame, routes: DataFrame, summary: DataFrame, forecast: str, polar: str) -> DataFrame:
+    """(request_id, json): how each search ended, from where to where, what it was made of and did, and the points in order.
+
+    requests: (request_id, depart) and departure_source where it is known. routes: as the
+    searches give them. summary: (request_id, completion) and any of expanded, generated,
+    retained, steps, settled, rounds, level, fallback. A request without points has a null
+    arrival. An exhausted duration is written as an exhausted forecast with its reason beside
+    it. An error where a number isn't finite.
+    """
+    points = [c for c in ("lat", "lon", "heading", "boat_speed", "tws", "twd", "cum_nm") if c in routes.columns]
+    names = {"heading": "headingDegrees", "boat_speed": "boatSpeedKnots", "tws": "trueWindSpeedKnots", "twd": "trueWindDirectionDegrees", "cum_nm": "cumulativeDistanceNauticalMiles"}
+    place = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    p = _points(format_utc("time").alias("time"), place.alias("position"), *(F.col(c).alias(names[c]) for c in points[2:]))
+    way = finite_only(routes, points).groupBy("request_id").agg(p.alias("points"))
+    d = requests.join(summary, "request_id").join(way, "request_id", "left")
+    partial = F.col("completion") == "duration_exhausted"
+    end = lambda k, f: F.element_at("points", k)[f]
+    source = F.col("departure_source") if "departure_source" in requests.columns else F.lit("explicit_time")
+    counts = {"expanded": "expandedNodes", "generated": "generatedCandidates", "retained": "retainedCandidates", "steps": "timeSteps"}
+    lattice = {"settled": "settledLabels", "rounds": "rounds", "level": "subdivisionLevel", "fallback": "fallbackReason"}
+    facts = lambda of: F.struct(*(F.col(c).alias(n) for c, n in of.items() if c in summary.columns))
+    parts = [
+        F.when(partial, "forecast_exhausted").otherwise(F.col("completion")).alias("completion"),
+        F.when(partial, F.col("completion")).alias("partial_reason"),
+        F.struct(format_utc("depart").alias("time"), source.alias("source"), end(1, "position").alias("position")).alias("departure"),
+        F.struct(end(-1, "time").alias("time"), end(-1, "position").alias("position")).alias("arrival"),
+        F.struct(F.lit(forecast).alias("source")).alias("forecast"),
+        F.struct(F.lit(polar).alias("source")).alias("polar"),
+        *([facts(counts).alias("diagnostics")] if any(c in summary.columns for c in counts) else []),
+        *([facts(lattice).alias("latticeDiagnostics")] if any(c in summary.columns for c in lattice) else []),
+        F.coalesce("points", F.array().cast(way.schema["points"].dataType)).alias("points"),
+    ]
+    return d.select("request_id", F.to_json(F.struct(*parts)).alias("json"))
+
+
 def isochrone_geojson(points: DataFrame) -> DataFrame:
     """(request_id, time, json): a LineString for each isochrone of (request_id, time, seq, lat, lon); a lone point is doubled."""
     line = F.transform(F.sort_array(F.collect_list(F.struct("seq", "lat", "lon"))), lambda x: F.array(x["lon"], x["lat"]))
