@@ -73,3 +73,13 @@ def test_text(spark):
         X.parse_position("91,0")
     assert X.fnv1a64(b"") == "cbf29ce484222325" and X.fnv1a64(b"a") == "af63dc4c8601ec8c"
     assert X.coordinate_text(1.5) == "1.5" and X.number_text(0.1) == "0.10000000000000001"
+
+
+def test_speed_along_a_row(spark):
+    """Many angles in one wind give the speeds of single lookups, bit by bit."""
+    from tidemark.functions.polar import Polar
+
+    p = Polar.builtin()
+    df = spark.range(3000).select(((F.col("id") * 37 % 800) - 400.0 + F.col("id") % 7 / 7).alias("a"), F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 51 == 0, float("nan")).otherwise(F.col("id") * 13 % 700 / 10.0).alias("w"))
+    got = df.withColumn("row", p.at_wind("w")).select("a", "w", p.speed("a", "w").alias("x"), p.along("a", "row").alias("y"))
+    assert got.where("not (x <=> y)").count() == 0 and got.where("x > 0").count() > 2000

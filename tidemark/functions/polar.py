@@ -88,6 +88,19 @@ class Polar:
         got = let(place, self._cubic if monotone else self._linear)
         return F.when((c(tws) > 0) & ~F.isnan(c(tws)), F.greatest(F.lit(0.0), got)).otherwise(0.0)
 
+    def at_wind(self, tws) -> Column:
+        """array: the speed at each angle of the table for a wind speed; 0 in a calm. With `along` it is `speed`, for many angles in one wind."""
+        rows = let(self._at(c(tws)), lambda w: F.array(*(self._cell(F.lit(i), w) for i in range(len(self.twa)))))
+        return F.when((c(tws) > 0) & ~F.isnan(c(tws)), rows).otherwise(_literal([0.0] * len(self.twa)))
+
+    def along(self, twa, row: Column | str) -> Column:
+        """Knots at a wind angle from what at_wind gave."""
+        a, row = F.pmod(F.abs(c(twa)), F.lit(360.0)), c(row)
+        a = F.greatest(F.lit(self.twa[0]), F.least(F.lit(self.twa[-1]), F.least(a, 360.0 - a)))
+        i, x = _bracket(a, self.twa), _literal(self.twa)
+        s = (a - F.get(x, i)) / (F.get(x, i + 1) - F.get(x, i))
+        return F.greatest(F.lit(0.0), F.get(row, i) + s * (F.get(row, i + 1) - F.get(row, i)))
+
     def _linear(self, p: Column) -> Column:
         x = _literal(self.twa)
         s = (p["a"] - F.get(x, p["i"])) / (F.get(x, p["i"] + 1) - F.get(x, p["i"]))

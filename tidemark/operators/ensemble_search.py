@@ -59,6 +59,11 @@ def _both(now: str, before: str) -> list[Column]:
     return [(F.greatest(F.col(now + c), F.col(before + c)) if "worst" in c else F.col(now + c) + F.col(before + c)).alias(c) for c in _LEFT]
 
 
+def _before(facts: DataFrame) -> DataFrame:
+    """What had left each label before this step."""
+    return facts.select("request_id", "label", *(F.col(c).alias(f"b_{c}") for c in _LEFT))
+
+
 def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, options: Options = Options(), width: int = 64, max_steps: int = 2000, keep_infeasible: bool = False, bounded: bool = True, progress: Callable[[int, DataFrame], bool | None] | None = None) -> tuple[DataFrame, DataFrame]:
     """(courses, outcomes) of requests (request_id, lat, lon, to_lat, to_lon, depart).
 
@@ -78,7 +83,6 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     total = float(members.agg(F.sum("weight")).first()[0])
     near = lambda lat, lon: G.distance_nm(lat, lon, "to_lat", "to_lon")
     state = requests.select("request_id", "lat", "lon", "to_lat", "to_lon", "depart").join(small(members.select("member", "weight", F.col("fault") if "fault" in members.columns else F.lit(None).cast("string").alias("fault"))), F.lit(True))
-    none = {c: F.lit(0.0) for c in _LEFT}
     state = state.withColumns({"label": F.lit(0).cast("long"), "elapsed": F.lit(0).cast("long"), "to_go": near("lat", "lon")})
     begun = F.when(F.col("fault").isNotNull(), outcome_of_error("fault")).when(F.col("to_go") <= options.arrival_radius, "reached")
     state = t.save(state.withColumn("outcome", begun).drop("fault"))
@@ -86,7 +90,7 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     facts = state.groupBy("request_id", "label").agg(F.count(F.when(F.col("outcome").isNull(), 1)).alias("active"), *_gone())
     facts = t.save(facts.withColumns({"parent": F.lit(None).cast("long"), "heading": F.lit(None).cast("double")}))
     tree, best = [facts], t.save(_finished(facts.where("active = 0"), 0, total))
-    state = t.save(state.where("outcome is null").join(facts.drop("parent", "heading"), ["request_id", "label"]).drop("outcome", "to_go"))
+    state = t.save(state.where("outcome is null").drop("outcome", "to_go"))
     cut = state.limit(0).select("request_id")
     elapsed, n = 0, int(-(-360 // options.heading_step))
     headings = F.explode(F.array(*(F.lit(i * options.heading_step) for i in range(n)))).alias("heading")
@@ -98,7 +102,7 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
         if step <= 0:  # nobody can go on: what is left ends here
             over = state.withColumns({"outcome": F.lit("duration_exhausted"), "to_go": near("lat", "lon")})
             ends.append((over.select(*ends[0][0].columns), k - 1))
-            now = over.groupBy("request_id", "label").agg(F.lit(0).cast("long").alias("active"), *_gone("n_"), *(F.first(c).alias(f"b_{c}") for c in _LEFT))
+            now = over.groupBy("request_id", "label").agg(F.lit(0).cast("long").alias("active"), *_gone("n_")).join(_before(facts), ["request_id", "label"])
             best = t.save(_better(best, _finished(now.select("request_id", "label", "active", *_both("n_", "b_")), k - 1, total)))
             break
         live = state.withColumn("ts", F.timestamp_seconds(F.unix_timestamp("depart") + elapsed))
@@ -106,18 +110,23 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
         lost = F.lit(None).cast("string")
         for status, name in _LOST.items():
             lost = F.when(F.col("status") == status, name).otherwise(lost)
-        go = live.withColumns({"lost": lost, "tws": S.wind_speed("u", "v"), "twd": S.wind_from("u", "v")}).drop("u", "v", "status", "ts").select("*", headings)
-        speed = polar.speed(G.angular_difference("heading", "twd"), "tws", options.monotone)
+        go = live.withColumns({"lost": lost, "tws": S.wind_speed("u", "v"), "twd": S.wind_from("u", "v")}).drop("u", "v", "status", "ts")
+        if options.monotone:
+            go = go.select("*", headings)
+            speed = polar.speed(G.angular_difference("heading", "twd"), "tws", True)
+        else:  # the wind is looked up in the table once for all headings
+            go = go.withColumn("_row", polar.at_wind("tws")).select("*", headings)
+            speed = polar.along(G.angular_difference("heading", "twd"), "_row")
         if options.max_wind is not None:
             speed = F.when(F.col("tws") <= options.max_wind, speed)
-        go = t.save(go.withColumn("speed", speed).drop("tws", "twd"))
+        go = go.withColumn("speed", speed).drop("tws", "twd", "_row")
         sails = (F.col("speed") > 0) & (F.col("speed") >= options.min_speed)
         go = go.withColumn("bad", F.when(F.col("lost").isNotNull(), F.col("lost")).when(F.coalesce(sails, F.lit(False)), F.lit(None).cast("string")).otherwise("infeasible_no_route")).drop("lost")
         leg = F.when(F.col("bad").isNull(), F.col("speed") * (step / 3600)).otherwise(0.0)
-        go = go.withColumn("leg", leg).withColumn("part", F.when(F.col("leg") > 0, G.arrival_fraction("lat", "lon", "to_lat", "to_lon", "heading", "leg", options.arrival_radius)))
+        go = go.withColumn("leg", leg).withColumn("part", F.when((F.col("leg") > 0) & (near("lat", "lon") <= F.col("leg") + options.arrival_radius + 1e-6), G.arrival_fraction("lat", "lon", "to_lat", "to_lon", "heading", "leg", options.arrival_radius)))
         go = go.withColumn("to", G.destination("lat", "lon", "heading", F.col("leg") * F.coalesce("part", F.lit(1.0))))
         arrived = F.col("part").isNotNull()
-        moved = go.select("request_id", "label", "heading", "member", "weight", F.col("to.lat").alias("lat"), F.col("to.lon").alias("lon"), "to_lat", "to_lon", "depart", "active", *_LEFT,
+        moved = go.select("request_id", "label", "heading", "member", "weight", F.col("to.lat").alias("lat"), F.col("to.lon").alias("lon"), "to_lat", "to_lon", "depart",
             F.when(arrived, "reached").otherwise(F.col("bad")).alias("outcome"),
             F.when(arrived, (F.round(F.col("part") * step) + elapsed).cast("long")).when(F.col("bad").isNotNull(), F.lit(elapsed).cast("long")).otherwise(F.lit(elapsed + step).cast("long")).alias("elapsed"))
         moved = t.save(moved.withColumn("to_go", near("lat", "lon")))
@@ -128,10 +137,10 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
             F.sum(F.when(alive, w * F.col("to_go")).otherwise(0.0)).alias("d"), F.max(F.when(alive & (w > 0), F.col("to_go")).otherwise(0.0)).alias("worst"),
             F.sum(F.when(alive, w * (elapsed + step + F.col("to_go") / fast * 3600)).otherwise(0.0)).alias("least"),
             *(F.sum(F.when(alive, w * x).otherwise(0.0)).alias(name) for name, x in (("x", F.cos(p) * F.cos(l)), ("y", F.cos(p) * F.sin(l)), ("z", F.sin(p)))),
-            *(F.first(c).alias(c) for c in ("to_lat", "to_lon")), *_gone("n_"), *(F.first(c).alias(f"b_{c}") for c in _LEFT))
+            *(F.first(c).alias(c) for c in ("to_lat", "to_lon")), *_gone("n_"))
         if not keep_infeasible:
             cand = cand.where("coalesce(stuck, 0) = 0")
-        cand = cand.select("request_id", "label", "heading", "under_way", "d", "worst", "least", "x", "y", "z", "to_lat", "to_lon", *_both("n_", "b_"))
+        cand = cand.join(_before(facts), ["request_id", "label"]).select("request_id", "label", "heading", "under_way", "d", "worst", "least", "x", "y", "z", "to_lat", "to_lon", *_both("n_", "b_"))
         if bounded:
             cand = t.save(cand.join(best.select("request_id", F.col("incomplete_weight").alias("i"), F.col("finite_mean").alias("m")), "request_id", "left"))
             mean = (F.col("completed_elapsed") + F.col("least")) / F.lit(total)
@@ -149,8 +158,7 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
         facts = t.save(facts.withColumn("label", F.lit(k << 40) + F.monotonically_increasing_id()))
         tree.append(facts)
         best = t.save(_better(best, _finished(facts.where("active = 0"), k, total)))
-        nxt = moved.drop("active", *_LEFT).withColumnRenamed("label", "parent").join(facts, ["request_id", "parent", "heading"])
-        nxt = t.save(nxt)
+        nxt = t.save(moved.withColumnRenamed("label", "parent").join(small(facts.select("request_id", "parent", "heading", "label")), ["request_id", "parent", "heading"]))
         ends.append((nxt.where("outcome is not null").select(*ends[0][0].columns), k))
         state = nxt.where("outcome is null").select(*state.columns)
         elapsed += step

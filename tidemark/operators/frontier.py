@@ -150,10 +150,12 @@ def expand(frontier: DataFrame, polar: Polar, o: Options, wind: Field | None = N
         best = polar.best_angles_at(frontier.sparkSession, "tws", o.monotone)
         f = f.withColumn("_best", best)
         headings = F.concat(headings, F.array(*(G.normalize_degrees(F.col("twd") + k * F.col(f"_best.{x}")) for x in ("up", "down") for k in (1, -1))))
+    if not o.monotone:  # the wind is looked up in the table once for all headings
+        f = f.withColumn("_row", polar.at_wind("tws"))
     e = f.select("*", F.posexplode(headings).alias("h_ord", "new_heading"))
     e = e.withColumn("angle", G.angular_difference("new_heading", "twd"))
     sails = (F.col("speed") > 0) & (F.col("speed") >= o.min_speed)
-    e = e.withColumn("speed", polar.speed("angle", "tws", o.monotone)).where(sails)
+    e = e.withColumn("speed", polar.speed("angle", "tws", True) if o.monotone else polar.along("angle", "_row")).where(sails).drop("_row")
     if around.waves is not None:
         e = save(e.withColumn("_flat", F.col("speed")))
         e = save(e.withColumn("speed", around.derated(F.col("_flat")))).where(sails)
