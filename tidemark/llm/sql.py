@@ -78,9 +78,10 @@ def _jsd(p: str, q: str) -> str:
     return f"sqrt(greatest(0e0, list_sum(list_transform(list_zip({p}, {q}), lambda x: ({term(a, b)} + {term(b, a)}) / 2))))"
 
 
-def _fence(name: str, times: float) -> str:
+def _fence(name: str, times: float, every: bool = False) -> str:
     low, mid = (f"quantile_cont(round({name}, 3), {p}) FILTER (NOT base_failed)" for p in (0.1, 0.5))
-    return f"CASE WHEN count({name}) FILTER (NOT base_failed) >= {Q.MIN_GROUP} THEN {mid} + {times} * greatest({mid} - {low}, {Q.LEAST_WAY}) END"
+    n, way = f"count({name}) FILTER (NOT base_failed)", f"{times} * greatest({mid} - {low}, {Q.LEAST_WAY})"
+    return f"{mid} + {way} * (1 + {Q.MIN_GROUP} / {n})" if every else f"CASE WHEN {n} >= {Q.MIN_GROUP} THEN {mid} + {way} END"
 
 
 _FENCES = f"{_fence('cd', Q.CHAR_FENCE)} AS c, {_fence('wd', Q.WORD_FENCE)} AS w"
@@ -107,11 +108,12 @@ f AS (SELECT lang, [{', '.join(f'sum(char_hist[{i}])' for i in range(1, len(Q.CL
 j AS (SELECT h.*, length(bin(n_words)) AS size, CASE WHEN n_chars >= {Q.MIN_CHARS} AND char_ref IS NOT NULL THEN {_jsd('char_hist', 'char_ref')} END AS cd,
   CASE WHEN n_words >= {Q.MIN_WORDS} AND word_hist IS NOT NULL AND word_ref IS NOT NULL THEN {_jsd('word_hist', 'word_ref')} END AS wd FROM h LEFT JOIN f ON h.lang IS NOT DISTINCT FROM f.lang),
 a AS (SELECT lang, size, {_FENCES} FROM j GROUP BY 1, 2),
-b AS (SELECT lang, {_FENCES} FROM j GROUP BY 1)
+b AS (SELECT lang, {_FENCES} FROM j GROUP BY 1),
+e AS (SELECT {_fence('cd', Q.CHAR_FENCE, True)} AS c, {_fence('wd', Q.WORD_FENCE, True)} AS w FROM j)
 SELECT doc_id, n_words, word_chars, n_symbol AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(cd, 0) <= least({Q.MAX_CHAR_DISTANCE}, coalesce(a.c, b.c)) + 1e-9 AND coalesce(wd, 0) <= least({Q.MAX_WORD_DISTANCE}, coalesce(a.w, b.w)) + 1e-9 AS kept,
+  NOT base_failed AND coalesce(cd, 0) <= least({Q.MAX_CHAR_DISTANCE}, coalesce(a.c, b.c, e.c)) + 1e-9 AND coalesce(wd, 0) <= least({Q.MAX_WORD_DISTANCE}, coalesce(a.w, b.w, e.w)) + 1e-9 AS kept,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
-FROM j JOIN a ON j.lang IS NOT DISTINCT FROM a.lang AND j.size = a.size JOIN b ON j.lang IS NOT DISTINCT FROM b.lang
+FROM j JOIN a ON j.lang IS NOT DISTINCT FROM a.lang AND j.size = a.size JOIN b ON j.lang IS NOT DISTINCT FROM b.lang CROSS JOIN e
 """
 
 _LETTERS = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
