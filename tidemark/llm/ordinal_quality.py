@@ -7,8 +7,8 @@ by grade; fits that leave parts of it out set the probability from which rows ar
 
 Defined cases: null or empty text has no features and gets the grade of the thresholds
 alone; a text of any length is read whole, within one task; rated rows without a
-document, without a grade or with a null id are not learned from; a rating that repeats
-counts once, and a document rated twice counts with both grades; with fewer than two
+document, without a grade or with a null id are not learned from; a rating or a row
+that repeats counts once, and a document rated twice counts with both grades; with fewer than two
 grades every tail probability is 1 for the lowest grade; a probability equal to the
 least one is kept; repeated rows each get a result; extra columns are ignored; an empty
 table gives an empty result.
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._spark import Scratch
 
 BITS = 18
 #: Bound of the sample: rated rows of each grade.
@@ -116,17 +117,31 @@ class OrdinalModel:
     least: dict[int, float]
 
 
-def sample_ratings(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int = PER_GRADE) -> DataFrame:
-    """(grade, fold, text): at most per_grade rated rows of each grade, chosen by a hash, in FOLDS parts by another."""
+def _first_of_each(rows: DataFrame, by: list[str], per_grade: int, scratch: Scratch) -> DataFrame:
+    """The per_grade rows of each grade with the least hashes of `by`, which is unique within a grade.
+
+    A grade's count gives the hash below which some twice per_grade of its rows lie, so only
+    those are ranked, and no task sorts a whole grade.
+    """
+    rows = scratch.save(rows.withColumn("chance", F.xxhash64(F.lit(17), *by)), "rated")
+    share = rows.groupBy("grade").agg(F.count("*").alias("n")).select(F.col("grade").alias("of"), ((2 * per_grade + 1000) / F.col("n")).alias("share"))
+    near = F.col("chance").cast("double") / F.lit(2.0**64) + 0.5 <= F.col("share")
+    few = rows.join(F.broadcast(share), F.col("grade") == F.col("of")).where(near)  # a row for each grade
+    first = Window.partitionBy("grade").orderBy("chance", *by)
+    return few.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_grade).select(rows.columns).drop("chance")
+
+
+def sample_ratings(docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int = PER_GRADE, scratch: Scratch | None = None) -> DataFrame:
+    """(grade, fold, text): at most per_grade rated texts of each grade, chosen by a hash, in FOLDS parts by another."""
+    scratch = scratch or Scratch(docs.sparkSession, "ratings")
     rated = ratings.where("doc_id is not null and grade is not null").select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int").alias("grade"))
     rated = rated.where(F.col("grade").between(0, grades - 1)).distinct()
-    chance = F.xxhash64(F.lit(17), "rated_id")
-    first = Window.partitionBy("grade").orderBy(chance, "rated_id")
-    chosen = rated.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_grade).drop("n")  # so it can be broadcast
+    chosen = scratch.save(_first_of_each(rated, ["rated_id"], per_grade, scratch), "chosen")  # so few that it can be broadcast
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("rated_id"))
+    picked = scratch.save(picked.select("grade", "rated_id", F.xxhash64("text").alias("named"), "text"), "picked")
     # documents that share an id are more rows than ratings
-    first = Window.partitionBy("grade").orderBy(chance, "rated_id", F.xxhash64("text"))
-    picked = picked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_grade)
+    names = scratch.save(_first_of_each(picked.select("grade", "rated_id", "named").distinct(), ["rated_id", "named"], per_grade, scratch), "names")
+    picked = picked.join(F.broadcast(names), ["grade", "rated_id", "named"], "left_semi").dropDuplicates(["grade", "rated_id", "text"])
     return picked.select("grade", F.pmod(F.xxhash64(F.lit(23), "rated_id"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
