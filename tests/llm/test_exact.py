@@ -28,6 +28,15 @@ def test_near_duplicates_cases(spark, empty):
     assert sorted((r[0] is not None, r[0]) for r in kept.collect()) == [(False, None), (False, None), (True, 5), (True, 9)]
 
 
+def test_drop_near_duplicates_keeps_texts_that_share_an_id(spark):
+    text, other = "a b c d e f g h", "p q r s t u v w"
+    df = spark.createDataFrame([(text, 2, 5), (text, 1, 5), (other, 1, 5), (None, 3, 6), (text, 0, 7)], "text string, rows_of_id long, doc_id int")
+    for parts in (1, 4):
+        kept = near_dedup.drop_near_duplicates(df.repartition(parts), 2)
+        assert kept.columns == df.columns
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted([(text, 1, 5), (other, 1, 5), (None, 3, 6)], key=str)
+
+
 def test_near_duplicates_without_star(spark):
     """A chain in which only neighbours are similar, and a group whose smallest id is not its centre."""
     words = [f"w{i}" for i in range(400)]

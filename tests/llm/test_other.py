@@ -68,6 +68,20 @@ def test_quality_of_texts_without_common_words(spark):
     assert sum(got[i]["kept"] for i in range(60)) >= 57
 
 
+def test_quality_of_a_small_language(spark):
+    """A language of few documents is judged by the limits of all; one small corpus has a wider way, but no fixed limit alone."""
+    import random
+
+    r = random.Random(2)
+    text = lambda common: " ".join(r.choice(common) if r.random() < 0.3 else "".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))
+    words = {"en": "the of and to in is that for it as with be".split(), "fr": "le la les de des et un une que qui dans pour".split()}
+    few = [(i, text(words["fr"]), "fr") for i in range(25)] + [(99, text(["zzzzz"]), "fr")]
+    more = [(i + 200, text(words["en"]), "en") for i in range(60)]
+    for rows in (few, few + more):
+        got = {x["doc_id"]: x["kept"] for x in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert not got.pop(99) and sum(got.values()) >= len(got) - 2
+
+
 def test_quality_keeps_columns(docs):
     clash = docs.withColumn("k", F.lit(1)).withColumn("n_words", F.lit(1))
     assert quality_rules.drop_low_quality(clash).columns == clash.columns
@@ -142,6 +156,40 @@ def test_ordinal_sample(spark):
     assert not kept[1] and sum(kept[i] for i in range(2, 102)) > 90  # with a hundred labelled rows
 
 
+def test_ordinal_sample_is_the_least_hashes(spark):
+    """Whatever the number of rated rows, the sample is that of ranking each whole grade."""
+    ratings = spark.range(9000).select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("grade"))
+    docs = ratings.select("doc_id", F.concat(F.lit("t"), "doc_id").alias("text"))
+    got = {(r["grade"], r["text"]) for r in ordinal_quality.sample_ratings(docs.union(docs), ratings, 2, per_grade=40).collect()}
+    every = ratings.select("grade", F.xxhash64(F.lit(17), "doc_id").alias("h"), F.concat(F.lit("t"), "doc_id").alias("text")).collect()
+    assert got == {(g, r["text"]) for g in (0, 1) for r in sorted((r for r in every if r["grade"] == g), key=lambda r: r["h"])[:40]}
+
+
+def test_ordinal_fit_is_the_optimum():
+    """No descent by numeric gradients from another start finds a better fit."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    held = r.random((300, 4)) < 0.5
+    z = held @ np.array([1.5, -1.0, 0.4, 0.0]) + r.logistic(size=300)
+    grade = (z > -0.3).astype(int) + (z > 1.2)
+    features = [np.flatnonzero(row).astype(np.int32) * 7 for row in held]
+    weight = (len(grade) / 3) / np.bincount(grade, minlength=3)[grade]
+
+    def loss(p):
+        cuts = [-np.inf, p[4], p[4] + np.exp(p[5]), np.inf]
+        above = np.array([1 / (1 + np.exp(np.clip(c - held @ p[:4], -700, 700))) for c in cuts])
+        like = above[grade, np.arange(len(grade))] - above[grade + 1, np.arange(len(grade))]
+        return -(weight * np.log(like)).mean() + ordinal_quality.L2 / 2 * (p[:4] ** 2).sum()
+
+    p = np.array([0.3, 0.3, -0.3, 0.3, 0.5, 0.5])
+    for _ in range(3000):
+        p = p - 0.3 * np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(6) * 1e-5])
+    w, cuts = ordinal_quality.fit_ordinal(grade, features, 3)
+    fitted = np.array([*w[[0, 7, 14, 21]], cuts[0], np.log(cuts[1] - cuts[0])])
+    assert loss(fitted) < loss(p) + 1e-4 and np.allclose(fitted, p, atol=0.05)
+
+
 def test_ordinal_brute_force(spark):
     """Grades from the model's weights by plain Python, for odd and for long texts."""
     import hashlib

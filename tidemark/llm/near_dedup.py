@@ -403,7 +403,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id names its component, one row for each such id."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    lone = docs.where("doc_id is null")
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
+    """The rows of `docs` whose doc_id names its component.
+
+    Rows that share such an id stay once for each different text, the one whose other
+    columns, as JSON, come first.
+    """
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    kept = near_duplicates(docs, shingle, percent, scratch=scratch).where("kept and doc_id is not null")
+    kept = scratch.save(kept.groupBy("doc_id").agg(F.count("*").alias("rows_of_id")), "kept")
+    ids = kept.where("rows_of_id = 1").select(F.col("doc_id").alias("kept_id"))
+    out = docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    shared = kept.where("rows_of_id > 1")
+    if shared.isEmpty():
+        return out
+    rest = F.struct(F.lit(0).alias("_"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    rows = join_hot(docs.select("doc_id", "text", rest.alias("rest")), shared, "doc_id", "rows_of_id")
+    rows = rows.groupBy("doc_id", "text").agg(F.min_by("rest", F.to_json("rest")).alias("rest"))
+    return out.unionByName(rows.select("doc_id", "text", "rest.*").select(docs.columns))
