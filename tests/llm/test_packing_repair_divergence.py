@@ -203,6 +203,14 @@ def test_repair_defined_cases(spark):
     assert repair.repaired_digests(repair.repair_conversations(none)).collect() == []
 
 
+def test_rows_of_one_turn_come_by_their_whole_texts(spark):
+    """As in the SQL; of texts that begin alike for 32 characters too."""
+    given = [(c, 0, "user", "The same beginning, for all of them: " + x) for c in range(20) for x in (f"z{c}.", f"m{c}", f"a{c}!", f"é{c}.")]
+    df = spark.createDataFrame(given, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {x["conv_id"]: tuple(x)[1:] for x in repair.repaired_digests(repair.repair_conversations(df)).collect()}
+    assert got == {c: brute_report([row[1:] for row in given if row[0] == c]) for c in range(20)}
+
+
 def test_repaired_rows_are_sound(spark):
     rows = repair.repair_conversations(spark.read.parquet(f"{SF}/conversations.parquet").where("turn <> 1")).collect()
     roles = defaultdict(str)
