@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dedup, recompression, suffix_dedup
 from tidemark.llm import _repeats as R
+from tidemark.llm._spark import Scratch, list_folder
 
 
 def rows(df, n):
@@ -143,6 +144,14 @@ def test_batches_to_a_kept_index(spark, docs, corpus, tmp_path):
     assert [n for n, _ in suffix_dedup.SuffixIndex(spark, str(tmp_path / "index")).levels] == [2, 1]
 
 
+def test_large_tables_go_early(spark, docs):
+    """Of the suffixes, the index and the contexts nothing is left once the marks are known."""
+    scratch = Scratch(spark, "suffix")
+    suffix_dedup.remove_repeated_strings(docs, scratch=scratch)
+    left = {x.split("-", 1)[-1] for x in list_folder(spark, scratch.root)}
+    assert {"classes", "marks"} <= left and not left & {"index", "sampled", "contexts", "repeated", "keys"}
+
+
 def test_repeats_by_name(docs, corpus, monkeypatch):
     """The way for keys with very many contexts."""
     monkeypatch.setattr(R, "HOT", 1)

@@ -306,18 +306,24 @@ def distinct_contexts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("prefix", "key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "lo", "hi")).alias("e"))
 
 
-def edge_marks(docs: DataFrame, classes: DataFrame, entries: DataFrame, contexts: DataFrame, method: Method, scratch: Scratch) -> DataFrame:
+def edge_marks(docs: DataFrame, classes: DataFrame, entries: DataFrame, contexts: DataFrame, method: Method, scratch: Scratch, spent: bool = False) -> DataFrame:
     """(uid, begin, end): the symbols of each text that repeated windows cover.
 
     contexts: those whose key may be repeated, of the entries and of any earlier ones.
+    spent: entries and contexts, both saved, are dropped here once nothing reads them.
     """
     repeated = scratch.save(contexts.where("n > 1").select("ctx", "n"), "repeated")
     whole = join_hot(entries, repeated, "ctx", "n").select("uid", F.col("lo").alias("begin"), (F.col("hi") + method.window).alias("end"))
+    if spent:
+        whole = scratch.save(whole, "whole")
+        scratch.drop(entries, repeated)
     many = scratch.save(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "keys")
     edges = join_hot(contexts, many.select("key", "m", (F.col("m") > HOT).alias("hot")), "key", "m")
     edges = edges.select("e.uid", F.struct("key", (F.col("n") == 1).alias("single"), "e.lo", "e.hi", "hot").alias("edge"))
     edges = edges.groupBy("uid").agg(F.collect_list("edge").alias("edges"))
     edges = scratch.save(classes.join(edges, "uid"), "edges")
+    if spent:
+        scratch.drop(contexts, many)
     bodies = texts_of(docs, edges, "edges").mapInArrow(_contexts(method), "key long, more long, uid long, single boolean, start int, body binary")
     bodies = bodies.repartition("key").sortWithinPartitions("key", "more", "uid", "start")
     marks = bodies.mapInArrow(_compare(method), "uid long, begin int, end int")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _text as T
-from ._spark import Scratch, join_hot, list_folder
+from ._spark import Scratch, join_hot, list_folder, settings_held
 
 LENGTH, K = 200, 48
 BATCHES = 4
@@ -84,7 +84,8 @@ class SuffixIndex:
 
     def _write(self, df: DataFrame) -> str:
         name = f"level-{uuid.uuid4().hex}"
-        df.sortWithinPartitions("prefix", "key").write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        with settings_held(self.spark):
+            df.sortWithinPartitions("prefix", "key").write.option("compression", "zstd").parquet(f"{self.root}/{name}")
         return name
 
     def _read(self, name: str) -> DataFrame:
@@ -101,18 +102,25 @@ class SuffixIndex:
             theirs = self._read(level).groupBy(*by).agg(F.count("*").alias("d"))
             found = found.union(mine.hint("merge").join(theirs, by).select("key", (F.col("c") + F.col("d")).alias("m")))
         found = Scratch(self.spark, "found").save(found.groupBy("key").agg(F.sum("m").alias("m")), "found")
-        size, gone = 1, []
-        while self.levels and self.levels[-1][0] == size:
+        size, rows, gone = 1, new, []
+        while self.levels and self.levels[-1][0] == size:  # all that meet are merged at once
             _, old = self.levels.pop()
-            both = self._read(old).union(self._read(name)).groupBy(*by, "ctx").agg(F.sum("n").alias("n"), F.min("e").alias("e"))
-            gone += [old, name]
-            name, size = self._write(both), 2 * size
+            rows, size = rows.union(self._read(old)), 2 * size
+            gone.append(old)
+        if gone:
+            gone.append(name)
+            name = self._write(rows.groupBy(*by, "ctx").agg(F.sum("n").alias("n"), F.min("e").alias("e")))
         self.levels.append((size, name))
         self.spark.createDataFrame(self.levels, "size long, name string").coalesce(1).write.parquet(f"{self.root}/levels-{self.version:06d}")
         self.version += 1
         Scratch.delete(self.spark, [f"{self.root}/{x}" for x in gone])
         return found
 
+    def delete(self) -> None:
+        """Delete the index; for one that no later batch continues."""
+        Scratch.delete(self.spark, [self.root])
+        self.levels = []
+
     def contexts(self, keys: DataFrame) -> DataFrame:
         """The contexts of `keys` (key, m) in all levels, those that several levels hold once."""
         rows = self._read(self.levels[0][1])
@@ -136,7 +144,7 @@ def remove_repeated_strings(docs: DataFrame, batches: int = BATCHES, scratch: Sc
     for i in range(batches):
         new = index.add(sampled.where(F.col("batch") == i).drop("batch"))
         found = new if found is None else found.union(new)
-    return _judged(docs, docs, classes, sampled, index, found, scratch)
+    return _judged(docs, docs, classes, sampled, index, found, scratch, kept=False)
 
 
 def add_to_index(docs: DataFrame, earlier: DataFrame | None, root: str, scratch: Scratch | None = None) -> DataFrame:
@@ -155,8 +163,11 @@ def add_to_index(docs: DataFrame, earlier: DataFrame | None, root: str, scratch:
     return _judged(docs, both, classes, entries, index, index.add(entries), scratch)
 
 
-def _judged(docs: DataFrame, texts: DataFrame, classes: DataFrame, entries: DataFrame, index: SuffixIndex, found: DataFrame, scratch: Scratch) -> DataFrame:
+def _judged(docs: DataFrame, texts: DataFrame, classes: DataFrame, entries: DataFrame, index: SuffixIndex, found: DataFrame, scratch: Scratch, kept: bool = True) -> DataFrame:
+    """kept: whether the index outlives the call. Other tables go once nothing reads them."""
     keys = scratch.save(found.groupBy("key").agg(F.sum("m").alias("m")), "found")
     contexts = scratch.save(index.contexts(keys), "contexts")
-    marks = R.edge_marks(texts, classes, entries, contexts, BYTES, scratch)
+    if not kept:
+        index.delete()
+    marks = R.edge_marks(texts, classes, entries, contexts, BYTES, scratch, spent=True)
     return R.remove_marked(docs, classes, marks, BYTES, scratch).withColumnRenamed("n_symbols", "n_bytes")
