@@ -192,3 +192,26 @@ def test_extra_columns(docs, corpus):
     clash = docs.withColumn("band", F.lit(1)).withColumn("uid", F.lit(2)).withColumn("component_id", F.lit(3))
     assert near_dedup.near_duplicates(clash, 2).count() == len(corpus)
     assert suffix_dedup.remove_repeated_strings(clash).count() == len(corpus)
+
+
+def test_suffix_tasks_hold_little():
+    """Each byte is a symbol, so a task must look at few bytes together whatever it is given."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = ["".join(map(chr, r.integers(97, 123, 2000))) for _ in range(2000)]
+    uid = pa.array(range(2000), pa.int64())
+    given = pa.RecordBatch.from_arrays([uid, pa.array(texts)], names=["uid", "text"])
+    bodies = [x[:400].encode() for x in texts for _ in range(5)]
+    key = pa.array(np.repeat(np.arange(2000), 5), pa.int64())
+    zero = pa.array(np.zeros(10000), pa.int64())
+    kept = pa.RecordBatch.from_arrays([key, zero, key, pa.array([True] * 10000), zero.cast(pa.int32()), pa.array(bodies)], names=["key", "more", "uid", "single", "start", "body"])
+    for task, batches in ((R._entries, [given]), (R._compare, [kept.slice(i, 1000) for i in range(0, 10000, 1000)])):
+        tracemalloc.start()
+        n = sum(b.num_rows for b in task(suffix_dedup.BYTES)(iter(batches)))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert n >= 10000 and most < 80

@@ -54,7 +54,9 @@ class Symbols:
 class Method:
     """window: symbols of a window. read: texts to Symbols. choose: Symbols to (window starts, anchor number, key, anchor symbol).
 
-    prefix: Symbols and anchors to the order of the entries, None for none.
+    prefix: Symbols and anchors to the order of the entries, None for none. chunk: bytes of
+    text that a task looks at together (one text or one key at least); a symbol takes some
+    hundred bytes of memory meanwhile.
     """
 
     window: int
@@ -62,6 +64,7 @@ class Method:
     choose: Callable[[Symbols, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     join: bytes
     prefix: Callable[[Symbols, np.ndarray], np.ndarray] | None = None
+    chunk: int = T.CHUNK_BYTES
 
 
 def read_bytes(column: pa.Array) -> Symbols:
@@ -97,7 +100,7 @@ def _entries(method: Method):
     w = method.window
 
     def run(batches):
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, size=method.chunk):
             s = method.read(batch.column("text"))
             starts, chosen, key, at = method.choose(s, w)
             if len(starts):
@@ -122,7 +125,7 @@ def _contexts(method: Method):
     w = method.window
 
     def run(batches):
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, size=method.chunk):
             s = method.read(batch.column("text"))
             out = {k: [] for k in ("key", "more", "uid", "single", "start", "body")}
             for i, (uid, rows) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("edges").to_pylist(), strict=True)):
@@ -221,7 +224,7 @@ def _compare(method: Method):
             if bodies.num_rows:
                 held.append(bodies)
                 size += bodies.nbytes
-                if size > 4 * T.CHUNK_BYTES:
+                if size > method.chunk:
                     whole = pa.concat_batches(held)
                     key = np.asarray(whole.column("key"))
                     cut = int(np.searchsorted(key, key[-1]))
@@ -247,7 +250,7 @@ def _kept_runs(gone: np.ndarray, base: int) -> list[tuple[int, int]]:
 
 def _finish(method: Method):
     def run(batches):
-        for batch in T.chunks(batches):
+        for batch in T.chunks(batches, size=method.chunk):
             s = method.read(batch.column("text"))
             rows = []
             for i, (copies, marks) in enumerate(zip(batch.column("copies").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
@@ -337,4 +340,5 @@ def remove_marked(docs: DataFrame, classes: DataFrame, marks: DataFrame, method:
     marked = F.when(F.col("copies") == 1, F.col("marks")).alias("marks")
     facts = scratch.save(classes.join(lists, "uid", "left").select("digest", "copies", F.col("copies").alias("times"), marked), "facts")
     rows = join_hot(with_digest(docs), facts, "digest", "times").select("doc_id", "text", "copies", "marks")
-    return rows.mapInArrow(_finish(method), "doc_id long, n_symbols long, n_removed long, n_spans long, kept_sha256 string")
+    # saved here, as the caller's own write would hand whole texts to Python ten thousand at a time
+    return scratch.save(rows.mapInArrow(_finish(method), "doc_id long, n_symbols long, n_removed long, n_spans long, kept_sha256 string"), "result")

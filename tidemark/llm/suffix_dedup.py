@@ -33,6 +33,8 @@ from ._spark import Scratch, join_hot, list_folder, settings_held
 
 LENGTH, K = 200, 48
 BATCHES = 4
+#: Bytes of text that a task looks at together: each is a symbol.
+CHUNK = 1 << 18
 #: String starts that are looked at together; names are packed with positions counted from the first of them.
 PIECE = 1 << 25
 _LOW = np.uint64((1 << 26) - 1)
@@ -63,7 +65,7 @@ def suffix_order(s: R.Symbols, at: np.ndarray) -> np.ndarray:
     return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
-BYTES = R.Method(LENGTH, R.read_bytes, choose_suffixes, b"", suffix_order)
+BYTES = R.Method(LENGTH, R.read_bytes, choose_suffixes, b"", suffix_order, CHUNK)
 
 
 class SuffixIndex:
