@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dedup, recompression, suffix_dedup
 from tidemark.llm import _repeats as R
-from tidemark.llm._spark import Scratch, list_folder
+from tidemark.llm._spark import MIN_FILES, Scratch, connected_components, join_hot, list_folder
 
 
 def rows(df, n):
@@ -215,3 +215,26 @@ def test_suffix_tasks_hold_little():
         most = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
         assert n >= 10000 and most < 80
+
+
+def test_components_of_few_edges_are_few_files(spark, tmp_path):
+    """A round over few edges writes few files however many partitions shuffles have; keys of any kind may be hot."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    held = ("spark.sql.shuffle.partitions", "60"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for k, v in held:
+        spark.conf.set(k, v)
+    try:
+        scratch = Scratch(spark, "few")
+        edges = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") - F.col("id") % 100).alias("b"))
+        got = connected_components(edges, scratch)
+        assert got.inputFiles() and len(got.inputFiles()) <= MIN_FILES
+        assert {r[0] - r[0] % 100 == r[1] for r in got.collect()} == {True} and got.count() == 2000
+        plan = join_hot(edges, scratch.save(edges.groupBy("b").agg(F.count("*").alias("n"))), "b", "n")
+        assert "LeftAnti" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 2000
+    finally:
+        spark.conf.set(held[0][0], n)
+        spark.conf.unset(held[1][0])
+    rows = spark.createDataFrame([(bytes([i % 3]), i) for i in range(30)] + [(None, 99)], "k binary, i int")
+    facts = scratch.save(rows.groupBy("k").agg(F.count("*").alias("n"), F.sum("i").alias("s")))
+    assert join_hot(rows, facts, "k", "n").agg(F.count("*"), F.sum("s")).first() == (30, sum(10 * sum(range(j, 30, 3)) for j in range(3)))
+    assert join_hot(rows, facts, "k", "n", "left").count() == 31

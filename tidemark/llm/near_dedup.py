@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     leaders = leaders.join(held.select(F.col("node").alias("a"), F.col("s8").alias("sa")), "a")
     pairs = scratch.save(join_hot(pairs, leaders, "a", "n").select("a", "b", "sa", "sb").mapInArrow(_prune(table), "a long, b long"), "pairs")
     links = _confirm(pairs.select(F.col("a").alias("cl"), "a", "b").distinct(), texts, scratch, shingle, percent)
-    parts = scratch.save(connected_components(links, scratch), "components")
+    parts = scratch.save(connected_components(links, scratch), "components", rows=links.count())
     # what is not yet together: leaders have met all others of their bucket
     known = members.where("leader <> node").select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
     known = scratch.save(known, "known")
@@ -394,7 +394,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
         rows = hopeful.distinct().join(held, "node").join(texts, "node").repartition(*by).sortWithinPartitions(*order)
         more = scratch.save(rows.mapInArrow(_meet(shingle, percent, table), "a long, b long"), "links")
         if not more.isEmpty():
-            parts = scratch.save(connected_components(links.union(more), scratch), "components")
+            parts = scratch.save(connected_components(links.union(more), scratch), "components", rows=links.count() + more.count())
     by_class = scratch.save(classes.join(parts, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("component_id")), "named")
     # rows with a null id and those without shingles are components of their own
     named = join_hot(full.select("doc_id", "n_shingles", "digest"), by_class, "digest", "copies").select("doc_id", "n_shingles", "component_id")
