@@ -1,10 +1,13 @@
 """Operators without an exact result: round trips, accuracy, properties."""
 
+import hashlib
+
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, language_id, mixing, ordinal_quality, quality_rules, queries, secret_scan
+from tidemark.llm._spark import Scratch
 
 SF = "/root/testdata/sf0.01"
 
@@ -82,6 +85,22 @@ def test_quality_of_a_small_language(spark):
         assert not got.pop(99) and sum(got.values()) >= len(got) - 2
 
 
+def test_quality_learns_of_every_language_and_word(spark):
+    """However small its part, a language has words learned, and a word of any length can be one."""
+    filler = lambda i: " ".join(f"{c}{i % 97}" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    line = "/" * 50
+    rows = [(i, f"the of and {line} " + filler(i), "en") for i in range(2100)]
+    rows += [(5000, "le la les " + filler(5), "fr"), (5001, "short", "fr"), (5002, "so " + filler(6), None), (5003, "short", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {x["doc_id"]: x for x in quality_rules.quality_verdicts(df).collect()}
+    assert len(got) == len(rows) and got[5000]["word_distance"] == 0 and got[5000]["kept"] and got[50]["kept"]
+    assert got[5001]["word_distance"] is None and got[5002]["word_distance"] is None and got[5003]["base_failed"]
+    lists = {r["language"]: r["common"] for r in quality_rules.learn_common_words(df, Scratch(spark, "words")).collect()}
+    assert set(lists) == {"=en", "=fr"} and {"the", "of", "and", hashlib.sha256(line.encode()).hexdigest()} == set(lists["=en"][:4])
+    bound = {x["doc_id"]: x for x in quality_rules.quality_verdicts(df, parts=1000, longest=40).collect()}
+    assert bound[5000]["word_distance"] is None and bound[0]["word_distance"] is not None
+
+
 def test_quality_keeps_columns(docs):
     clash = docs.withColumn("k", F.lit(1)).withColumn("n_words", F.lit(1))
     assert quality_rules.drop_low_quality(clash).columns == clash.columns
