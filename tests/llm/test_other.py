@@ -101,6 +101,17 @@ def test_quality_learns_of_every_language_and_word(spark):
     assert bound[5000]["word_distance"] is None and bound[0]["word_distance"] is not None
 
 
+def test_quality_sorts_windows_of_repeating_texts_alone(spark):
+    """Where all windows of a text differ nothing is sorted; odd spaces, few words and signs are measured as before."""
+    texts = ["a b c d e f", "a b c d a b c", "a a a a", "a b c", "a b", "", " \t", "\x0b x  y\r\nx  y \x0bx y\n", "É{A}ß 12 #|a.b-(C)! ǅ Ω", "\n\nq\nq\n", None, "\x1f\x00 z\u00a0z \u2003"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    words = df.select("doc_id", quality_rules._words(F.coalesce("text", F.lit(""))).alias("words")).withColumn("hashes", quality_rules._hashes(F.col("words")))
+    windows = {r[0]: r[1] for r in words.select("doc_id", quality_rules._windows(F.col("hashes"))).collect()}
+    assert {i for i, w in windows.items() if w is not None} == {1, 2, 7}
+    got = {r[0]: tuple(r[1:7]) for r in quality_rules.quality_verdicts(df).collect()}
+    assert got == {i: brute.base_quality(t) for i, t in enumerate(texts)}
+
+
 def test_quality_keeps_columns(docs):
     clash = docs.withColumn("k", F.lit(1)).withColumn("n_words", F.lit(1))
     assert quality_rules.drop_low_quality(clash).columns == clash.columns
