@@ -1,5 +1,7 @@
 """Operators with an exact result, against plain Python."""
 
+import hashlib
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,26 @@ def test_repeats_cases(spark, empty, remove):
     assert all((n > 0) == (total > 1 and total != 5) for (_, total), n in lost.items() if total)
 
 
+def test_symbols_are_named_for_anchors_alone(monkeypatch):
+    """Cutting contexts and removing what is marked needs no names."""
+    import pyarrow as pa
+
+    def unasked(*_):
+        raise AssertionError("named")
+
+    monkeypatch.setattr(R.T.Words, "names", unasked)
+    monkeypatch.setattr(R.T, "byte_symbols", unasked)
+    for method, text, kept in ((recompression.WORDS, " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in (*range(5), *range(45, 60)))), (suffix_dedup.BYTES, "abcde" * 60, "abcde" * 8)):
+        w = method.window
+        marks = [{"begin": 5, "end": 45}] if w == 35 else [{"begin": 40, "end": 300}]
+        (out,) = R._finish(method)([pa.RecordBatch.from_pylist([{"doc_id": 1, "text": text, "copies": 1, "marks": marks}])])
+        assert out.to_pylist()[0]["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+        for hot, n in ((False, 1), (True, 4)):
+            edges = [{"key": 7, "single": True, "lo": 2, "hi": 5, "hot": hot}]
+            (out,) = R._contexts(method)([pa.RecordBatch.from_pylist([{"uid": 1, "text": text, "edges": edges}])])
+            assert out.num_rows == n and (hot or out.column("body")[0].as_py() == (b" ".join(f"w{i}".encode() for i in range(2, 40)) if w == 35 else text[2:205].encode()))
+
+
 def test_every_window_has_an_anchor():
     """Random words with runs: choose_symbols raises where a window has none."""
     import numpy as np

@@ -36,12 +36,14 @@ from ._spark import Scratch, join_hot
 #: Contexts of one key that are still compared within one task; beyond, each window travels by its own name.
 HOT = 4000
 
+_UNNAMED = np.zeros(0, np.uint64)
+
 ENTRY = "prefix long, key long, ctx binary, uid long, lo int, hi int"
 
 
 @dataclass
 class Symbols:
-    """Symbols of a chunk of texts: names, where each text's begin, and their bytes, of which ranges are equal where the symbols are."""
+    """Symbols of a chunk of texts: names (none if not asked for), where each text's begin, and their bytes, of which ranges are equal where the symbols are."""
 
     names: np.ndarray
     first: np.ndarray
@@ -60,24 +62,24 @@ class Method:
     """
 
     window: int
-    read: Callable[[pa.Array], Symbols]
+    read: Callable[..., Symbols]
     choose: Callable[[Symbols, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     join: bytes
     prefix: Callable[[Symbols, np.ndarray], np.ndarray] | None = None
     chunk: int = T.CHUNK_BYTES
 
 
-def read_bytes(column: pa.Array) -> Symbols:
+def read_bytes(column: pa.Array, named: bool = True) -> Symbols:
     data, off = T.utf8(column)
     at = np.arange(len(data))
-    return Symbols(T.byte_symbols(data), off, at, at + 1, data)
+    return Symbols(T.byte_symbols(data) if named else _UNNAMED, off, at, at + 1, data)
 
 
-def read_words(column: pa.Array) -> Symbols:
+def read_words(column: pa.Array, named: bool = True) -> Symbols:
     data, off = T.utf8(column)
     w = T.Words(data, off, T.NOT_SPACE)
     spaced, start, end = w.spaced()
-    return Symbols(w.names(), w.first, start, end, spaced)
+    return Symbols(w.names() if named else _UNNAMED, w.first, start, end, spaced)
 
 
 def bytes_of(s: Symbols, begin: np.ndarray, end: np.ndarray) -> list[memoryview]:
@@ -126,7 +128,7 @@ def _contexts(method: Method):
 
     def run(batches):
         for batch in T.chunks(batches, size=method.chunk):
-            s = method.read(batch.column("text"))
+            s = method.read(batch.column("text"), named=False)
             out = {k: [] for k in ("key", "more", "uid", "single", "start", "body")}
             for i, (uid, rows) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("edges").to_pylist(), strict=True)):
                 base = int(s.first[i])
@@ -251,7 +253,7 @@ def _kept_runs(gone: np.ndarray, base: int) -> list[tuple[int, int]]:
 def _finish(method: Method):
     def run(batches):
         for batch in T.chunks(batches, size=method.chunk):
-            s = method.read(batch.column("text"))
+            s = method.read(batch.column("text"), named=False)
             rows = []
             for i, (copies, marks) in enumerate(zip(batch.column("copies").to_pylist(), batch.column("marks").to_pylist(), strict=True)):
                 a, z = int(s.first[i]), int(s.first[i + 1])
