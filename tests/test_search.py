@@ -149,3 +149,28 @@ def test_best_vmg_headings(spark):
     wind, spec = registry._constant_wind(spark)
     _, work = _one(spark, wind, spec, (1.0, 0.5, 1.0, 0.6), Options(tiers=[(3600, None)], heading_step=90.0, per_bucket=1, best_vmg=True))
     assert work[0] == "destination_reached" and work[2] == 3 + 4  # the wind's eye is no heading
+
+
+def _counted(seen, f):
+    """f, noting how many requests its rows are of."""
+    return lambda rows, *a, **k: seen.append(rows.select("request_id").distinct().count()) or f(rows, *a, **k)
+
+
+def test_alike_requests_are_searched_once(spark, monkeypatch):
+    from tidemark.operators import frontier
+
+    wind, spec = registry._constant_wind(spark)
+    rows = [(k, 1.0, 0.5, 1.0, 0.6 + k % 2 / 10, None if k % 3 == 0 else NOON) for k in range(60)]
+    req = spark.createDataFrame(rows, REQUEST).repartition(5)
+    seen = []
+    monkeypatch.setattr(frontier, "expand", _counted(seen, frontier.expand))
+    routes, summary = frontier.search(req, wind, spec, Polar.builtin(), QUICK)
+    assert max(seen) <= 4 and summary.count() == 60  # two places, two kinds of departure
+    ways = {}
+    for r in routes.collect():
+        ways.setdefault(r.request_id, []).append(tuple(r)[1:])
+    work = {r.request_id: tuple(r)[1:] for r in summary.collect()}
+    for k in range(60):
+        alone, counts = _one(spark, wind, spec, rows[k][1:5], QUICK) if k in (1, 2) else (None, None)
+        assert sorted(ways[k]) == sorted(ways[(1, 2)[k % 2 == 0]]) and work[k] == work[(1, 2)[k % 2 == 0]]
+        assert alone is None or sorted(ways[k]) == [tuple(r)[1:] for r in alone] and work[k] == counts

@@ -27,7 +27,7 @@ from .environment import clear_of_land
 from .exclusions import prepare_zones, segment_zone_hits
 from .interpolation import Field, GridSpec
 from .ranking import diverse_top_k, total_counters
-from .shared import Steps
+from .shared import Alike, Steps
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,8 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
     wind: (valid_time, j, i, u, v). routes: the points of each request's best route in order.
     summary: how each search ended and how much it did. A request that can't be searched
     has its fault there; one without a route has no points. A null depart is chosen by
-    select_departures. progress: called with the step and its kept points after every
+    select_departures. Requests of the same places and departure are searched once, and each has
+    the result. progress: called with the step and its kept points after every
     every_n_steps steps; a true answer cancels what is not finished. max_steps: an error beyond.
     """
     t = Steps(requests.sparkSession, "search")
@@ -253,7 +254,8 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
     air = Field(wind, spec, ["u", "v"])
     begin, end = wind.agg(F.unix_timestamp(F.min("valid_time")), F.unix_timestamp(F.max("valid_time"))).first()
     first, last = (F.timestamp_seconds(F.lit(x)) for x in (begin, end))
-    asked = t.save(select_departures(requests, first, last))
+    alike = Alike(t.save(select_departures(requests, first, last)), ["lat", "lon", "to_lat", "to_lon", "depart", "departure_source"], t)
+    asked = alike.once
     faults = t.save(request_faults(asked, air, first, last))
     # now was only a guess: where there is no wind yet, the forecast's start
     retry = faults.join(asked.where("departure_source = 'current_time'"), "request_id", "left_semi").select(F.col("request_id").alias("again"))
@@ -266,15 +268,15 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
     limits = frontier.select("request_id", "horizon")
     levels, ends, counts = [frontier], [frontier.where(F.col("dist") <= options.arrival_radius).select("request_id", F.lit("destination_reached").alias("completion"), zero.alias("level"), zero.alias("node"))], []
     frontier = frontier.where(F.col("dist") > options.arrival_radius)
-    elapsed = 0
     for level in range(1, max_steps + 1):
-        step = F.least(S.step_seconds(F.lit(elapsed).cast("long"), options.tiers), F.col("horizon") - elapsed)
+        # times come from the rows, so that the code of every step is the same and is compiled once
+        step = F.least(S.step_seconds(F.col("elapsed"), options.tiers), F.col("horizon") - F.col("elapsed"))
         live = frontier.withColumn("step", step)
         over = live.where("step <= 0")
         nearest = over.groupBy("request_id").agg(F.min_by("node", F.struct("dist", "pos")).alias("node"), F.first("horizon").alias("horizon"))
         why = F.when(F.col("horizon") < options.max_duration, "forecast_exhausted").otherwise("duration_exhausted")
         ends.append(nearest.select("request_id", why.alias("completion"), F.lit(level - 1).cast("long").alias("level"), "node"))
-        live = live.where("step > 0").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("depart") + elapsed))
+        live = live.where("step > 0").withColumn("ts", F.timestamp_seconds(F.unix_timestamp("depart") + F.col("elapsed")))
         live = t.save(air.at(live, ["request_id", "node"]).where("status = 'ok'").drop("status"))
         cand = t.save(expand(live, polar, options, air, around, t.save))
         counts.append(live.groupBy("request_id").agg(F.count("*").alias("expanded")).join(cand.groupBy("request_id").agg(F.count("*").alias("generated")), "request_id", "left"))
@@ -287,11 +289,9 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
         levels.append(both)
         ends.append(both.where("node = -1").select("request_id", F.lit("destination_reached").alias("completion"), F.lit(level).cast("long").alias("level"), "node"))
         frontier = both.where("node >= 0")
-        tiers = [(i, u) for i, u in options.tiers if u is None or elapsed < u]
-        elapsed += min(tiers[0][0], (tiers[0][1] or 1 << 62) - elapsed)
         if frontier.isEmpty():
             break
-        if progress is not None and level % every_n_steps == 0 and progress(level, frontier.select("request_id", "node", "lat", "lon", "elapsed", "dist")):
+        if progress is not None and level % every_n_steps == 0 and progress(level, alike.each(frontier.select("request_id", "node", "lat", "lon", "elapsed", "dist"))):
             ends.append(frontier.select("request_id").distinct().select("request_id", F.lit("cancelled").alias("completion"), F.lit(level).cast("long").alias("level"), F.lit(None).cast("long").alias("node")))
             break
     else:
@@ -300,7 +300,7 @@ def search(requests: DataFrame, wind: DataFrame, spec: GridSpec, polar: Polar, o
     for e in ends[1:]:
         done = done.union(e)
     done = t.save(done)
-    return _routes(done, levels, t), _summary(requests, done, levels, counts, faults)
+    return alike.each(_routes(done, levels, t)), alike.each(t.save(_summary(alike.once, done, levels, counts, faults)))
 
 
 def _routes(done: DataFrame, levels: list[DataFrame], t: Steps) -> DataFrame:
