@@ -174,3 +174,17 @@ def test_alike_requests_are_searched_once(spark, monkeypatch):
         alone, counts = _one(spark, wind, spec, rows[k][1:5], QUICK) if k in (1, 2) else (None, None)
         assert sorted(ways[k]) == sorted(ways[(1, 2)[k % 2 == 0]]) and work[k] == work[(1, 2)[k % 2 == 0]]
         assert alone is None or sorted(ways[k]) == [tuple(r)[1:] for r in alone] and work[k] == counts
+
+
+def test_alike_requests_of_an_ensemble_are_searched_once(spark, monkeypatch):
+    from tidemark.operators import ensemble_search as E
+
+    wind, spec = registry._constant_wind(spark)
+    req = spark.createDataFrame([(k, 1.0, 0.5, 1.0, 0.6 + k % 2 / 10, NOON) for k in range(40)], REQUEST).repartition(5)
+    seen = []
+    monkeypatch.setattr(E, "two_level_beam", _counted(seen, E.two_level_beam))
+    members = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "member string, weight double")
+    grids = wind.crossJoin(members.select("member"))
+    courses, outcomes = E.ensemble_search(req, members, grids, spec, Polar.builtin(), QUICK, width=8)
+    assert max(seen) <= 2 and courses.count() == 40 and outcomes.count() == 80
+    assert courses.drop("request_id").distinct().count() == 2

@@ -27,7 +27,7 @@ from .front import two_level_beam
 from .frontier import Options
 from .interpolation import Field, GridSpec, small
 from .ranking import top_k
-from .shared import Steps
+from .shared import Alike, Steps
 
 #: What a status of a lookup makes of a member.
 _LOST = {"out_of_bounds": "missing_data", "incomplete_forecast": "missing_data", "out_of_time": "forecast_exhausted"}
@@ -75,6 +75,7 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     member's outcome class under it, its arrival and its last place.
     keep_infeasible: a member that can't sail a heading fails instead of ruling it out.
     bounded: drop labels that can't be better than a finished one. max_steps: an error beyond.
+    Requests of the same places and departure are searched once, and each has the result.
     progress: called with the step and its labels; a true answer ends the search with what it has.
     """
     t = Steps(requests.sparkSession, "ensemble")
@@ -82,7 +83,8 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
     air = Field(wind, spec, ["u", "v"], ["member"])
     total = float(members.agg(F.sum("weight")).first()[0])
     near = lambda lat, lon: G.distance_nm(lat, lon, "to_lat", "to_lon")
-    state = requests.select("request_id", "lat", "lon", "to_lat", "to_lon", "depart").join(small(members.select("member", "weight", F.col("fault") if "fault" in members.columns else F.lit(None).cast("string").alias("fault"))), F.lit(True))
+    alike = Alike(requests, ["lat", "lon", "to_lat", "to_lon", "depart"], t)
+    state = alike.once.join(small(members.select("member", "weight", F.col("fault") if "fault" in members.columns else F.lit(None).cast("string").alias("fault"))), F.lit(True))
     state = state.withColumns({"label": F.lit(0).cast("long"), "elapsed": F.lit(0).cast("long"), "to_go": near("lat", "lon")})
     begun = F.when(F.col("fault").isNotNull(), outcome_of_error("fault")).when(F.col("to_go") <= options.arrival_radius, "reached")
     state = t.save(state.withColumn("outcome", begun).drop("fault"))
@@ -105,7 +107,8 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
             now = over.groupBy("request_id", "label").agg(F.lit(0).cast("long").alias("active"), *_gone("n_")).join(_before(facts), ["request_id", "label"])
             best = t.save(_better(best, _finished(now.select("request_id", "label", "active", *_both("n_", "b_")), k - 1, total)))
             break
-        live = state.withColumn("ts", F.timestamp_seconds(F.unix_timestamp("depart") + elapsed))
+        # times come from the rows, so that the code of every step is the same and is compiled once
+        live = state.withColumns({"ts": F.timestamp_seconds(F.unix_timestamp("depart") + F.col("elapsed")), "step": S.step_seconds(F.col("elapsed"), options.tiers, options.max_duration)})
         live = air.at(live, ["request_id", "label", "member"])
         lost = F.lit(None).cast("string")
         for status, name in _LOST.items():
@@ -122,20 +125,20 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
         go = go.withColumn("speed", speed).drop("tws", "twd", "_row")
         sails = (F.col("speed") > 0) & (F.col("speed") >= options.min_speed)
         go = go.withColumn("bad", F.when(F.col("lost").isNotNull(), F.col("lost")).when(F.coalesce(sails, F.lit(False)), F.lit(None).cast("string")).otherwise("infeasible_no_route")).drop("lost")
-        leg = F.when(F.col("bad").isNull(), F.col("speed") * (step / 3600)).otherwise(0.0)
+        leg = F.when(F.col("bad").isNull(), F.col("speed") * (F.col("step") / 3600)).otherwise(0.0)
         go = go.withColumn("leg", leg).withColumn("part", F.when((F.col("leg") > 0) & (near("lat", "lon") <= F.col("leg") + options.arrival_radius + 1e-6), G.arrival_fraction("lat", "lon", "to_lat", "to_lon", "heading", "leg", options.arrival_radius)))
         go = go.withColumn("to", G.destination("lat", "lon", "heading", F.col("leg") * F.coalesce("part", F.lit(1.0))))
         arrived = F.col("part").isNotNull()
         moved = go.select("request_id", "label", "heading", "member", "weight", F.col("to.lat").alias("lat"), F.col("to.lon").alias("lon"), "to_lat", "to_lon", "depart",
             F.when(arrived, "reached").otherwise(F.col("bad")).alias("outcome"),
-            F.when(arrived, (F.round(F.col("part") * step) + elapsed).cast("long")).when(F.col("bad").isNotNull(), F.lit(elapsed).cast("long")).otherwise(F.lit(elapsed + step).cast("long")).alias("elapsed"))
+            F.when(arrived, (F.round(F.col("part") * F.col("step")) + F.col("elapsed")).cast("long")).when(F.col("bad").isNotNull(), F.col("elapsed")).otherwise(F.col("elapsed") + F.col("step")).alias("elapsed"))
         moved = t.save(moved.withColumn("to_go", near("lat", "lon")))
         alive, w = F.col("outcome").isNull(), F.col("weight")
         p, l = F.radians("lat"), F.radians("lon")
         cand = moved.groupBy("request_id", "label", "heading").agg(
             F.max((F.col("outcome") == "infeasible_no_route").cast("int")).alias("stuck"), F.count(F.when(alive, 1)).alias("under_way"),
             F.sum(F.when(alive, w * F.col("to_go")).otherwise(0.0)).alias("d"), F.max(F.when(alive & (w > 0), F.col("to_go")).otherwise(0.0)).alias("worst"),
-            F.sum(F.when(alive, w * (elapsed + step + F.col("to_go") / fast * 3600)).otherwise(0.0)).alias("least"),
+            F.sum(F.when(alive, w * (F.col("elapsed") + F.col("to_go") / fast * 3600)).otherwise(0.0)).alias("least"),
             *(F.sum(F.when(alive, w * x).otherwise(0.0)).alias(name) for name, x in (("x", F.cos(p) * F.cos(l)), ("y", F.cos(p) * F.sin(l)), ("z", F.sin(p)))),
             *(F.first(c).alias(c) for c in ("to_lat", "to_lon")), *_gone("n_"))
         if not keep_infeasible:
@@ -162,11 +165,12 @@ def ensemble_search(requests: DataFrame, members: DataFrame, wind: DataFrame, sp
         ends.append((nxt.where("outcome is not null").select(*ends[0][0].columns), k))
         state = nxt.where("outcome is null").select(*state.columns)
         elapsed += step
-        if progress is not None and progress(k, facts.select("request_id", "label", "parent", "heading", "active")):
+        if progress is not None and progress(k, alike.each(facts.select("request_id", "label", "parent", "heading", "active"))):
             break
     else:
         raise RuntimeError(f"ensemble search did not end in {max_steps} steps")
-    return _courses(best, tree, ends, cut, t)
+    courses, outcomes = _courses(best, tree, ends, cut, t)
+    return alike.each(courses), alike.each(outcomes)
 
 
 def _finished(labels: DataFrame, step: int, total: float) -> DataFrame:
