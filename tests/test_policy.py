@@ -75,3 +75,23 @@ def test_no_routes(spark):
     steps = spark.createDataFrame([], "g int, route int, seq int, action string")
     nodes, branches = P.shared_endings(steps, ["g"], "route", "seq", "action")
     assert nodes.count() == branches.count() == 0
+
+
+def test_shared_endings_keeps_alike_routes_as_one(spark, monkeypatch):
+    """What is saved grows with the different routes, not with their number; ways and nodes are counted in routes."""
+    kept = []
+    save = P.Steps.save
+
+    def counted(self, df):
+        out = save(self, df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(P.Steps, "save", counted)
+    c = F.col("id")
+    steps = spark.range(3000).select(F.lit(1).alias("g"), (c % 1000).alias("route"), F.floor(c / 1000).alias("seq"), F.when((c % 1000 == 7) & (c > 1000), None).when(c < 1000, F.concat(F.lit("a"), (c % 2).cast("string"))).otherwise("").alias("action"))
+    nodes, branches = P.shared_endings(steps.repartition(5), ["g"], "route", "seq", "action")
+    assert sorted((r.height, r.routes, r.outgoing) for r in nodes.collect()) == [(0, 1000, 0), (1, 1, 1), (1, 999, 1), (2, 500, 1), (2, 500, 2), (3, 1000, 2)]
+    assert max(kept) <= 10
+    ways = {(r.action, r.routes) for r in branches.collect()}
+    assert {("a0", 500), ("a1", 500)} <= ways and sum(r.routes for r in branches.collect()) == 3000

@@ -13,6 +13,11 @@ def _digest(*parts: Column | str) -> Column:
     return F.sha2(F.to_json(F.array(*(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)), {"ignoreNullFields": "false"}), 256)
 
 
+def _name(*parts: Column | str) -> Column:
+    """The first sixteen bytes of a digest."""
+    return F.unhex(F.substring(_digest(*parts), 1, 32))
+
+
 def chain_names(steps: DataFrame, keys: list[str], order: Column, value: str, name: str = "name") -> DataFrame:
     """steps with a name of all values from the first step up to each: equal beginnings have equal names.
 
@@ -93,39 +98,42 @@ def shared_endings(steps: DataFrame, keys: list[str], route: str, seq: str, acti
     have come by different ways. nodes: (keys..., node, height, routes, outgoing), the root has
     every route. branches: (keys..., from_node, action, to_node, routes).
 
-    Built from the ends up, one round for each step of the longest route: a node is named by
-    the actions and names of what follows it.
+    Routes that do the same from beginning to end are one word with a count; words share their
+    beginnings in a tree whose places are named by sixteen bytes. From the ends up, one round for
+    each step of the longest word, a place is named by the actions and names of what follows it.
+    What follows gets shorter along a route, so no route passes a node twice and counts add up.
     """
     t = Steps(steps.sparkSession, "endings")
     by = [*keys, "prefix"]
-    named = chain_names(steps, [*keys, route], F.col(seq), action, "prefix")
-    order = Window.partitionBy(*keys, route).orderBy(seq)
-    tree = t.save(named.select(*keys, F.col(route).alias("route"), F.col(action).alias("action"), "prefix", F.coalesce(F.lag("prefix").over(order), F.lit("")).alias("parent"), F.row_number().over(order).alias("depth")))
-    edges = tree.groupBy(*by).agg(F.first("parent").alias("parent"), F.first("action").alias("action"), F.first("depth").alias("depth"), F.count_distinct("route").alias("routes"))
-    edges = t.save(edges)
-    ends = t.save(tree.groupBy(*keys, "route").agg(F.max_by("prefix", "depth").alias("prefix")).select(*by).distinct().withColumn("ends", F.lit(True)))
-    most = edges.agg(F.max("depth")).first()[0] or 0
-    below, levels = None, []
+    done = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("at"), F.col(action).alias("action"))))
+    words = steps.groupBy(*keys, route).agg(F.transform(done, lambda s: s["action"]).alias("word"))
+    words = t.save(words.groupBy(*keys, "word").agg(F.count("*").alias("routes")))
+    grown = F.aggregate("word", F.array(F.unhex(F.lit(""))), lambda s, a: F.concat(s, F.array(_name(F.hex(F.element_at(s, -1)), a))))
+    places = words.select(*keys, "word", "routes", F.posexplode(grown).alias("depth", "prefix"), grown.alias("_g"))
+    places = places.select(*by, "depth", "routes", (F.col("depth") == F.size("word")).alias("ends"), F.get("_g", F.col("depth") - 1).alias("parent"), F.get("word", F.col("depth") - 1).alias("action"))
+    tree = places.groupBy(*by).agg(F.first("depth").alias("depth"), F.sum("routes").alias("routes"), F.max("ends").alias("ends"), F.first("parent").alias("parent"), F.first("action").alias("action"))
+    tree = t.save(tree.sortWithinPartitions("depth"))
+    t.drop(words)
+    most = tree.agg(F.max("depth")).first()[0] or 0
+    levels = []
     for depth in range(most, -1, -1):
-        here = edges.where(F.col("depth") == depth).select(*by) if depth else edges.select(*keys, F.lit("").alias("prefix")).distinct()
-        if below is None:
-            level = here.withColumns({"_follow": F.lit(None).cast("array<struct<action:string,node:string>>"), "height": F.lit(0).cast("long")})
-        else:
-            after = below.groupBy(*keys, F.col("parent").alias("prefix")).agg(F.sort_array(F.collect_list(F.struct(F.col("action").cast("string").alias("action"), "node"))).alias("_follow"), (F.max("height") + 1).alias("height"))
-            level = here.join(after, by, "left").withColumn("height", F.coalesce("height", F.lit(0).cast("long")))
-        level = level.join(ends, by, "left")
-        level = t.save(level.select(*by, _digest(F.to_json("_follow"), F.coalesce("ends", F.lit(False))).alias("node"), "height"))
-        levels.append(level)
-        below = edges.where(F.col("depth") == depth).join(level, by)
+        here = tree.where(F.col("depth") == depth).select(*by, "routes", "ends", F.struct("parent", "action").alias("_up"), F.lit(None).cast("struct<action:string,node:binary>").alias("_next"), F.lit(0).cast("long").alias("height"))
+        if levels:
+            none = {"routes": F.lit(None).cast("long"), "ends": F.lit(None).cast("boolean"), "_up": F.lit(None).cast(here.schema["_up"].dataType)}
+            after = levels[-1].select(*keys, F.col("parent").alias("prefix"), *(v.alias(k) for k, v in none.items()), F.struct(F.col("action").cast("string").alias("action"), "node").alias("_next"), (F.col("height") + 1).alias("height"))
+            here = here.unionByName(after)
+        level = here.groupBy(*by).agg(F.sort_array(F.collect_list("_next")).alias("_follow"), F.max("height").alias("height"), F.max("routes").alias("routes"), F.max("ends").alias("ends"), F.first("_up", True).alias("_up"))
+        node = _name(F.to_json("_follow"), "ends")
+        levels.append(t.save(level.select(*by, node.alias("node"), "height", F.size("_follow").cast("long").alias("outgoing"), "routes", "_up.parent", "_up.action")))
+    t.drop(tree)
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
-    every = t.save(every)
-    used = tree.select(*keys, "route", "prefix").unionByName(tree.select(*keys, "route", F.lit("").alias("prefix")).distinct()).join(every, by)
-    ways = tree.join(every.select(*by, F.col("node").alias("to_node")), by).join(every.select(*keys, F.col("prefix").alias("parent"), F.col("node").alias("from_node")), [*keys, "parent"])
-    branches = ways.groupBy(*keys, "from_node", "action", "to_node").agg(F.count_distinct("route").alias("routes"))
-    out = branches.groupBy(*keys, F.col("from_node").alias("node")).agg(F.count("*").alias("outgoing"))
-    nodes = used.groupBy(*keys, "node").agg(F.max("height").alias("height"), F.count_distinct("route").alias("routes")).join(out, [*keys, "node"], "left").na.fill(0, ["outgoing"])
+    told = lambda x: F.lower(F.hex(x))
+    nodes = every.groupBy(*keys, "node").agg(F.max("height").alias("height"), F.sum("routes").alias("routes"), F.first("outgoing").alias("outgoing")).withColumn("node", told("node"))
+    above = every.select(*keys, F.col("prefix").alias("parent"), F.col("node").alias("from_node"))
+    ways = every.where("parent is not null").select(*keys, "parent", "action", F.col("node").alias("to_node"), "routes").join(above, [*keys, "parent"])
+    branches = ways.groupBy(*keys, "from_node", "action", "to_node").agg(F.sum("routes").alias("routes")).withColumns({"from_node": told("from_node"), "to_node": told("to_node")})
     return nodes, branches
 
 
