@@ -87,3 +87,45 @@ def test_broken_members_are_reported_and_the_others_go_on(spark):
     assert {r.member: r.outcome for r in outcomes.collect()} == {"a": "reached", "b": "reached", "half": "missing_data", "gone": "missing_data"}
     written = D.ensemble_documents(courses, outcomes, use, ["request_id"], "run", "model")
     assert D.read_ensemble_documents(written, ["request_id"]).count() == 1 and courses.first().incomplete_weight == 0.5
+
+
+def pieces_of(spark, size=3, **change):
+    rows = [(g, f"m{k:03d}", 1.0 + k, (1.0 + k) / 55, (None, "file_io")[k == 4], ("reached", "missing_data")[k % 4 == 0], None if k % 4 == 0 else 3600.5 + k, 1.0, 2.0) for g in (1, 2) for k in range(10)]
+    rows = spark.createDataFrame(rows, "g int, member string, weight double, normalized_weight double, fault string, outcome string, elapsed_s double, lat double, lon double").repartition(5)
+    courses = spark.createDataFrame([(g, math.inf, 0.75, 3600.5, 3600, [90.0, 0.1]) for g in (1, 2)], "g int, objective double, incomplete_weight double, mean_s double, worst_s long, headings array<double>")
+    rows = change.get("rows", lambda r: r)(rows)
+    return D.document_pieces(courses, rows, ["g"], "run 7", "model", size=size), rows, courses
+
+
+def test_pieces_are_bounded_and_make_the_document(spark):
+    pieces, rows, courses = pieces_of(spark)
+    got = {g: sorted((r.section, r.part, r.json) for r in pieces.collect() if r.g == g) for g in (1, 2)}
+    assert len(got[1]) == 3 + 2 * 4 and max(j.count("identifier\":\"m") for x in got.values() for _, _, j in x) == 3
+    whole = D.ensemble_documents(courses, rows, rows.select("g", "member", "weight", "normalized_weight", "fault"), ["g"], "run 7", "model")
+    assert {r.g: r.json for r in whole.collect()} == {g: "".join(j for _, _, j in x) for g, x in got.items()}
+    want = sorted(map(tuple, D.document_outcomes(D.read_ensemble_documents(whole, ["g"]), ["g"]).collect()))
+    assert sorted(map(tuple, D.read_document_pieces(pieces.repartition(3), ["g"]).collect())) == want and len(want) == 20
+
+
+@pytest.mark.parametrize(("edit", "message"), [
+    (lambda p: p.where("not (g = 1 and section = 3 and part = 1)"), "missing or there twice"),
+    (lambda p: p.where("section <> 0"), "missing or there twice"),
+    (lambda p: p.where("section <> 4"), "missing or there twice"),
+    (lambda p: p.where("section <> 3"), "missing or there twice"),
+    (lambda p: p.where("not (section = 3 and part = 3)"), "not those of the members"),
+    (lambda p: p.unionByName(p.where("section = 2")), "missing or there twice"),
+    (lambda p: p.withColumn("json", F.replace("json", F.lit("m007"), F.lit("m006"))), "a member twice"),
+    (lambda p: p.withColumn("json", F.replace("json", F.lit('"original_weight":2.0'), F.lit('"original_weight":2.00'))), "another layout"),
+    (lambda p: p.withColumn("json", F.replace("json", F.lit('"latitude":1.0'), F.lit('"latitude":1.0,"more":1'))), "another layout"),
+    (lambda p: p.withColumn("json", F.replace("json", F.lit('"reached"'), F.lit('"sunk"'))), "unknown outcome"),
+    (lambda p: p.withColumn("json", F.replace("json", F.lit("result_v1"), F.lit("result_v2"))), "unknown version"),
+    (lambda p: p.withColumn("json", F.concat("json", F.lit(" "))), "another layout"),
+])
+def test_other_pieces_are_refused(spark, edit, message):
+    with pytest.raises(Exception, match=message):
+        D.read_document_pieces(edit(pieces_of(spark)[0]), ["g"]).collect()
+
+
+def test_pieces_whose_weights_do_not_add_up(spark):
+    with pytest.raises(Exception, match="add up"):
+        D.read_document_pieces(pieces_of(spark, rows=lambda r: r.withColumn("normalized_weight", F.lit(0.3)))[0], ["g"]).collect()

@@ -28,6 +28,7 @@ from tidemark.operators import ranking as K
 from tidemark.operators import spatial as Z
 from tidemark.operators.ensemble_search import ensemble_search
 from tidemark.operators.frontier import Options, search
+from tidemark.operators.shared import Steps
 from tidemark.operators.transition import target_legs as fixed_legs
 from tidemark.sources import ensemble_documents as M
 from tidemark.sources import route_files
@@ -972,15 +973,15 @@ def isochrone_gpx(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT run, choice, member::VARCHAR AS member, sum(weight)::DOUBLE AS weight, max(class_rank)::INT AS class_rank, CASE WHEN max(class_rank) = 0 THEN min(elapsed) END AS elapsed FROM {_OUT} GROUP BY 1, 2, 3")
 def ensemble_document(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes of runs written as documents, a document for each choice, and read back."""
+    """Outcomes of runs written as documents, a document for each choice, in pieces, and read back."""
     keys = ["run", "choice"]
-    o = _outcomes(spark, d).groupBy(*keys, "member").agg(F.sum("weight").cast("double").alias("weight"), F.max("class_rank").alias("class_rank"), F.min("elapsed").alias("elapsed"))
+    o = _outcomes(spark, d).repartition(*keys).groupBy(*keys, "member").agg(F.sum("weight").cast("double").alias("weight"), F.max("class_rank").alias("class_rank"), F.min("elapsed").alias("elapsed"))
     o = o.withColumn("elapsed", F.when(F.col("class_rank") == 0, F.col("elapsed")))
-    share = F.col("weight").cast("double") / F.sum(F.col("weight").cast("double")).over(Window.partitionBy(*keys))
-    rows = o.select(*keys, F.lpad(F.col("member").cast("string"), 12, "0").alias("member"), "weight", share.alias("normalized_weight"), F.get(F.array(*map(F.lit, E.OUTCOMES)), "class_rank").alias("outcome"), F.when(F.col("class_rank") == 0, F.col("elapsed")).alias("elapsed_s"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
-    courses = o.groupBy(*keys).agg(E.weighted_mean().alias("objective"), *E.audits()).select(*keys, "objective", "incomplete_weight", F.col("finite_mean").alias("mean_s"), F.col("worst_finite").alias("worst_s"), F.array(F.lit(90.0)).alias("headings"))
-    written = M.ensemble_documents(courses, rows, rows.select(*keys, "member", "weight", "normalized_weight"), keys, "run", "model")
-    back = M.document_outcomes(M.read_ensemble_documents(written, keys), keys)
+    courses = o.groupBy(*keys).agg(E.weighted_mean().alias("objective"), *E.audits(), F.sum("weight").alias("total"))
+    courses = Steps(spark, "documents").save(courses.select(*keys, "objective", "incomplete_weight", F.col("finite_mean").alias("mean_s"), F.col("worst_finite").alias("worst_s"), F.array(F.lit(90.0)).alias("headings"), "total"))
+    o = o.join(I.small(courses.select(*keys, "total")), keys)
+    rows = o.select(*keys, F.lpad(F.col("member").cast("string"), 12, "0").alias("member"), "weight", (F.col("weight") / F.col("total")).alias("normalized_weight"), F.get(F.array(*map(F.lit, E.OUTCOMES)), "class_rank").alias("outcome"), F.when(F.col("class_rank") == 0, F.col("elapsed")).alias("elapsed_s"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    back = M.read_document_pieces(M.document_pieces(courses, rows, keys, "run", "model"), keys)
     return back.select(*keys, F.ltrim("member", F.lit("0")).alias("member"), "weight", "class_rank", "elapsed")
 
 
